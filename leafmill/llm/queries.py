@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.substring_dedup import find_repeats
+from leafmill.llm import substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.find_repeats(_table(spark, sf_dir, "documents"), width=50)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_repeats(_table(spark, sf_dir, "documents"), window=20)
+    found = substring_dedup.find_repeats(_table(spark, sf_dir, "documents"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
