@@ -146,16 +146,20 @@ def _returned(rows: list[dict], source: np.ndarray, take: np.ndarray, every: np.
 
 
 def shared(sent: DataFrame, tag: int, anchored: bool = False) -> DataFrame:
-    """To each chunk, those of its keys that occur at least twice in all (and, if so asked, at an index entry)."""
+    """To each chunk, those of its keys that occur at least twice in all (and, if so asked, at an index entry).
+
+    With each comes a figure for how common it is, the same to all: the chunks that have it, twice where it is MANY.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
         rows, _, every, source, marks, first = _merged(table)
         count = np.diff(np.concatenate((first, [len(every)])))
         bits = np.bitwise_or.reduceat(marks, first)
+        often = np.add.reduceat(1 + (marks & MANY).astype(np.int64), first)
         good = (count > 1) | (bits & MANY > 0)
         if anchored:
             good &= bits & ANCHOR > 0
-        return _returned(rows, source, np.repeat(good, count), every, None, tag)
+        return _returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag)
 
     return sent.groupBy("range").applyInArrow(merge, SENT)
 
