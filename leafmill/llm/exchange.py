@@ -26,8 +26,11 @@ _FIELDS = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("tag", pa.in
 
 
 def chunks_for(spark: SparkSession) -> int:
-    """Chunks of documents, and ranges of keys: twice the shuffle partitions, which follow the input's size."""
-    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Chunks of documents, and ranges of keys: the shuffle partitions, which follow the input's size.
+
+    A chunk sends each range one row, so that rows are as many as the blocks of any shuffle over so many partitions.
+    """
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def key_bits(chunks: int) -> int:
