@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, jaccard_join, packing, quality, substring_dedup, suffix_dedup
+from leafmill.llm import decontaminate, embedding_dedup, jaccard_join, packing, quality, substring_dedup, suffix_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,6 +33,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), size=2048)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages"), least=100))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.find_repeats(_table(spark, sf_dir, "documents"), width=50)
     return found.withColumnRenamed("id", "doc_id")
@@ -48,6 +57,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_warc": op6_warc,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
