@@ -129,16 +129,20 @@ class Items:
         return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each document and test item that it holds: doc_id, item_id, distance, and start and length in the normal text."""
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[tuple[int | None, str]]]:
+    """The test items in blocks of about `BLOCK_CHARACTERS` characters."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + total // BLOCK_CHARACTERS
-    out = None
     for k in range(blocks):
-        block = [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
-        sent = spark.sparkContext.broadcast(block)
+        yield [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row for each document and test item that it holds: doc_id, item_id, distance, and start and length in the normal text."""
+    out = None
+    for block in blocks_of(benchmark, item_col, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             searcher = Items(sent.value)
@@ -151,3 +155,18 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, OUT)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that hold no test item."""
+    place = docs.columns.index(text_col)
+    for block in blocks_of(benchmark, item_col, item_text):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            searcher = Items(sent.value)
+            for batch in batches:
+                yield batch.filter(pa.array([not searcher.find(normal(text.as_py() or "")) for text in batch.column(place)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -38,11 +38,15 @@ def key_bits(chunks: int) -> int:
     return min(64, 33 + max(1, chunks - 1).bit_length())
 
 
-def in_chunks(docs: DataFrame, chunks: int, id_col: str, text_col: str) -> DataFrame:
-    """(chunk, id, text): rows dealt by a hash of their id.  Rows without an id are dealt by their text."""
+def in_chunks(docs: DataFrame, chunks: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """(chunk, id, text): rows dealt by a hash of their id.  Rows without an id are dealt by their text.
+
+    With `carry`, the row's columns but the text follow as the struct `rest`.
+    """
     key = F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.xxhash64(F.col(text_col)))
     return docs.select(
-        F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+        F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
     )
 
 

@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafmill.llm import exchange as X
 from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, pieces, rows_of, slide, spread
@@ -119,12 +120,15 @@ def suffix_groups(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndar
     return order, np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(at) else np.zeros(0, np.int64)
 
 
-def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """For each row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, and the kept bytes if asked for."""
+def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """For each row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
+
+    With `carry`, also the kept bytes and the row's columns but the text, as the struct `rest`.
+    """
     chunks = X.chunks_for(docs.sparkSession)
     bits = X.key_bits(chunks)
     cut = U64(64 - bits)
-    dealt = X.in_chunks(docs, chunks, id_col, text_col)
+    dealt = X.in_chunks(docs, chunks, id_col, text_col, carry)
 
     def parse(chunk: int, docs: pa.Table, _) -> pa.Table:
         keys, ids = [], []
@@ -203,12 +207,39 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 one = body[o[k] : o[k + 1]]
                 kept = one[mask[o[k] : o[k + 1]]].tobytes() if removed[k] else one.tobytes()
                 digest.append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
+                if carry:
                     kept_text.append(kept)
         out = {"id": docs["id"], "n_bytes": _cat(n_bytes, np.int64).astype(np.int64), "n_removed": _cat(n_gone, np.int64).astype(np.int64), "n_spans": _cat(n_spans, np.int64).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept_text, pa.binary())} if keep_text else {}))
-
-    return X.over_chunks(dealt, remove, OUT + (", kept binary" if keep_text else ""), entries, groups)
+        return pa.table(out | ({"kept": pa.array(kept_text, pa.binary()), "rest": docs["rest"]} if carry else {}))
+
+    return X.over_chunks(dealt, remove, f"{OUT}, kept binary, rest {dealt.schema['rest'].dataType.simpleString()}" if carry else OUT, entries, groups)
+
+
+def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows with their repeats cut out of the text; a text that loses all of itself goes with its row.
+
+    Where a cut falls within a character, what is left of the character goes too.  A column of text
+    lengths, if there is one, follows the new text; the other columns stay as they are.
+    """
+    found = find_repeats(docs, width, id_col, text_col, carry=True).where("n_removed < n_bytes or n_bytes = 0")
+
+    def decode(batches):
+        for batch in batches:
+            texts = [(k.as_py() or b"").decode("utf-8", "ignore") for k in batch["kept"]]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch["n_removed"], batch["rest"]], names=["kept", "n_removed", "rest"])
+
+    kind = found.schema["rest"].dataType.simpleString()
+    found = found.select("kept", "n_removed", "rest").mapInArrow(decode, f"kept string, n_removed long, rest {kind}")
+    kinds = dict(docs.dtypes)
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("kept").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("n_removed") > 0, F.length("kept").cast(kinds[c])).otherwise(F.col(f"rest.`{c}`")).alias(c))
+        else:
+            columns.append(F.col(f"rest.`{c}`").alias(c))
+    return found.select(*columns)
 
 
 def _bounds(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
