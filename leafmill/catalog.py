@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.plans import text
+from leafmill.plans import pages, text
 
 QUERIES = {}
 ORACLES = {}
-for _module in (text,):
+for _module in (text, pages):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
