@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.plans import pages, text
+from leafmill.plans import functions, geometry, pages, text
 
 QUERIES = {}
 ORACLES = {}
-for _module in (text, pages):
+for _module in (text, pages, geometry, functions):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
