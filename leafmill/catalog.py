@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.plans import functions, geometry, pages, text
+from leafmill.plans import functions, geometry, pages, records, text
 
 QUERIES = {}
 ORACLES = {}
-for _module in (text, pages, geometry, functions):
+for _module in (text, pages, geometry, functions, records):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
