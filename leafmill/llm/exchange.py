@@ -13,6 +13,7 @@ costs its range one entry per chunk, not one per document.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -166,7 +167,7 @@ def shared(sent: DataFrame, tag: int, anchored: bool = False) -> DataFrame:
         good = (count > 1) | (bits & MANY > 0)
         if anchored:
             good &= bits & ANCHOR > 0
-        return _returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag)
+        return _tidy(_returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag))
 
     return sent.groupBy("range").applyInArrow(merge, SENT)
 
@@ -179,16 +180,26 @@ def smallest(sent: DataFrame, tag: int) -> DataFrame:
         count = np.diff(np.concatenate((first, [len(every)])))
         ids = np.concatenate([unpack_ids(r["ids"], r["n"]) for r in rows])[order]
         least = np.repeat(np.minimum.reduceat(ids, first), count)
-        return _returned(rows, source, (least < ids) | (marks & MANY > 0), every, least, tag)
+        return _tidy(_returned(rows, source, (least < ids) | (marks & MANY > 0), every, least, tag))
 
     return sent.groupBy("range").applyInArrow(merge, SENT)
 
 
+def _tidy(table: pa.Table) -> pa.Table:
+    """Gives back to the system what a worker's arrays have freed, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+    return table
+
+
 def over_chunks(docs: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str, *back: DataFrame) -> DataFrame:
     """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them."""
     if not back:
-        return docs.groupBy("chunk").applyInArrow(lambda key, table: function(key[0].as_py(), table, None), schema)
+        return docs.groupBy("chunk").applyInArrow(lambda key, table: _tidy(function(key[0].as_py(), table, None)), schema)
     right = back[0]
     for other in back[1:]:
         right = right.unionByName(other)
-    return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: function(key[0].as_py(), left, right), schema)
+    return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: _tidy(function(key[0].as_py(), left, right)), schema)
