@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.plans import functions, geometry, pages, records, text
+from leafmill.plans import formats, functions, geometry, pages, records, text
 
 QUERIES = {}
 ORACLES = {}
-for _module in (text, pages, geometry, functions, records):
+for _module in (text, pages, geometry, functions, records, formats):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
