@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.graph import components, saved
+from leafmill.llm.graph import components, roots, saved
 
 TILE = 2048
 #: Most rows of the table of labels that is broadcast; a larger one is joined by shuffle.
@@ -59,20 +59,6 @@ def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndar
     return np.concatenate(left), np.concatenate(right), tried
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node that each of n nodes reaches by links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _tile(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +31,52 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Links that one task can hold; beyond it components are found by rounds of joins.
+ONE_TASK = 2_000_000
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of n nodes reaches by links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's links as (node, least node that it reaches within the task)."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch["a"].to_numpy())
+        b.append(batch["b"].to_numpy())
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        least = nodes[roots(len(nodes), place[: len(a)], place[len(a) :])]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each end of a link (a, b) reaches.
+    """(id, component): the smallest id that each end of a link (a, b) reaches.  Ids without a link are absent.
 
-    Alternating large-star and small-star rounds; each is an aggregation and a join on saved tables,
-    so that a hub with very many links is split like any skewed key.  Ids without a link to another are absent.
+    Each task first replaces its links by a forest.  If few links are left, one task finishes; that
+    it can is checked.  Otherwise large-star and small-star rounds alternate, each an aggregation and
+    a join on saved tables, so that a hub with very many links is split like any skewed key.
     """
+    links = saved(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_forest, "a long, b long"), "links")
+    if links.count() <= ONE_TASK:
+        return links.repartition(1).mapInArrow(_forest, "a long, b long").toDF("id", "component")
+    return star_rounds(links)
+
+
+def star_rounds(links: DataFrame) -> DataFrame:
+    """The components by joins alone."""
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
     while True:

@@ -13,8 +13,11 @@ with nothing.  Two documents link when 100 * |intersection| >= percent * |union|
    has, and empty parts last): by the pigeonhole principle linked sets share one of those.
    A set with too few non-empty parts also carries the signature "mostly empty" of its band.
 4. Sets that share a signature are compared in full, first with the smallest id among them.  Where
-   that leaves sets of one signature in different components, all pairs across components follow,
-   so no link is lost, and the pairs inside a large group of near copies are never written out.
+   that leaves sets of one signature in different components, pairs across components follow, so no
+   link is lost, and the pairs inside a large group of near copies are never written out.  Of those
+   pairs only the ones leave the join that may link by their parity sketches: each feature that
+   just one set has turns one of `SKETCH` bits, so the sketches differ in no more bits than the sets
+   in features, and a pair whose sketches differ too much cannot link.
 
 Hashes of shingles have 52 bits and those of whole sets 64; equal hashes count as equal.
 
@@ -37,9 +40,8 @@ ROW_BITS = 12
 SET_BITS = 64 - ROW_BITS
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
-#: Stop adding star rounds when the pairs left across components are fewer than this times the signatures.
-FEW = 2
-ROUNDS = 3
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +88,19 @@ def size_bands() -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def parity_sketches(elements: np.ndarray, cut: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """For the sets of these rows, `SKETCH` bits as 64-bit words: the parity of the elements that fall on each."""
+    out = np.zeros((len(rows), SKETCH // 8), np.uint8)
+    for a in range(0, len(rows), 256):
+        some = rows[a : a + 256]
+        length = np.diff(cut)[some]
+        at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(cut[:-1][some], length)
+        place = np.repeat(np.arange(len(some)), length) * SKETCH + (elements[at] % U64(SKETCH)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(some) * SKETCH) & 1
+        out[a : a + 256] = np.packbits(odd.astype(np.uint8).reshape(len(some), SKETCH), axis=1)
+    return out.view("<i8")
+
+
 class PartEnum:
     """The signature scheme for one similarity threshold in percent."""
 
@@ -191,7 +206,7 @@ def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
         index = Lookup(found, 64)
         found, _, count = X.received(back, 2)
         known_keys = Lookup(found, bits)
-        n, stands, signatures, sets = [], [], [], []
+        n, stands, signatures, sets, sketches = [], [], [], [], []
         for some, known, elements, cut in _parts(docs, shingle):
             alike = standing(some, known, elements, cut, index, least)
             size = np.diff(cut)
@@ -201,15 +216,17 @@ def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
             order = np.argsort(row, kind="stable")
             row, keys = row[order], keys[order].view(np.int64)
             begin = np.searchsorted(row, np.arange(len(size) + 1))
+            signers = np.flatnonzero(np.diff(begin))
+            sketch = dict(zip(signers.tolist(), parity_sketches(elements, cut, signers).tolist(), strict=True))
             for k in range(len(size)):
-                own = keys[begin[k] : begin[k + 1]]
-                signatures.append(own.tolist())
-                sets.append(elements[cut[k] : cut[k + 1]].astype("<u8").tobytes() if len(own) else None)
+                signatures.append(keys[begin[k] : begin[k + 1]].tolist())
+                sets.append(elements[cut[k] : cut[k + 1]].astype("<u8").tobytes() if k in sketch else None)
+                sketches.append(sketch.get(k))
             n.append(size)
             stands.append(alike)
-        return pa.table({"id": docs["id"], "n": np.concatenate(n or [np.zeros(0, np.int64)]).astype(np.int64), "alike": np.concatenate(stands or [np.zeros(0, np.int64)]), "signatures": pa.array(signatures, pa.list_(pa.int64())), "elements": pa.array(sets, pa.binary())})
+        return pa.table({"id": docs["id"], "n": np.concatenate(n or [np.zeros(0, np.int64)]).astype(np.int64), "alike": np.concatenate(stands or [np.zeros(0, np.int64)]), "signatures": pa.array(signatures, pa.list_(pa.int64())), "elements": pa.array(sets, pa.binary()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    return X.over_chunks(dealt, choose, "id long, n long, alike long, signatures array<long>, elements binary", classes, signed)
+    return X.over_chunks(dealt, choose, "id long, n long, alike long, signatures array<long>, elements binary, sketch array<long>", classes, signed)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -234,47 +251,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_shingles, component_id (null for a null id)."""
     table = saved(candidates(docs, shingle, percent, id_col, text_col), "shingle-sets")
-    sets = table.where("elements is not null").groupBy("id").agg(F.first("elements").alias("elements"), F.first("n").alias("n"))
-    sets = saved(sets, "sets")
-    entries = saved(table.where("size(signatures) > 0").select("id", "n", F.explode("signatures").alias("signature")).distinct(), "signatures")
-    labels = table.where("id is not null").select("id", F.col("id").alias("component")).limit(0)
-    links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    tried = links
-    for turn in range(ROUNDS):
-        # A star: every set of a signature with one of them, the smallest id first, another in later rounds.
-        label = entries.join(labels, "id", "left").select("id", "n", "signature", F.coalesce("component", "id").alias("component"))
-        entries_now = saved(label, "labelled")
-        rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-        centre = entries_now.groupBy("signature").agg(F.min_by("id", rank).alias("b"), F.min_by("component", rank).alias("with"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-        centre = saved(centre.where("low <> high").select("signature", "b", "with", "members"), "centres")
-        pairs = entries_now.join(centre, "signature").where("id <> b and component <> with").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = saved(verified(pairs, sets, percent), "found")
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = saved(components(links), "components")
-        open_ = _across(entries, labels)
-        left = open_.groupBy("signature").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own")).agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if left <= FEW * max(1000, entries.count()):
-            break
-    if left:
-        own = entries.join(labels, "id", "left").select("id", "n", "signature", F.coalesce("component", "id").alias("component"))
-        mixed = own.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-        own = saved(own.join(saved(mixed, "mixed"), "signature"), "mixed-entries")
-        x, y = own.alias("x"), own.alias("y")
-        pairs = x.join(y, F.expr(f"x.signature = y.signature and x.component < y.component and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n)"))
-        pairs = pairs.select(F.expr("greatest(x.id, y.id) a"), F.expr("least(x.id, y.id) b")).distinct()
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = saved(verified(pairs, sets, percent), "found")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = saved(components(links), "components")
+    sets = saved(table.where("elements is not null").select("id", "elements", "sketch").dropDuplicates(["id"]), "sets")
+    entries = table.where("size(signatures) > 0").select("id", "n", F.explode("signatures").alias("signature"))
+    entries = saved(entries.distinct(), "signatures")
+    # Every set of a signature with the one of the smallest id.
+    centre = entries.groupBy("signature").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b <> last").select("signature", "b")
+    star = saved(entries.join(centre, "signature").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "pairs")
+    links = saved(verified(star, sets, percent), "found")
+    labels = saved(components(links), "components")
+    # What is left: pairs of one signature in different components.
+    own = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = own.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
+    own = own.join(mixed, "signature", "left_semi").join(sets.select("id", "sketch"), "id")
+    own = saved(own, "open-signatures")
+    x, y = own.alias("x"), own.alias("y")
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
+    close = f"x.signature = y.signature and x.component < y.component and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n) and ({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+    pairs = x.join(y, F.expr(close)).select(F.expr("greatest(x.id, y.id) a"), F.expr("least(x.id, y.id) b")).distinct()
+    found = saved(verified(saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), sets, percent), "found")
+    if not found.isEmpty():
+        labels = saved(components(links.unionByName(found)), "components")
     result = table.select("id", F.col("n").alias("n_shingles"), "alike").join(labels.select(F.col("id").alias("alike"), "component"), "alike", "left")
     return result.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "alike")).alias("component_id"))
 
-
-def _across(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sets of each signature by component."""
-    label = entries.join(labels, "id", "left").select("signature", F.coalesce("component", "id").alias("component"))
-    return label.groupBy("signature", "component").agg(F.count("*").alias("k"))
