@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 SENT = "range int, chunk int, tag int, n int, keys binary, marks binary, ids binary"
@@ -195,7 +196,7 @@ def _tidy(table: pa.Table) -> pa.Table:
     return table
 
 
-def over_chunks(docs: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str, *back: DataFrame) -> DataFrame:
+def over_chunks(docs: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame) -> DataFrame:
     """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them."""
     if not back:
         return docs.groupBy("chunk").applyInArrow(lambda key, table: _tidy(function(key[0].as_py(), table, None)), schema)

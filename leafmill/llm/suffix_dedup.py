@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.llm import exchange as X
 from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, pieces, rows_of, slide, spread
@@ -212,7 +213,8 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         out = {"id": docs["id"], "n_bytes": _cat(n_bytes, np.int64).astype(np.int64), "n_removed": _cat(n_gone, np.int64).astype(np.int64), "n_spans": _cat(n_spans, np.int64).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept_text, pa.binary()), "rest": docs["rest"]} if carry else {}))
 
-    return X.over_chunks(dealt, remove, f"{OUT}, kept binary, rest {dealt.schema['rest'].dataType.simpleString()}" if carry else OUT, entries, groups)
+    shape = T.StructType.fromDDL(f"{OUT}, kept binary").add("rest", dealt.schema["rest"].dataType) if carry else OUT
+    return X.over_chunks(dealt, remove, shape, entries, groups)
 
 
 def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -228,8 +230,8 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
             texts = [(k.as_py() or b"").decode("utf-8", "ignore") for k in batch["kept"]]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch["n_removed"], batch["rest"]], names=["kept", "n_removed", "rest"])
 
-    kind = found.schema["rest"].dataType.simpleString()
-    found = found.select("kept", "n_removed", "rest").mapInArrow(decode, f"kept string, n_removed long, rest {kind}")
+    shape = T.StructType.fromDDL("kept string, n_removed long").add("rest", found.schema["rest"].dataType)
+    found = found.select("kept", "n_removed", "rest").mapInArrow(decode, shape)
     kinds = dict(docs.dtypes)
     columns = []
     for c in docs.columns:
