@@ -261,7 +261,7 @@ def paste_url(body: Column, service: str) -> Column:
     if service == "rentry":
         return F.when((path("$.status") == "200") & path("$.url").rlike("^https?://"), path("$.url"))
     if service == "dpaste":
-        return F.when(F.trim(body).rlike(r"^https://dpaste\.com/\w+"), F.trim(body))
+        return F.when(trimmed(body).rlike(r"^https://dpaste\.com/\w+"), trimmed(body))
     if service == "paste.gg":
         return F.when((path("$.status") == "success") & path("$.result.id").isNotNull(), F.concat(F.lit("https://paste.gg/p/anonymous/"), path("$.result.id")))
     if service == "gist":

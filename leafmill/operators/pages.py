@@ -35,12 +35,11 @@ def extract(pages: DataFrame, doc: str, page: str, spec: str) -> DataFrame:
 
 def remove(pages: DataFrame, doc: str, page: str, spec: str) -> DataFrame:
     """All pages but those of a range, in their own order; a document that would lose all pages is an error."""
-    chosen = selection(pages, doc, page, spec).select(doc, F.col(page).cast("int").alias(page))
-    own = Window.partitionBy(doc).orderBy(page)
-    kept = pages.withColumn(page, F.col(page).cast("int")).join(chosen, [doc, page], "left_anti")
-    counts = page_counts(pages, doc, page).join(kept.groupBy(doc).agg(F.count("*").alias("kept")), doc, "left")
-    checked = counts.select(doc, F.when(F.col("kept") > 0, F.col("kept")).otherwise(F.raise_error(F.lit("cannot remove every page")).cast("bigint")).alias("kept"))
-    return kept.withColumn("pos", F.row_number().over(own) - 1).join(checked.where("kept > 0").select(doc), doc, "left_semi")
+    n, listed = F.col("n"), page_range(spec, F.col("n"))
+    left = F.when(F.size(listed) < n, listed).otherwise(F.raise_error(F.lit("cannot remove every page")).cast("array<int>"))
+    gone = page_counts(pages, doc, page).select(doc, F.explode(left).alias(page))
+    kept = pages.withColumn(page, F.col(page).cast("int")).join(gone, [doc, page], "left_anti")
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1)
 
 
 def merge(inputs: list[tuple[DataFrame, str]], doc: str, page: str) -> DataFrame:
