@@ -33,7 +33,7 @@ _BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, U64)
         steps[0] = 1
         have = np.cumprod(steps)
@@ -82,8 +82,8 @@ def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 1 << 20):
-    """Ranges of rows whose texts take about `limit` bytes together (always at least one row)."""
+def pieces(offsets: np.ndarray, limit: int = 1 << 17):
+    """Ranges of rows whose texts take about `limit` bytes together (always at least one row): few enough for a core's cache."""
     at, n = 0, len(offsets) - 1
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
