@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        path = context._jvm.org.apache.hadoop.fs.Path(named)
+        whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", whole)
     if not getattr(context, "_leafmill_folder", None):
         context._leafmill_folder = tempfile.mkdtemp(prefix="leafmill-shared-")
     return f"file://{context._leafmill_folder}"

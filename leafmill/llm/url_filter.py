@@ -31,11 +31,12 @@ KINDS = ("host", "domain", "prefix")
 def intervals(events: DataFrame) -> DataFrame:
     """(list, kind, pattern, valid_from, valid_to) from events (list, kind, pattern, added boolean, at timestamp_ntz)."""
     good = events.where("list is not null and kind is not null and pattern is not null and pattern <> '' and at is not null and added is not null")
+    good = good.withColumn("pattern", F.lower("pattern"))
     day = good.groupBy("list", "kind", "pattern", "at").agg(F.min("added").alias("added"))
     by = Window.partitionBy("list", "kind", "pattern").orderBy("at")
     # Successive additions are one interval: only changes of state count.
     change = day.withColumn("before", F.lag("added").over(by)).where("before is null or before <> added")
-    return change.withColumn("valid_to", F.lead("at").over(by)).where("added").select("list", "kind", F.lower("pattern").alias("pattern"), F.col("at").alias("valid_from"), "valid_to")
+    return change.withColumn("valid_to", F.lead("at").over(by)).where("added").select("list", "kind", "pattern", F.col("at").alias("valid_from"), "valid_to")
 
 
 def host(url: Column) -> Column:

@@ -82,11 +82,13 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def train(samples: list[bytes]) -> bytes:
-    """A dictionary, empty where the sample is too small for one."""
+    """A dictionary of at most a tenth of the sample; where that is too little to train on, the sample's end as it is."""
+    total = sum(map(len, samples))
+    size = min(DICTIONARY, max(256, total // 10))
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b""
+        return b"".join(samples)[-size:]
 
 
 class Archive:
@@ -94,7 +96,7 @@ class Archive:
 
     def __init__(self, files: pafs.FileSystem, path: str, dictionary: bytes):
         self.path, self.records, self.raw = path, 0, 0
-        self.out = files.open_output_stream(path)
+        self.out = files.open_output_stream(path, compression=None)
         known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_checksum=True)
         if dictionary:
@@ -113,7 +115,7 @@ class Archive:
 
 def open_archive(files: pafs.FileSystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of one file."""
-    with files.open_input_stream(path) as raw:
+    with files.open_input_stream(path, compression=None) as raw:
         head, known = raw.read(8), None
         if len(head) == 8 and struct.unpack("<II", head)[0] == MAGIC:
             known, head = zstandard.ZstdCompressionDict(raw.read(struct.unpack("<II", head)[1])), b""
