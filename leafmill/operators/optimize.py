@@ -153,3 +153,29 @@ def search(evaluate, steps: DataFrame, group: str, target: int | None, least: fl
             break
         done = found if done is None else done.unionByName(found)
     return done
+
+
+def refined(results: DataFrame, group: str, target: Column) -> DataFrame:
+    """(group, mode, params): further candidates between the best within the target and the nearest beyond it.
+
+    `results` has numeric parameters as array<double> `params`, best first by their order.  Where all
+    are within or all beyond, the modes' fixed steps lead outwards.  Candidates that were tried are left out.
+    """
+    rows = results.where("ok").withColumn("_under", F.col("size") <= target)
+    by = rows.groupBy(group, "mode").agg(
+        F.max(F.when(F.col("_under"), F.col("params"))).alias("under"), F.min(F.when(~F.col("_under"), F.col("params"))).alias("over"),
+        F.min("params").alias("least"), F.max("params").alias("most"), F.collect_set("params").alias("tried"),
+    )
+    steps = F.array(*[F.lit(k / (INTERPOLATED + 1)) for k in range(1, INTERPOLATED + 1)])
+    inner = F.transform(steps, lambda t: F.zip_with("under", "over", lambda u, o: u + (o - u) * t))
+    whole = F.transform(inner, lambda p: F.when(F.col("mode") == "smart", F.transform(p, lambda x, i: F.when(i == 0, F.bround(x, 3)).otherwise(F.bround(x, 0)))).otherwise(F.transform(p, lambda x: F.bround(x, 0))))
+    fixed = lambda rows_: F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows_])
+    moved = lambda base, steps_: F.array(*[F.array(*[F.col(base)[k] + F.lit(float(d)) for k, d in enumerate(s)]) for s in steps_])
+    above = F.when(F.col("mode") == "smart", fixed(SMART_ABOVE)).when(F.col("mode") == "gs", moved("most", [(12,), (24,)])).otherwise(moved("most", [(30, 0), (60, 0)]))
+    lower = F.array(*[F.array(F.col("least")[0] - d, F.greatest(F.lit(40.0), F.col("least")[1] - q)) for d, q in ((16.0, 8.0), (32.0, 14.0))])
+    below = F.when(F.col("mode") == "smart", F.filter(fixed(SMART_BELOW), lambda p: p[0] < F.col("least")[0])).when(F.col("mode") == "gs", moved("least", [(-12,), (-24,)])).otherwise(lower)
+    found = F.when(F.col("under").isNotNull() & F.col("over").isNotNull(), whole).when(F.col("over").isNull(), above).otherwise(below)
+    limit = F.when(F.col("mode") == "gs", F.lit(400.0)).otherwise(F.lit(300.0))
+    fits = lambda p: (F.col("mode") == "smart") | ((p[0] >= 40) & (p[0] <= limit))
+    new = F.filter(F.array_distinct(F.array_except(found, "tried")), fits)
+    return by.select(group, "mode", F.explode(new).alias("params"))

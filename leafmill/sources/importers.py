@@ -542,3 +542,161 @@ def parse_named(name: str, raw: bytes) -> Parsed:
         raise ValueError(f"no importer for .{extension}; there are: {', '.join(sorted(PARSERS))}")
     return PARSERS[extension](raw)
 
+
+
+# Rich Markdown
+
+_BULLETS = "•◦▪"
+_SPAN = re.compile(
+    r"\\(?P<escaped>[\\`*_{}\[\]()#+\-.!|~>$])|(?P<ticks>`+)(?P<code>.+?)(?<!`)(?P=ticks)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]*)[^)]*\)"
+    r"|\[(?P<link>[^\]]*)\]\([^)]*\)|(?P<strong>\*\*|__)(?=\S)(?P<bold>.+?)(?<=\S)(?P=strong)|(?P<em>[*_]|~~)(?=\S)(?P<plain>.+?)(?<=\S)(?P=em)|(?P<br><br\s*/?>)|(?P<tag></?[a-zA-Z][^>]*>)",
+    re.S | re.I,
+)
+_FORMULA = re.compile(r"\$\$.+?\$\$|\\\(.+?\\\)|(?<!\\)\$(?:\\.|[^$\\\n])+?\$", re.S)
+_DIAGRAMS = {"mermaid": "mermaid", "mindmap": "mindmap", "markmap": "mindmap", "math": "math", "latex": "math"}
+
+
+def _spans(text: str, images: list[str]) -> list[dict]:
+    """Inline parts: text {"t": "s"}, bold {"t": "b"}, code {"t": "c"}, formulas {"t": "m"}; images go to the list."""
+    out: list[dict] = []
+
+    def add(part: dict) -> None:
+        if part["t"] == "s" and out and out[-1]["t"] == "s":
+            out[-1]["v"] += part["v"]
+        elif part["t"] == "m" or part["v"]:
+            out.append(part)
+
+    def plain(s: str) -> None:
+        at = 0
+        for m in _SPAN.finditer(s):
+            add({"t": "s", "v": s[at : m.start()]})
+            at = m.end()
+            if m["escaped"]:
+                add({"t": "s", "v": m["escaped"]})
+            elif m["code"] is not None:
+                add({"t": "c", "v": m["code"].strip()})
+            elif m["src"] is not None:
+                images.append(m["src"])
+            elif m["br"]:
+                add({"t": "s", "v": "\n"})
+            elif m["bold"]:
+                for part in _spans(m["bold"], images):
+                    add({"t": "b", "v": part["v"]} if part["t"] == "s" else part)
+            elif not m["tag"]:
+                for part in _spans(m["link"] if m["link"] is not None else m["plain"], images):
+                    add(part)
+        add({"t": "s", "v": s[at:]})
+
+    at = 0
+    for m in _FORMULA.finditer(text):
+        plain(text[at : m.start()])
+        at = m.end()
+        for part in split_math(m[0]):
+            add(part)
+    plain(text[at:])
+    return out
+
+
+def parse_markdown_rich(text: str) -> dict:
+    """{title, blocks, warnings}: blocks whose inline parts are kept as `segs` where they are more than text.
+
+    List items have a level and a marker by it; a paragraph that is one display formula or one
+    image, and code in a diagram's language, become img blocks.  Remote images and HTML blocks are
+    left out with a warning.
+    """
+    blocks: list[dict] = []
+    warnings: list[str] = []
+    title = None
+
+    def image(src: str) -> None:
+        if src.lower().startswith("data:"):
+            blocks.append({"type": "img", "kind": "image", "src": src})
+        else:
+            warnings.append(f"remote image left out: {src}")
+
+    def flat(parts: list[dict]) -> str:
+        return "".join(p["v"] if p["t"] != "m" else f"${p['tex']}$" for p in parts)
+
+    def add(kind: str, raw: str, **more) -> None:
+        images: list[str] = []
+        parts = [p for p in _spans(raw, images) if p["t"] != "s" or p["v"].strip() or "\n" in p["v"]]
+        for src in images:
+            image(src)
+        if kind == "p" and len(parts) == 1 and parts[0].get("dd"):
+            blocks.append({"type": "img", "kind": "math", "tex": parts[0]["tex"], "display": True})
+        elif flat(parts).strip():
+            blocks.append({"type": kind} | ({"text": flat(parts).strip()} if all(p["t"] == "s" for p in parts) else {"segs": parts}) | more)
+
+    lines = _one_line_end(text).expandtabs(4).split("\n")
+    paragraph: list[str] = []
+    lists: list[list] = []  # open lists: [indent, numbered, count]
+    fence, code, lang = "", [], ""
+
+    def flush() -> None:
+        if paragraph:
+            add("p", "\n".join(paragraph))
+            paragraph.clear()
+
+    for k, line in enumerate([*lines, ""]):
+        body = line.strip()
+        if fence:
+            if body == fence or k == len(lines):
+                if lang in _DIAGRAMS:
+                    blocks.append({"type": "img", "kind": _DIAGRAMS[lang], "tex" if _DIAGRAMS[lang] == "math" else "code": "\n".join(code)})
+                else:
+                    blocks.append({"type": "code", "text": "\n".join(code), "lang": lang})
+                fence = ""
+            else:
+                code.append(line)
+            continue
+        indent = len(line) - len(line.lstrip())
+        item = re.match(r"(?:[-*+]|(\d+)[.)])\s+(.*)$", body)
+        if m := re.match(r"(`{3,}|~{3,})\s*(\S*)", body):
+            flush()
+            fence, code, lang = m[1], [], m[2].lower()
+        elif not body:
+            flush()
+        elif item and not _RULE.match(line):
+            flush()
+            while lists and indent < lists[-1][0]:
+                lists.pop()
+            if not lists or indent > lists[-1][0] + 1:
+                lists.append([indent, bool(item[1]), 0])
+            elif lists[-1][1] != bool(item[1]):
+                lists[-1][1:] = [bool(item[1]), 0]
+            lists[-1][2] += 1
+            level = len(lists) - 1
+            add("li", item[2], level=level, marker=f"{lists[-1][2]}." if item[1] else _BULLETS[min(level, 2)])
+        else:
+            if not indent:
+                lists.clear()
+            kind, content = _markdown_line(line)
+            if kind.startswith("h") and kind != "hr":
+                flush()
+                raw = _HEADING.match(line)
+                add(kind, raw[2])
+                if title is None and len(raw[1]) == 1 and blocks:
+                    title = blocks[-1].get("text") or flat(blocks[-1].get("segs", [])) or None
+            elif kind == "hr":
+                flush()
+                blocks.append({"type": "hr"})
+            elif kind == "quote":
+                flush()
+                raw = re.sub(r"^>\s?", "", line)
+                if blocks and blocks[-1]["type"] == "quote" and lines[k - 1].startswith(">") and "text" in blocks[-1]:
+                    blocks[-1]["text"] += "\n" + plain_inline(raw)
+                else:
+                    add("quote", raw)
+            elif kind == "row":
+                flush()
+                if not all(map(_DASHES.match, content)):
+                    if blocks and blocks[-1]["type"] == "table":
+                        blocks[-1]["rows"].append(content)
+                    else:
+                        blocks.append({"type": "table", "rows": [content]})
+            elif re.match(r"</?[a-zA-Z!]", body) and not paragraph:
+                warnings.append(f"HTML left out: {body[:40]}")
+            else:
+                paragraph.append(body)
+    flush()
+    return {"title": title, "blocks": blocks, "warnings": warnings}

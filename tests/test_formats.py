@@ -50,6 +50,19 @@ def test_math_and_emoji():
     assert I.split_emoji("a✅️b✓‍🎉🎉") == [{"v": "a", "emoji": False}, {"v": "✅️", "emoji": True}, {"v": "b✓", "emoji": False}, {"v": "🎉🎉", "emoji": True}]
 
 
+def test_rich_markdown():
+    text = "# T **b**\n- a `c`\n  1. x\n  2. y\n    - z\n- d\n\npara $x^2$ and *em*<br>next\n\n$$E=mc^2$$\n\n![i](http://r/x.png)\n\n![j](data:image/png;base64,AA)\n\n```mermaid\ng\n```\n```py\n  k\n```\n> q1\n> q2\n\n| a | b |\n|--|--|\n| 1 | 2 |\n\n<div>no</div>\n\n---\n1. new"
+    found = I.parse_markdown_rich(text)
+    b = found["blocks"]
+    assert found["title"] == "T b" and len(found["warnings"]) == 2
+    assert [x["type"] for x in b] == ["h1", "li", "li", "li", "li", "li", "p", "img", "img", "img", "code", "quote", "table", "hr", "li"]
+    assert [(x["level"], x["marker"]) for x in b if x["type"] == "li"] == [(0, "•"), (1, "1."), (1, "2."), (2, "▪"), (0, "•"), (0, "1.")]
+    assert b[0]["segs"] == [{"t": "s", "v": "T "}, {"t": "b", "v": "b"}] and b[1]["segs"][1] == {"t": "c", "v": "c"}
+    assert b[6]["segs"] == [{"t": "s", "v": "para "}, {"t": "m", "tex": "x^2"}, {"t": "s", "v": " and em\nnext"}]
+    assert (b[7]["kind"], b[7]["tex"], b[7]["display"]) == ("math", "E=mc^2", True) and b[9] == {"type": "img", "kind": "mermaid", "code": "g"}
+    assert b[10] == {"type": "code", "text": "  k", "lang": "py"} and b[11]["text"] == "q1\nq2" and b[12]["rows"] == [["a", "b"], ["1", "2"]]
+
+
 def test_rtf():
     raw = b"{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\*\\gen x;}\\uc1 A\\u20013?\\'e9\\par {\\b bold\\tab}\\{x\\}\\line\\par}"
     assert [b["text"] for b in I.parse_rtf(raw)[0]][:2] == ["A中é", "bold    {x}"]

@@ -38,6 +38,15 @@ def test_targets_and_between(spark):
     assert spark.range(1).select(O.between(F.lit(60.0), F.lit(70.0))).first()[0] == [62.0, 65.0, 68.0]
 
 
+def test_refined(spark):
+    rows = [("a", "smart", [1.0, 88.0, 82.0], 900), ("a", "smart", [0.9, 85.0, 78.0], 700), ("b", "gs", [150.0], 100), ("b", "gs", [132.0], 90), ("c", "raster", [72.0, 45.0], 900), ("d", "smart", [0.32, 56.0, 40.0], 900), ("e", "gs", [50.0], 900)]
+    df = spark.createDataFrame([(*r, True) for r in rows], "grp string, mode string, params array<double>, size long, ok boolean")
+    found = {}
+    for r in O.refined(df, "grp", F.lit(800)).collect():
+        found.setdefault(r.grp, []).append(list(r.params))
+    assert {k: sorted(v) for k, v in found.items()} == {"a": [[0.925, 86.0, 79.0], [0.95, 86.0, 80.0], [0.975, 87.0, 81.0]], "b": [[162.0], [174.0]], "c": [[40.0, 40.0], [56.0, 40.0]], "d": [[0.2, 45.0, 30.0], [0.25, 50.0, 35.0]]}
+
+
 def test_secrets(spark):
     nested = '{"a":{"userPw":1,"b":[{"token":2,"c":3}]},"password":4}'
     df = spark.createDataFrame([(nested,), ("junk",), (None,)], "o string")
