@@ -13,7 +13,6 @@ costs its range one entry per chunk, not one per document.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.memory import give_back, in_small_batches
+
 U64 = np.uint64
 SENT = "range int, chunk int, tag int, n int, keys binary, marks binary, ids binary"
 _FIELDS = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("tag", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("ids", pa.binary())])
@@ -46,7 +47,7 @@ def in_chunks(docs: DataFrame, chunks: int, id_col: str, text_col: str, carry: b
     With `carry`, the row's columns but the text follow as the struct `rest`.
     """
     key = F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.xxhash64(F.col(text_col)))
-    return docs.select(
+    return in_small_batches(docs).select(
         F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
     )
@@ -134,7 +135,7 @@ def _merged(table: pa.Table) -> Iterator[tuple]:
     rows = table.to_pylist()
     keys = [unpack_keys(r["keys"], r["n"]) for r in rows]
     marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) if r["marks"] else np.zeros(r["n"], np.uint8) for r in rows])
-    source = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+    source = np.repeat(np.arange(len(rows), dtype=np.int32), [r["n"] for r in rows])
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     every, source, marks = every[order], source[order], marks[order]
@@ -187,12 +188,7 @@ def smallest(sent: DataFrame, tag: int) -> DataFrame:
 
 
 def _tidy(table: pa.Table) -> pa.Table:
-    """Gives back to the system what a worker's arrays have freed, so that idle workers stay small."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # not every C library has it
-        pass
+    give_back()
     return table
 
 

@@ -124,7 +124,7 @@ def suffix_groups(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndar
 def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """For each row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
-    With `carry`, also the kept bytes and the row's columns but the text, as the struct `rest`.
+    With `carry`, also the text that is left, less parts of characters, and the row's other columns as the struct `rest`.
     """
     chunks = X.chunks_for(docs.sparkSession)
     bits = X.key_bits(chunks)
@@ -209,11 +209,11 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 kept = one[mask[o[k] : o[k + 1]]].tobytes() if removed[k] else one.tobytes()
                 digest.append(hashlib.sha256(kept).hexdigest())
                 if carry:
-                    kept_text.append(kept)
+                    kept_text.append(kept.decode("utf-8", "ignore"))
         out = {"id": docs["id"], "n_bytes": _cat(n_bytes, np.int64).astype(np.int64), "n_removed": _cat(n_gone, np.int64).astype(np.int64), "n_spans": _cat(n_spans, np.int64).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}
-        return pa.table(out | ({"kept": pa.array(kept_text, pa.binary()), "rest": docs["rest"]} if carry else {}))
+        return pa.table(out | ({"kept": pa.array(kept_text, pa.string()), "rest": docs["rest"]} if carry else {}))
 
-    shape = T.StructType.fromDDL(f"{OUT}, kept binary").add("rest", dealt.schema["rest"].dataType) if carry else OUT
+    shape = T.StructType.fromDDL(f"{OUT}, kept string").add("rest", dealt.schema["rest"].dataType) if carry else OUT
     return X.over_chunks(dealt, remove, shape, entries, groups)
 
 
@@ -224,14 +224,6 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     lengths, if there is one, follows the new text; the other columns stay as they are.
     """
     found = find_repeats(docs, width, id_col, text_col, carry=True).where("n_removed < n_bytes or n_bytes = 0")
-
-    def decode(batches):
-        for batch in batches:
-            texts = [(k.as_py() or b"").decode("utf-8", "ignore") for k in batch["kept"]]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch["n_removed"], batch["rest"]], names=["kept", "n_removed", "rest"])
-
-    shape = T.StructType.fromDDL("kept string, n_removed long").add("rest", found.schema["rest"].dataType)
-    found = found.select("kept", "n_removed", "rest").mapInArrow(decode, shape)
     kinds = dict(docs.dtypes)
     columns = []
     for c in docs.columns:
