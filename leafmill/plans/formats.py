@@ -179,4 +179,10 @@ ORACLES = {
       u AS (SELECT *, CASE WHEN turn = head THEN 0 ELSE 1 END AS level FROM t), p AS (SELECT *, CASE WHEN level = 1 THEN head ELSE -1 END AS parent FROM u)
       SELECT conv_id, turn, title, page, level::BIGINT AS level, parent, coalesce(lag(turn) OVER w, -1) AS prev, coalesce(lead(turn) OVER w, -1) AS next,
       CASE WHEN level = 0 THEN sum(level) OVER (PARTITION BY conv_id, head) ELSE 0 END::BIGINT AS children FROM p WINDOW w AS (PARTITION BY conv_id, level, parent ORDER BY turn)""",
+    "rtf_round_trip": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS block_no, md5(trim(t)) AS md5 FROM l WHERE trim(t) <> ''",
+    "odt_round_trip": _L + "SELECT conv_id, count(*) AS blocks, sum(length(trim(text)))::BIGINT AS chars, 0::BIGINT AS n_rows FROM l WHERE trim(text) <> '' GROUP BY 1",
+    "odp_round_trip": _L + "SELECT conv_id, count(*) + count(DISTINCT turn) - 1 AS blocks, sum(length(trim(text)))::BIGINT AS chars, 0::BIGINT AS n_rows FROM l WHERE trim(text) <> '' GROUP BY 1",
+    "epub_round_trip": _L + "SELECT conv_id, count(*) + count(DISTINCT turn) - 1 AS blocks, sum(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))))::BIGINT AS chars, 0::BIGINT AS n_rows FROM l WHERE trim(text) <> '' GROUP BY 1",
+    "ods_round_trip": _L + "SELECT conv_id, count(DISTINCT turn) AS blocks, 0::BIGINT AS chars, count(*) AS n_rows FROM l WHERE trim(text) <> '' GROUP BY 1",
+    "xlsx_round_trip": _L + "SELECT conv_id, 1::BIGINT AS blocks, 0::BIGINT AS chars, count(*) AS n_rows FROM l WHERE trim(text) <> '' AND turn = 0 GROUP BY 1",
 }
