@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
+from leafmill.llm import decontaminate, embedding_dedup, html_extract, jaccard_join, oracles, packing, quality, substring_dedup, suffix_dedup, url_filter, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -64,31 +64,6 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("page_id"), "url", F.col("at").alias("fetched_at"), "n_active", "blocked", "matched")
 
 
-OP7_SQL = """
-WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages),
-names AS (
-  SELECT 'host' AS kind, host FROM hosts WHERE host <> ''
-  UNION ALL SELECT DISTINCT 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1) FROM hosts WHERE regexp_extract(host, '([^.]+[.][^.]+)$', 1) <> ''),
-coded AS (
-  SELECT kind, host, CAST(ascii(substr(md5(host), 1, 1)) AS BIGINT) * 7919 + ascii(substr(md5(host), 2, 1)) * 104729 + ascii(substr(md5(host), 3, 1)) * 1299709 AS k FROM names),
-dated AS (
-  SELECT *, CASE k % 3 WHEN 0 THEN 'malware' WHEN 1 THEN 'spam' ELSE 'adult' END AS list,
-         CASE kind WHEN 'host' THEN k % 180 ELSE k % 300 END AS day, CASE kind WHEN 'host' THEN 30 + k % 97 ELSE 1 + k % 11 END AS length FROM coded),
-intervals AS (
-  SELECT list, kind, host, TIMESTAMP '2024-01-01' + to_days(CAST(day AS INT)) AS valid_from, TIMESTAMP '2024-01-01' + to_days(CAST(day + length AS INT)) AS valid_to FROM dated
-  UNION ALL SELECT list, kind, host, TIMESTAMP '2024-01-01' + to_days(CAST(day + 2 * length AS INT)), NULL FROM dated),
-captures AS (
-  SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host, TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 37 % 527040 AS INT)) AS fetched_at FROM pages),
-met AS (
-  SELECT c.page_id, count(*) AS n_active, string_agg(i.list || ':' || i.kind || ':' || i.host, ' ' ORDER BY i.list || ':' || i.kind || ':' || i.host) AS matched
-  FROM captures c JOIN intervals i ON i.valid_from <= c.fetched_at AND (i.valid_to IS NULL OR c.fetched_at < i.valid_to)
-   AND ((i.kind = 'host' AND i.host = c.host) OR (i.kind = 'domain' AND (c.host = i.host OR ends_with(c.host, '.' || i.host))))
-  GROUP BY c.page_id)
-SELECT c.page_id, c.url, c.fetched_at, coalesce(m.n_active, 0) AS n_active, coalesce(m.n_active, 0) > 0 AS blocked, coalesce(m.matched, '') AS matched
-FROM captures c LEFT JOIN met m USING (page_id)
-"""
-
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.find_repeats(_table(spark, sf_dir, "documents"), width=50)
     return found.withColumnRenamed("id", "doc_id")
@@ -115,4 +90,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op7_url_filter": OP7_SQL}
+ORACLES = {"op1_jaccard_join": oracles.OP1_SQL, "op5_embedding_dedup": oracles.OP5_SQL, "op7_url_filter": oracles.OP7_SQL, "op8_suffix_dedup": oracles.OP8_SQL, "op9_substring_dedup": oracles.OP9_SQL}
