@@ -37,6 +37,8 @@ from leafmill.llm import exchange as X
 from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, pieces, rows_of, slide, spread
 
 TRIGGER, PHRASE, SEED = 12, 32, 25
+#: Seeds are least hashes, so most are small numbers: times this they lie evenly over the key space.
+SPREAD = U64(0xD1342543DE82EF95)
 OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -154,7 +156,7 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             _, windows = undone(part, some, index, least)
             hashes = part.every(SEED)
             at = part.seeds(windows, hashes)
-            keys.append(hashes[at] >> cut)
+            keys.append(hashes[at] * SPREAD >> cut)
             ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
         return X.send(chunk, chunks, bits, *_several(_cat(keys, U64), _cat(ids, np.int64)))
 
@@ -166,7 +168,7 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         keys, ids = [], []
         for _, _, some, part in _parts(docs, width):
             _, windows = undone(part, some, index, least)
-            at, _ = alike.find(part.every(SEED) >> cut)
+            at, _ = alike.find(part.every(SEED) * SPREAD >> cut)
             at = np.flatnonzero(spread(part.n, np.maximum(at - (width - SEED), 0), at + 1) & windows)
             ranked, first = suffix_groups(part.data, at, width)
             at = at[ranked]
