@@ -42,17 +42,15 @@ def remove(pages: DataFrame, doc: str, page: str, spec: str) -> DataFrame:
     return kept.withColumn("pos", F.row_number().over(Window.partitionBy(doc).orderBy(page)) - 1)
 
 
-def merge(inputs: list[tuple[DataFrame, str]], doc: str, page: str) -> DataFrame:
-    """Ordered union of the ranges of several inputs: (item, pos, doc, page, ...) with `pos` over the whole result."""
-    out = None
-    for item, (pages, spec) in enumerate(inputs):
-        part = extract(pages, doc, page, spec).withColumn("item", F.lit(item))
-        out = part if out is None else out.unionByName(part)
-    # The running offset is a window over one row for each input document, not over pages.
-    sizes = out.groupBy("item", doc).agg(F.count("*").alias("size"))
-    before = Window.orderBy("item", doc).rowsBetween(Window.unboundedPreceding, -1)
-    offset = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
-    return out.join(offset, ["item", doc]).withColumn("out_pos", F.col("offset") + F.col("pos")).drop("offset")
+def merge(plan: DataFrame, pages: DataFrame, doc: str, page: str, job: str = "job") -> DataFrame:
+    """(job, pos, item, doc, page, ...): the ranges of a job's inputs one after another, repeats allowed.
+
+    The plan is rows (job, item, doc, spec); any number of jobs run side by side, each numbered on its own.
+    """
+    counts = page_counts(pages, doc, page)
+    listed = plan.join(counts, doc).select(job, "item", doc, F.posexplode(page_range(F.col("spec"), F.col("n"))).alias("at", page))
+    order = Window.partitionBy(job).orderBy("item", "at")
+    return _with_pages(listed.withColumn("pos", F.row_number().over(order) - 1).drop("at"), pages, doc, page)
 
 
 def merge_within(pages: DataFrame, doc: str, page: str, specs: list[str]) -> DataFrame:

@@ -74,8 +74,10 @@ def _unique_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merge(spark: SparkSession, d: str) -> DataFrame:
-    found = P.merge([(_half(spark, d, True), "all"), (_half(spark, d, False), "last")], DOC, PAGE)
-    return _long(found.select("item", DOC, PAGE, "pos", "out_pos"))
+    """Ten documents to a job, the last first, by three kinds of range."""
+    spec = F.expr("CASE conv_id % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'last' ELSE 'odd' END")
+    plan = paged(spark, d).select(DOC).distinct().select(F.floor(F.col(DOC) / 10).alias("job"), (9 - F.col(DOC) % 10).alias("item"), DOC, spec.alias("spec"))
+    return _long(P.merge(plan, paged(spark, d), DOC, PAGE).select("job", "item", DOC, PAGE, "pos"))
 
 
 QUERIES = {
@@ -133,10 +135,8 @@ ORACLES = {
     "page_range_select": "SELECT conv_id, turn // 2 AS pos, turn FROM conversations WHERE turn % 2 = 0",
     "pages_extract": _TWO + ", n2 AS (SELECT conv_id, n FROM counts) SELECT conv_id, CASE WHEN turn = 0 THEN n - 1 ELSE turn - 1 END AS pos, turn, md5(text) AS md5 FROM two JOIN n2 USING (conv_id)",
     "pages_remove": _TWO + "SELECT conv_id, turn - 1 AS pos, turn, md5(text) AS md5 FROM two WHERE turn > 0",
-    "pages_merge": _HALVES
-    + """, chosen AS (SELECT 0 AS item, conv_id, turn, turn AS pos FROM a
-      UNION ALL SELECT 1, conv_id, turn, 0 FROM b QUALIFY turn = max(turn) OVER (PARTITION BY conv_id))
-      SELECT item, conv_id, turn, pos, row_number() OVER (ORDER BY item, conv_id, pos) - 1 AS out_pos FROM chosen""",
+    "pages_merge": """WITH c AS (SELECT conv_id, turn, conv_id // 10 AS job, 9 - conv_id % 10 AS item, conv_id % 3 AS k, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+      SELECT job, item, conv_id, turn, row_number() OVER (PARTITION BY job ORDER BY item, turn) - 1 AS pos FROM c WHERE k = 0 OR (k = 1 AND turn = last) OR (k = 2 AND turn % 2 = 0)""",
     "pages_merge_within": _TWO + f", g AS ({_GROUPED}) SELECT conv_id, item, row_number() OVER (PARTITION BY conv_id ORDER BY item, k) - 1 AS pos, turn FROM g",
     "pages_split_each": "SELECT conv_id, turn AS part, '第' || (turn + 1) || '页' AS label, 0::BIGINT AS pos, turn FROM conversations",
     "pages_split_every": f"""WITH parts AS (SELECT conv_id, turn // 2 AS part, turn % 2 AS pos, turn, min(turn) OVER w AS first, max(turn) OVER w AS last
