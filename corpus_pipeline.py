@@ -5,12 +5,15 @@ Counted as part of `leafmill.llm`.  Every stage but the last returns the columns
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, jaccard_join, packing, quality, suffix_dedup
 from leafmill.llm.graph import saved
+from leafmill.session import ship
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -42,12 +45,17 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), size=2048)
 
 
+def _shipped(stage):
+    """The stage, with this package on the executors."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir))
+
+
 STAGES = [
-    ("quality classifier", quality_classifier),
-    ("n-gram Jaccard join", near_duplicates),
-    ("suffix-array dedup", repeated_passages),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("best-fit packing", best_fit_packing),
+    ("quality classifier", _shipped(quality_classifier)),
+    ("n-gram Jaccard join", _shipped(near_duplicates)),
+    ("suffix-array dedup", _shipped(repeated_passages)),
+    ("benchmark decontamination", _shipped(benchmark_decontamination)),
+    ("best-fit packing", _shipped(best_fit_packing)),
 ]
 
 #: Shingle sets, classifiers and tokenizers are beyond SQL; the stages are tested against brute force.

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leafmill.llm import decontaminate, embedding_dedup, html_extract, packing, quality, url_filter, warc
+from leafmill.llm import decontaminate, embedding_dedup, html_extract, memory, packing, quality, url_filter, warc
 
 from . import helpers as H
 
@@ -301,3 +301,14 @@ def test_isotonic(bins):
     assert (np.diff(value) >= 0).all() and ((value >= 0) & (value <= 1)).all()
     fit = np.interp(x, at, value)
     assert abs((fit * weight).sum() - total.sum()) < 1e-9
+
+
+# Workers
+
+
+def test_workers_forget_what_other_operators_remember():
+    words = packing.words_for(TOKENIZER)
+    memory.begin("packing")
+    assert packing.words_for(TOKENIZER) is words
+    memory.begin()
+    assert packing.words_for(TOKENIZER) is not words
