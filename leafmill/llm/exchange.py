@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.memory import give_back, in_small_batches
+from leafmill.llm.memory import begin, give_back, in_small_batches
 
 U64 = np.uint64
 SENT = "range int, chunk int, tag int, n int, keys binary, marks binary, ids binary"
@@ -194,9 +194,14 @@ def _tidy(table: pa.Table) -> pa.Table:
 
 def over_chunks(docs: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame) -> DataFrame:
     """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table | None) -> pa.Table:
+        begin()
+        return _tidy(function(key[0].as_py(), left, right))
+
     if not back:
-        return docs.groupBy("chunk").applyInArrow(lambda key, table: _tidy(function(key[0].as_py(), table, None)), schema)
+        return docs.groupBy("chunk").applyInArrow(lambda key, table: run(key, table, None), schema)
     right = back[0]
     for other in back[1:]:
         right = right.unionByName(other)
-    return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: _tidy(function(key[0].as_py(), left, right)), schema)
+    return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: run(key, left, right), schema)

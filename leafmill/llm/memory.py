@@ -21,6 +21,24 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What operators remember in a worker from task to task, by owner: how to forget it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    """An operator keeps something in this worker; it goes when another operator's task begins here."""
+    _remembered[owner] = forget
+
+
+def begin(owner: str = "") -> None:
+    """A task of this operator begins: what the others remember goes."""
+    others = [o for o in _remembered if o != owner]
+    for other in others:
+        _remembered.pop(other)()
+    if others:
+        give_back()
+
+
 def give_back() -> None:
     """Returns to the system what this worker's arrays have freed."""
     pa.default_memory_pool().release_unused()
@@ -30,10 +48,11 @@ def give_back() -> None:
         pass
 
 
-def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """The function, which gives memory back once its task's rows are done."""
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable:
+    """The function, which frees what other operators remember before its task and gives memory back after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         yield from function(batches)
         give_back()
 

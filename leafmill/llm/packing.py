@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.memory import in_small_batches, lean
+from leafmill.llm.memory import in_small_batches, lean, remember
 
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Chunks of text whose ids a worker remembers in a generation, and the longest that it does.
-REMEMBERED, LONGEST = 200_000, 40
+REMEMBERED, LONGEST = 700_000, 40
 #: Texts of these characters alone are cut at white space and tokenised chunk by chunk.
 _PLAIN = re.compile("[\t-\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u02af\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\\Z")
 #: Fixed values of the tokenizer: how it splits text, and the characters that stand for bytes.
@@ -86,6 +86,7 @@ _loaded: dict[str, Words] = {}
 def words_for(path: str) -> Words:
     if path not in _loaded:
         _loaded[path] = Words(path)
+    remember("packing", _loaded.clear)
     return _loaded[path]
 
 
@@ -142,4 +143,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, ope
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return in_small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(lean(run), OUT)
+    return in_small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(lean(run, "packing"), OUT)
