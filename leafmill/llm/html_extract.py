@@ -6,12 +6,12 @@ with the same vector form an equivalence class; a class that occurs on enough pa
 template.  The vectors are compared by additive fingerprints, so they are summed in every task
 before the shuffle and a host with a third of all pages is no larger than another.
 
-The classes that occur once on each page nest into the template's frame.  Its slots are the
+The classes that occur once on nearly all their pages nest into the template's frame.  Its slots are the
 elements' contents; slots that name themselves menus, headers, footers, side bars, notices, adverts,
 forms or comments, or whose text is mostly links over the whole host, are boilerplate.  Of the
 others, the innermost one that holds nearly all the remaining text of the host is the main slot; what
 it holds, less the boilerplate slots inside it, is the page's text.  An `article` or `main` element
-says so itself.  A page without its host's main slot is read by the same rules on its own.
+with at least half of the text says so itself.  A page without its host's main slot is read by the same rules on its own.
 
 Blocks are the runs of text between block-level tags.  Character references are decoded, white
 space within a block becomes one space, blocks are joined by one space.
@@ -36,6 +36,8 @@ from leafmill.llm.graph import saved
 
 #: Share of a host's pages on which a template token occurs; of its remaining text that the main slot holds.
 SUPPORT, HOLDS, LINKS = 0.6, 0.9, 0.6
+#: Of the pages with a frame's token, the share on which it occurs once; of a host's or page's text, the share that an `article` or `main` must hold to be the main slot.
+ONCE, MOST = 0.9, 0.5
 #: Hosts whose templates are broadcast; more are joined by shuffle.
 FEW_HOSTS = 50_000
 
@@ -60,10 +62,10 @@ _SCOPE = frozenset("ul ol table div article section body td th blockquote nav as
 class Element:
     """An open element."""
 
-    __slots__ = ("boiler", "link", "main", "path", "tag")
+    __slots__ = ("boiler", "link", "main", "own", "path", "tag")
 
-    def __init__(self, tag: str, path: str, boiler: bool, link: bool, main: bool):
-        self.tag, self.path, self.boiler, self.link, self.main = tag, path, boiler, link, main
+    def __init__(self, tag: str, path: str, boiler: bool, link: bool, main: bool, own: bool = False):
+        self.tag, self.path, self.boiler, self.link, self.main, self.own = tag, path, boiler, link, main, own
 
 
 _known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
@@ -114,7 +116,7 @@ def read(text: str) -> Iterator[tuple[str, Element | None, str]]:
                         yield "close", stack.pop(), ""
         name, boiler, main = _described(tag, m[4].strip())
         above = stack[-1]
-        element = Element(tag, f"{above.path}/{name}", above.boiler or boiler, above.link or tag == "a", above.main or main)
+        element = Element(tag, f"{above.path}/{name}", above.boiler or boiler, above.link or tag == "a", above.main or main, main)
         yield "open", element, ""
         if tag in _VOID or m[4].endswith("/"):
             if tag in ("br", "hr"):
@@ -132,22 +134,25 @@ def main_text(page: str, slot: str | None) -> str:
     """The text of the main slot (a path), or, without one, of what calls itself main, or else of all but boilerplate."""
     blocks: list[tuple[bool, bool, list[str]]] = [(False, False, [])]
     place = (False, False)
-    seen_main = seen_slot = False
+    seen_slot, chars, chars_main = False, 0, 0
     for kind, element, text in read(page):
         if kind == "text":
             if not element.boiler:
                 inside = slot is not None and (element.path == slot or element.path.startswith(f"{slot}/"))
                 seen_slot |= inside
-                seen_main |= element.main
+                size = len(text.strip())
+                chars += size
+                chars_main += size * element.main
                 place = (inside, element.main)
                 if blocks[-1][:2] != place:
                     blocks.append((*place, []))
                 blocks[-1][2].append(text)
         elif kind == "break" or element.tag in _BLOCK:
             blocks.append((*place, []))
+    by_main = chars_main > 0 and chars_main >= MOST * chars
     out = []
     for inside, main, parts in blocks:
-        if parts and (inside if seen_slot else main if seen_main else True):
+        if parts and (inside if seen_slot else main if by_main else True):
             out.append(" ".join(html.unescape("".join(parts)).split()))
     return " ".join(b for b in out if b)
 
@@ -164,10 +169,10 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, key, page in zip(batch["host"].to_pylist(), batch["key"].to_pylist(), batch["html"], strict=True):
             counts: dict[str, list] = {"": [1, 0, 0, False, False]}
-            path: list[list] = []
+            path: list[list] = [counts[""]]
             for kind, element, text in read(page.as_py() or ""):
                 if kind == "open":
-                    own = counts.setdefault(element.path, [0, 0, 0, element.boiler, element.main])
+                    own = counts.setdefault(element.path, [0, 0, 0, element.boiler, element.own])
                     own[0] += 1
                     if element.tag not in _VOID:
                         path.append(own)
@@ -184,26 +189,27 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 vector = _mix(key + n * 0x5851F42D4C957F2D & (1 << 64) - 1)
                 own = found.get((host, token))
                 if own is None:
-                    own = found[host, token] = [0, 0, 0, 0, 0, 0, boiler, main]
+                    own = found[host, token] = [0, 0, 0, 0, 0, 0, 0, boiler, main]
                 own[0] += vector >> 32
                 own[1] += vector & 0xFFFFFFFF
                 own[2] += 1
                 own[3] += n
-                own[4] += chars
-                own[5] += links
+                own[4] += n == 1
+                own[5] += chars
+                own[6] += links
         if len(found) > 100_000:
             yield _told(found)
             found = {}
     yield _told(found)
 
 
-_TOLD = "host string, token string, high long, low long, pages long, times long, chars long, links long, boiler boolean, main boolean"
+_TOLD = "host string, token string, high long, low long, pages long, times long, once long, chars long, links long, boiler boolean, main boolean"
 
 
 def _told(found: dict) -> pa.RecordBatch:
     rows = [(h, t, *v) for (h, t), v in found.items()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 10
-    kinds = [pa.string(), pa.string(), *[pa.int64()] * 6, pa.bool_(), pa.bool_()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 11
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
@@ -215,10 +221,12 @@ def template(table: pa.Table) -> pa.Table:
     for r in rows:
         if r["pages"] >= SUPPORT * pages:
             classes.setdefault((r["high"] & 0xFFFFFFFF, r["low"] & 0xFFFFFFFF, r["pages"]), []).append(r)
-    # A class is a frame if each of its tokens occurs once on a page; frames nest, since a path holds its parents'.
-    frame = [r for own in classes.values() if all(r["times"] == r["pages"] for r in own) for r in own]
-    slots = [r for r in frame if r["token"] and not r["boiler"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
-    named = [r for r in slots if r["main"]]
+    # A class is a frame if its tokens occur once on nearly all their pages; frames nest, since a path holds its parents'.
+    usual = [r for own in classes.values() for r in own if r["token"] and not r["boiler"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
+    slots = [r for r in usual if r["once"] >= ONCE * r["pages"]]
+    # Only elements that are themselves `article` or `main`, however often they occur, and none that leaves out most of the text.
+    every = next(r["chars"] for r in rows if r["token"] == "")
+    named = [r for r in usual if r["main"] and r["chars"] >= MOST * every]
     best = None
     if named:
         best = max(named, key=lambda r: (r["chars"], -r["token"].count("/")))
@@ -238,7 +246,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """For each host: slot (the main slot's path), pages, classes (template classes found)."""
     rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"), F.col(html_col).cast("string").alias("html"))
     sums = rows.mapInArrow(tokens, _TOLD).groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "chars", "links")], F.first("boiler").alias("boiler"), F.first("main").alias("main")
+        *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "once", "chars", "links")], F.first("boiler").alias("boiler"), F.first("main").alias("main")
     )
     return sums.groupBy("host").applyInArrow(template, "host string, slot string, pages long, classes long")
 

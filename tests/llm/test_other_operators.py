@@ -268,6 +268,22 @@ def test_equivalence_classes(spark):
     assert (found.host, found.slot, found.pages) == ("h.com", "/html/body/article", 9) and found.classes >= 2
 
 
+def texts_of(spark, pages: list[str], host: str = "h.com") -> list[str]:
+    df = spark.createDataFrame([(k, f"https://{host}/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extract.extract(df).orderBy("page_id").collect()]
+
+
+def test_one_page_with_two_articles_costs_no_other_page_its_body(spark):
+    bodies = [H.prose(k, 30) for k in range(12)]
+    pages = [f"<body><article><h1>Title {k}</h1><p>{' '.join(b[:15])}</p><p>{' '.join(b[15:])}</p></article>{'<article>card</article>' if k == 5 else ''}</body>" for k, b in enumerate(bodies)]
+    assert texts_of(spark, pages) == [f"Title {k} {' '.join(b)}{' card' if k == 5 else ''}" for k, b in enumerate(bodies)]
+
+
+def test_a_small_article_is_not_the_page(spark):
+    bodies = [" ".join(H.prose(k, 30)) for k in range(6)]
+    assert texts_of(spark, [f"<body><div class='x'><p>{b}</p></div><article>card {k}</article></body>" for k, b in enumerate(bodies)])[3].startswith(bodies[3])
+
+
 # Quality
 
 
