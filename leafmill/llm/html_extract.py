@@ -8,7 +8,9 @@ before the shuffle and a host with a third of all pages is no larger than anothe
 
 The classes that occur once on nearly all their pages nest into the template's frame.  Its slots are the
 elements' contents; slots that name themselves menus, headers, footers, side bars, notices, adverts,
-forms or comments, or whose text is mostly links over the whole host, are boilerplate.  Of the
+forms or comments, or whose text is mostly links over the whole host, are boilerplate.  A name in a class,
+id or role is a hint only: it counts neither for what holds the page's article nor where its elements hold
+most of the text, and within an article only if it can mean nothing else.  Of the
 others, the innermost one that holds nearly all the remaining text of the host is the main slot; what
 it holds, less the boilerplate slots inside it, is the page's text.  An `article` or `main` element
 with at least half of the text says so itself.  A page without its host's main slot is read by the same rules on its own.
@@ -46,13 +48,22 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-_BOILERPLATE = frozenset("nav header footer aside form head menu dialog button".split())
+#: Boilerplate by their tags.  A form or header may also hold the page.
+_BOILERPLATE = frozenset("nav footer aside menu dialog button".split())
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:igation|bar)?|breadcrumbs?|side-?bar|footer|header|masthead|"
+    r"(?:^|[_-])(ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|menu|nav(?:igation|bar)?|breadcrumbs?|side-?bar|footer|header|masthead|"
     r"cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|comments?|disqus|replies|related|recommended|share|sharing|social|subscribe|newsletter|signup|login|search|"
-    r"pagination|pager|toolbar|widget|copyright|contentinfo|complementary|banner)(?:$|[\s_-])",
+    r"pagination|pager|toolbar|widget|copyright|contentinfo|complementary)(?=$|[_-])",
     re.I,
 )
+#: Names that tell what an element has, not what it is.
+_STATE = re.compile(r"(?:has|no|not|with|without|is|fixed|sticky)[_-]", re.I)
+#: Names that mean boilerplate within an article too: as the last word of a name, or as the whole name.
+_LAST = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|breadcrumbs?|side-?bar|cookies?|gdpr|comments?|disqus|share|sharing|subscribe|newsletter|pagination|pager)$", re.I)
+_WHOLE = frozenset("related recommended social promo promotion popup modal signup login nav navigation".split())
+#: What holds an article's own text, whatever its name.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre figure figcaption".split())
+_NONE: frozenset[str] = frozenset()
 _MAIN = re.compile(r"^(?:article|main)(?:$|[.#@])|@main\b")
 #: An element that these tags close when it is still open.
 _ENDS = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -60,39 +71,56 @@ _SCOPE = frozenset("ul ol table div article section body td th blockquote nav as
 
 
 class Element:
-    """An open element."""
+    """An open element.  chars: of its text that is not hidden or a link; words: what it calls itself, within: within an article."""
 
-    __slots__ = ("boiler", "link", "main", "own", "path", "tag")
+    __slots__ = ("above", "boiler", "chars", "hidden", "link", "main", "own", "path", "tag", "title", "within", "words")
 
-    def __init__(self, tag: str, path: str, boiler: bool, link: bool, main: bool, own: bool = False):
-        self.tag, self.path, self.boiler, self.link, self.main, self.own = tag, path, boiler, link, main, own
+    def __init__(self, tag: str, path: str, above: Element | None, hidden: bool, link: bool, own: bool, words: frozenset[str], within: frozenset[str]):
+        self.tag, self.path, self.above, self.hidden, self.link, self.own, self.words, self.within = tag, path, above, hidden, link, own, words, within
+        self.main, self.boiler, self.title, self.chars = own or (above is not None and above.main), hidden, tag == "h1", 0
 
 
-_known: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_known: dict[tuple[str, str], tuple[str, bool, bool, frozenset[str], frozenset[str]]] = {}
 
 
-def _described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """What an element is called in paths, whether it calls itself boilerplate, whether main content."""
+def _described(tag: str, attributes: str) -> tuple[str, bool, bool, frozenset[str], frozenset[str]]:
+    """What an element is called in paths, whether it is hidden, whether it is main content, its boilerplate words and those that hold within an article."""
     key = (tag, attributes if len(attributes) < 200 and "href" not in attributes else "")
     if key in _known and (key[1] or not attributes):
         return _known[key]
     names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
     name = tag + "".join(sign + re.sub(r"[\s>]+", ".", re.sub(r"\d+", "0", names[k])) for k, sign in (("class", "."), ("id", "#"), ("role", "@")) if names.get(k))
-    main = bool(_MAIN.search(name)) and not _NAMED.search(names.get("class", ""))
-    boiler = tag in _BOILERPLATE or bool(attributes and _HIDDEN.search(attributes)) or (not main and tag != "body" and tag != "html" and any(_NAMED.search(v) for v in names.values()))
+    hidden = tag == "head" or (tag not in ("body", "html") and bool(attributes and _HIDDEN.search(attributes)))
+    called = [w.lower() for v in names.values() for w in v.split() if not _STATE.match(w)]
+    inside = frozenset(w for w in called if _LAST.search(w) or w in _WHOLE)
+    main = bool(_MAIN.search(name)) and not inside
+    words = within = _NONE
+    if not main and tag not in ("body", "html"):
+        words = frozenset(x for w in called for x in _NAMED.findall(w)) | ({f"<{tag}>"} if tag in ("form", "header") else _NONE)
+        within = _NONE if tag in _PROSE else inside | ({"<form>"} if tag == "form" else _NONE)
     if len(_known) > 50_000:
         _known.clear()
-    _known[key] = (name, boiler, main)
-    return name, boiler, main
+    _known[key] = found = (name, hidden, main, words, within)
+    return found
 
 
-def read(text: str) -> Iterator[tuple[str, Element | None, str]]:
-    """('open', element, ''), ('close', element, ''), ('text', innermost element, text) and ('break', element, '') in page order."""
-    root = Element("", "", False, False, False)
+def _events(text: str, opened: list[Element]) -> Iterator[tuple[str, Element, str]]:
+    root = Element("", "", None, False, False, False, _NONE, _NONE)
+    opened.append(root)
     stack, at = [root], 0
+
+    def close() -> tuple[str, Element, str]:
+        e = stack.pop()
+        e.above.chars += e.chars
+        e.above.title |= e.title
+        return "close", e, ""
+
     for m in _TOKEN.finditer(text):
         if m.start() > at:
-            yield "text", stack[-1], text[at : m.start()]
+            run, e = text[at : m.start()], stack[-1]
+            if not e.hidden and not e.link:
+                e.chars += len(run.strip())
+            yield "text", e, run
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -102,7 +130,7 @@ def read(text: str) -> Iterator[tuple[str, Element | None, str]]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if depth:
                 while len(stack) > depth:
-                    yield "close", stack.pop(), ""
+                    yield close()
             elif tag in _BLOCK or tag == "br":
                 yield "break", stack[-1], ""
             continue
@@ -113,10 +141,11 @@ def read(text: str) -> Iterator[tuple[str, Element | None, str]]:
                     depth -= 1
                 if depth and stack[depth].tag == ending:
                     while len(stack) > depth:
-                        yield "close", stack.pop(), ""
-        name, boiler, main = _described(tag, m[4].strip())
+                        yield close()
+        name, hidden, main, words, within = _described(tag, m[4].strip())
         above = stack[-1]
-        element = Element(tag, f"{above.path}/{name}", above.boiler or boiler, above.link or tag == "a", above.main or main, main)
+        element = Element(tag, f"{above.path}/{name}", above, above.hidden or hidden, above.link or tag == "a", main, words, within)
+        opened.append(element)
         yield "open", element, ""
         if tag in _VOID or m[4].endswith("/"):
             if tag in ("br", "hr"):
@@ -124,10 +153,52 @@ def read(text: str) -> Iterator[tuple[str, Element | None, str]]:
         else:
             stack.append(element)
     if at < len(text):
-        rest = text[at:]
-        yield "text", stack[-1], rest if not re.match(r"<[a-zA-Z/!?]", rest) else ""
+        rest, e = text[at:], stack[-1]
+        rest = rest if not re.match(r"<[a-zA-Z/!?]", rest) else ""
+        if not e.hidden and not e.link:
+            e.chars += len(rest.strip())
+        yield "text", e, rest
     while len(stack) > 1:
-        yield "close", stack.pop(), ""
+        yield close()
+
+
+def _judge(opened: list[Element]) -> None:
+    """Sets which elements are boilerplate.  A name is a hint: it does not count for what holds the page's article, nor
+    where the elements of that name hold most of the text of the page or of the article that they are in."""
+    root = opened[0]
+    article = max((e for e in opened if e.own and not e.hidden), key=lambda e: e.chars, default=None)
+    most, holders, e = article is not None and article.chars > MOST * root.chars, set(), article
+    while e is not None:
+        holders.add(id(e))
+        e = e.above
+    hints: dict[int, tuple[frozenset[str], Element]] = {}
+    sums: dict[tuple[int, str], int] = {}
+    outer: dict[int, frozenset[str]] = {}
+    scopes = {id(root): root}
+    for e in opened[1:]:
+        up = id(e.above)
+        scope = scopes[id(e)] = e if e.own else scopes[up]
+        seen = outer[id(e)] = _NONE if e.own else outer.get(up, _NONE)
+        words = e.within if e.above.main else e.words
+        if words and id(e) not in holders:
+            if e.title:
+                words = words - {"<header>", "header"}
+            for w in words - seen:
+                sums[id(scope), w] = sums.get((id(scope), w), 0) + e.chars
+            outer[id(e)] = seen | words
+            hints[id(e)] = (words, scope)
+    for e in opened[1:]:
+        words, scope = hints.get(id(e), (_NONE, root))
+        named = any(sums.get((id(scope), w), 0) <= MOST * scope.chars for w in words)
+        e.boiler = e.hidden or e.above.boiler or named or (e.tag in _BOILERPLATE and not (most and id(e) in holders))
+
+
+def read(text: str) -> list[tuple[str, Element, str]]:
+    """('open', element, ''), ('close', element, ''), ('text', innermost element, text) and ('break', element, '') in page order."""
+    opened: list[Element] = []
+    events = list(_events(text, opened))
+    _judge(opened)
+    return events
 
 
 def main_text(page: str, slot: str | None) -> str:
@@ -168,11 +239,11 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[tuple[str, str], list] = {}
     for batch in batches:
         for host, key, page in zip(batch["host"].to_pylist(), batch["key"].to_pylist(), batch["html"], strict=True):
-            counts: dict[str, list] = {"": [1, 0, 0, False, False]}
+            counts: dict[str, list] = {"": [1, 0, 0, False]}
             path: list[list] = [counts[""]]
             for kind, element, text in read(page.as_py() or ""):
                 if kind == "open":
-                    own = counts.setdefault(element.path, [0, 0, 0, element.boiler, element.own])
+                    own = counts.setdefault(element.path, [0, 0, 0, element.own])
                     own[0] += 1
                     if element.tag not in _VOID:
                         path.append(own)
@@ -180,16 +251,14 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     path.pop()
                 elif kind == "text":
                     size = len(text.strip())
-                    for own in path if size else ():
-                        if element.boiler and not own[3]:
-                            continue
+                    for own in path if size and not element.boiler else ():
                         own[1] += size
                         own[2] += size * element.link
-            for token, (n, chars, links, boiler, main) in counts.items():
+            for token, (n, chars, links, main) in counts.items():
                 vector = _mix(key + n * 0x5851F42D4C957F2D & (1 << 64) - 1)
                 own = found.get((host, token))
                 if own is None:
-                    own = found[host, token] = [0, 0, 0, 0, 0, 0, 0, boiler, main]
+                    own = found[host, token] = [0, 0, 0, 0, 0, 0, 0, main]
                 own[0] += vector >> 32
                 own[1] += vector & 0xFFFFFFFF
                 own[2] += 1
@@ -203,13 +272,13 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _told(found)
 
 
-_TOLD = "host string, token string, high long, low long, pages long, times long, once long, chars long, links long, boiler boolean, main boolean"
+_TOLD = "host string, token string, high long, low long, pages long, times long, once long, chars long, links long, main boolean"
 
 
 def _told(found: dict) -> pa.RecordBatch:
     rows = [(h, t, *v) for (h, t), v in found.items()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 11
-    kinds = [pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_(), pa.bool_()]
+    columns = list(zip(*rows, strict=True)) or [[]] * 10
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
@@ -222,7 +291,7 @@ def template(table: pa.Table) -> pa.Table:
         if r["pages"] >= SUPPORT * pages:
             classes.setdefault((r["high"] & 0xFFFFFFFF, r["low"] & 0xFFFFFFFF, r["pages"]), []).append(r)
     # A class is a frame if its tokens occur once on nearly all their pages; frames nest, since a path holds its parents'.
-    usual = [r for own in classes.values() for r in own if r["token"] and not r["boiler"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
+    usual = [r for own in classes.values() for r in own if r["token"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
     slots = [r for r in usual if r["once"] >= ONCE * r["pages"]]
     # Only elements that are themselves `article` or `main`, however often they occur, and none that leaves out most of the text.
     every = next(r["chars"] for r in rows if r["token"] == "")
@@ -246,7 +315,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """For each host: slot (the main slot's path), pages, classes (template classes found)."""
     rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"), F.col(html_col).cast("string").alias("html"))
     sums = rows.mapInArrow(tokens, _TOLD).groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "once", "chars", "links")], F.first("boiler").alias("boiler"), F.first("main").alias("main")
+        *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "once", "chars", "links")], F.first("main").alias("main")
     )
     return sums.groupBy("host").applyInArrow(template, "host string, slot string, pages long, classes long")
 

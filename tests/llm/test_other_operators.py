@@ -284,6 +284,33 @@ def test_a_small_article_is_not_the_page(spark):
     assert texts_of(spark, [f"<body><div class='x'><p>{b}</p></div><article>card {k}</article></body>" for k, b in enumerate(bodies)])[3].startswith(bodies[3])
 
 
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ("<div class='content has-sidebar'><article>", "</article></div>"),
+        ("<div class='no-sidebar'><article>", "</article></div>"),
+        ("<div id='page' class='fixed-header'><article class='no-sidebar'>", "</article></div>"),
+        ("<div class='menu'><article>", "</article></div>"),
+        ("<div class='elementor-widget'>", "</div>"),
+        ("<form><div class='widget'>", "</div></form>"),
+    ],
+)
+def test_a_name_does_not_empty_a_page(start, end):
+    text = " ".join(H.prose(7, 60))
+    assert html_extract.main_text(f"<body><nav>Home</nav><div class='cookie-notice'>We use cookies</div>{start}<p>{text}</p>{end}<footer>c</footer></body>", None) == text
+
+
+def test_many_small_elements_of_one_name_are_the_page():
+    words = [" ".join(H.prose(k, 20)) for k in range(8)]
+    assert html_extract.main_text("<div class='ad'>buy</div>" + "".join(f"<div class='elementor-widget w{k}'><p>{w}</p></div>" for k, w in enumerate(words)), None) == " ".join(words)
+
+
+def test_names_within_an_article():
+    page = "<article><header><h1>Title</h1></header><div class='section-header'>Part</div><p class='notice'>Mind this</p><p>One two three four five six</p><div class='post-comments'>first</div><div class='share'>tweet</div></article>"
+    assert html_extract.main_text(page, None) == "Title Part Mind this One two three four five six"
+    assert html_extract.main_text("<header><h1>Title</h1></header><p>One two</p><div class='login'>x</div>", None) == "Title One two"
+
+
 # Quality
 
 
