@@ -85,8 +85,8 @@ _known: dict[tuple[str, str], tuple[str, bool, bool, frozenset[str], frozenset[s
 
 def _described(tag: str, attributes: str) -> tuple[str, bool, bool, frozenset[str], frozenset[str]]:
     """What an element is called in paths, whether it is hidden, whether it is main content, its boilerplate words and those that hold within an article."""
-    key = (tag, attributes if len(attributes) < 200 and "href" not in attributes else "")
-    if key in _known and (key[1] or not attributes):
+    key = (tag, attributes)
+    if key in _known:
         return _known[key]
     names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
     name = tag + "".join(sign + re.sub(r"[\s>]+", ".", re.sub(r"\d+", "0", names[k])) for k, sign in (("class", "."), ("id", "#"), ("role", "@")) if names.get(k))
@@ -98,9 +98,11 @@ def _described(tag: str, attributes: str) -> tuple[str, bool, bool, frozenset[st
     if not main and tag not in ("body", "html"):
         words = frozenset(x for w in called for x in _NAMED.findall(w)) | ({f"<{tag}>"} if tag in ("form", "header") else _NONE)
         within = _NONE if tag in _PROSE else inside | ({"<form>"} if tag == "form" else _NONE)
-    if len(_known) > 50_000:
-        _known.clear()
-    _known[key] = found = (name, hidden, main, words, within)
+    found = (name, hidden, main, words, within)
+    if len(attributes) < 200 and "href" not in attributes:
+        if len(_known) > 50_000:
+            _known.clear()
+        _known[key] = found
     return found
 
 

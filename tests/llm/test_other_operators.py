@@ -311,6 +311,13 @@ def test_names_within_an_article():
     assert html_extract.main_text("<header><h1>Title</h1></header><p>One two</p><div class='login'>x</div>", None) == "Title One two"
 
 
+@pytest.mark.parametrize("attributes", ["class='menu' data-href='/x'", f"style='{'color:red;' * 30}display:none'"])
+def test_what_is_remembered_of_an_element_is_its_own(attributes):
+    html_extract._known.clear()
+    assert html_extract.main_text(f"<div {attributes}>x</div><p>one two three</p>", None) == "one two three"
+    assert html_extract.main_text("<div>plain</div><p>one two three</p>", None) == "plain one two three"
+
+
 # Quality
 
 
