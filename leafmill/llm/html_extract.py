@@ -20,7 +20,8 @@ space within a block becomes one space, blocks are joined by one space.
 
 Null or empty html has no text.  Pages without a host (null url) are one group.  Null ids and
 repeated rows are kept.  Broken markup is read as far as it goes: an end tag closes its element and
-all in it, an unknown one is ignored, a block ends an open paragraph.  Other columns are ignored.
+all in it, an unknown one is ignored, of a script or style without end tag all that follows is ignored, of
+another element without text (svg, select, title and so on) its tag alone, a block ends an open paragraph.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +44,11 @@ ONCE, MOST = 0.9, 0.5
 #: Hosts whose templates are broadcast; more are joined by shuffle.
 FEW_HOSTS = 50_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|title|svg|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S)
+#: Elements whose content is not the page's text: the start and end tags of each.
+_SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.I) for t in "script style noscript template iframe textarea title svg select object".split()}
+#: Of these, those whose content is no markup: up to the first end tag, or else to the end of the page; "/>" does not close them.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style")}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -106,10 +111,22 @@ def _described(tag: str, attributes: str) -> tuple[str, bool, bool, frozenset[st
     return found
 
 
+def _ends(tag: str, text: str, at: int) -> dict[int, int]:
+    """Where the elements of a tag end that have an end tag, by where their start tags end."""
+    found, starts = {}, []
+    for m in _SKIPPED[tag].finditer(text, at):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                starts.append(m.end())
+        elif starts:
+            found[starts.pop()] = m.end()
+    return found
+
+
 def _events(text: str, opened: list[Element]) -> Iterator[tuple[str, Element, str]]:
     root = Element("", "", None, False, False, False, _NONE, _NONE)
     opened.append(root)
-    stack, at = [root], 0
+    stack, at, ends = [root], 0, {}
 
     def close() -> tuple[str, Element, str]:
         e = stack.pop()
@@ -117,18 +134,26 @@ def _events(text: str, opened: list[Element]) -> Iterator[tuple[str, Element, st
         e.above.title |= e.title
         return "close", e, ""
 
-    for m in _TOKEN.finditer(text):
+    while m := _TOKEN.search(text, at):
         if m.start() > at:
             run, e = text[at : m.start()], stack[-1]
             if not e.hidden and not e.link:
                 e.chars += len(run.strip())
             yield "text", e, run
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
-        if m[2]:
+        if tag in _SKIPPED and not m[1]:
+            if tag in _RAW:
+                at = _RAW[tag].search(text, at).end()
+            elif not m[3].endswith("/"):
+                if tag not in ends:
+                    ends[tag] = _ends(tag, text, m.start())
+                at = ends[tag].get(at, at)
+            continue
+        if m[1]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if depth:
                 while len(stack) > depth:
@@ -144,12 +169,12 @@ def _events(text: str, opened: list[Element]) -> Iterator[tuple[str, Element, st
                 if depth and stack[depth].tag == ending:
                     while len(stack) > depth:
                         yield close()
-        name, hidden, main, words, within = _described(tag, m[4].strip())
+        name, hidden, main, words, within = _described(tag, m[3].strip())
         above = stack[-1]
         element = Element(tag, f"{above.path}/{name}", above, above.hidden or hidden, above.link or tag == "a", main, words, within)
         opened.append(element)
         yield "open", element, ""
-        if tag in _VOID or m[4].endswith("/"):
+        if tag in _VOID or m[3].endswith("/"):
             if tag in ("br", "hr"):
                 yield "break", element, ""
         else:

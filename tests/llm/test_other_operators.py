@@ -318,6 +318,12 @@ def test_what_is_remembered_of_an_element_is_its_own(attributes):
     assert html_extract.main_text("<div>plain</div><p>one two three</p>", None) == "plain one two three"
 
 
+@pytest.mark.parametrize("start", ["<svg class='icon'/>", "<svg class='icon'>", "<select-box>a</select-box>", "<title-bar>a</title-bar>", "<template-view>", "<object data='x'>", "<select>", "<!-->", "<svg/><svg><title>no</title></svg>", "<SVG title='a>b'>no</SVG>", "<template>no<template>no</template>no</template>"])
+def test_nothing_is_cut_after_an_element_without_an_end_tag(start):
+    got = html_extract.main_text(f"<body><p>one</p>{start}<p>two</p><p>three<svg>no</svg></p><script>no", None)
+    assert got.replace("one a ", "one ") == "one two three"
+
+
 # Quality
 
 
