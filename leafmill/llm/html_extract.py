@@ -11,7 +11,7 @@ elements' contents; slots that name themselves menus, headers, footers, side bar
 forms or comments, or whose text is mostly links over the whole host, are boilerplate.  A name in a class,
 id or role is a hint only: it counts neither for what holds the page's article nor where its elements hold
 most of the text, and within an article only if it can mean nothing else.  Of the
-others, the innermost one that holds nearly all the remaining text of the host is the main slot; what
+others, the innermost one that holds all the remaining text of the host is the main slot; what
 it holds, less the boilerplate slots inside it, is the page's text.  An `article` or `main` element
 with at least half of the text says so itself.  A page without its host's main slot is read by the same rules on its own.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.graph import saved
 
-#: Share of a host's pages on which a template token occurs; of its remaining text that the main slot holds.
-SUPPORT, HOLDS, LINKS = 0.6, 0.9, 0.6
+#: Share of a host's pages on which a template token occurs; share of links in a slot's text beyond which it is boilerplate.
+SUPPORT, LINKS = 0.6, 0.6
 #: Of the pages with a frame's token, the share on which it occurs once; of a host's or page's text, the share that an `article` or `main` must hold to be the main slot.
 ONCE, MOST = 0.9, 0.5
 #: Hosts whose templates are broadcast; more are joined by shuffle.
@@ -309,6 +309,16 @@ def _told(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
+def _left(rows: list[dict], support: float) -> Callable[[str], int]:
+    """How much text a path holds besides the slots of links in it."""
+    links: list[dict] = []
+    for r in sorted(rows, key=lambda r: r["token"].split("/")):
+        if r["token"] and r["pages"] >= support and r["links"] > LINKS * r["chars"] and not (links and r["token"].startswith(f"{links[-1]['token']}/")):
+            links.append(r)
+    chars = {r["token"]: r["chars"] for r in rows}
+    return lambda token: chars[token] - sum(r["chars"] for r in links if r["token"] == token or r["token"].startswith(f"{token}/"))
+
+
 def template(table: pa.Table) -> pa.Table:
     """The main slot of one host, from its tokens' occurrence vectors."""
     rows = table.to_pylist()
@@ -327,8 +337,9 @@ def template(table: pa.Table) -> pa.Table:
     if named:
         best = max(named, key=lambda r: (r["chars"], -r["token"].count("/")))
     elif slots and pages > 2:
-        most = max(r["chars"] - r["links"] for r in slots)
-        best = max((r for r in slots if r["chars"] - r["links"] >= HOLDS * most), key=lambda r: (r["token"].count("/"), r["chars"], r["token"]))
+        left = _left(rows, SUPPORT * pages)
+        most = left("")
+        best = max((r for r in slots if most and left(r["token"]) == most), key=lambda r: (r["token"].count("/"), r["token"]), default=None)
     return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "slot": pa.array([best["token"] if best else None], pa.string()), "pages": pa.array([pages], pa.int64()), "classes": pa.array([len(classes)], pa.int64())})
 
 

@@ -324,6 +324,12 @@ def test_nothing_is_cut_after_an_element_without_an_end_tag(start):
     assert got.replace("one a ", "one ") == "one two three"
 
 
+def test_title_and_lead_stay_on_hosts_of_any_size(spark):
+    bodies = [" ".join(H.prose(k, 200)) for k in range(6)]
+    pages = [f"<body><div class='links'>{'<a>go</a>' * 5}</div><div class='wrap'><h1>Title {k}</h1><p class='lead'>Lead {k}</p><div class='text'><p>{b[:300]}</p><p>{b[300:]}</p></div></div></body>" for k, b in enumerate(bodies)]
+    assert [t.split() for t in texts_of(spark, pages)] == [f"Title {k} Lead {k} {b[:300]} {b[300:]}".split() for k, b in enumerate(bodies)]
+
+
 # Quality
 
 
