@@ -1,6 +1,7 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its elements, told apart by their path of tags, classes, ids and roles.  Over the
+A page's tokens are its elements, told apart by their path of tags, classes, ids and roles, and outside
+`article` and `main` its blocks' runs of text, told apart by path and text.  Over the
 pages of one host each token has an occurrence vector (how often it occurs on each page).  Tokens
 with the same vector form an equivalence class; a class that occurs on enough pages is part of the
 template.  The vectors are compared by additive fingerprints, so they are summed in every task
@@ -12,7 +13,9 @@ forms or comments, or whose text is mostly links over the whole host, are boiler
 id or role is a hint only: it counts neither for what holds the page's article nor where its elements hold
 most of the text, and within an article only if it can mean nothing else.  Of the
 others, the innermost one that holds all the remaining text of the host is the main slot; what
-it holds, less the boilerplate slots inside it, is the page's text.  An `article` or `main` element
+it holds, less the boilerplate slots inside it, is the page's text.  A run of text in the class of its element,
+or missing on at most a tenth of the element's pages, is the template's and goes too, unless such runs are most
+of the host's text, or the page's whole text, or the host has under five pages: these may be copies.  An `article` or `main` element
 with at least half of the text says so itself.  A page without its host's main slot is read by the same rules on its own.
 
 Blocks are the runs of text between block-level tags.  Character references are decoded, white
@@ -26,6 +29,7 @@ another element without text (svg, select, title and so on) its tag alone, a blo
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -41,6 +45,8 @@ from leafmill.llm.graph import saved
 SUPPORT, LINKS = 0.6, 0.6
 #: Of the pages with a frame's token, the share on which it occurs once; of a host's or page's text, the share that an `article` or `main` must hold to be the main slot.
 ONCE, MOST = 0.9, 0.5
+#: Pages of a host below which equal text may as well be copies of a page.
+FEW_PAGES = 5
 #: Hosts whose templates are broadcast; more are joined by shuffle.
 FEW_HOSTS = 50_000
 
@@ -228,30 +234,57 @@ def read(text: str) -> list[tuple[str, Element, str]]:
     return events
 
 
-def main_text(page: str, slot: str | None) -> str:
-    """The text of the main slot (a path), or, without one, of what calls itself main, or else of all but boilerplate."""
-    blocks: list[tuple[bool, bool, list[str]]] = [(False, False, [])]
-    place = (False, False)
-    seen_slot, chars, chars_main = False, 0, 0
-    for kind, element, text in read(page):
+def runs(events: list[tuple[str, Element, str]]) -> Iterator[list[tuple[Element, str]]]:
+    """The texts outside boilerplate of each block."""
+    run: list[tuple[Element, str]] = []
+    for kind, element, text in events:
         if kind == "text":
             if not element.boiler:
-                inside = slot is not None and (element.path == slot or element.path.startswith(f"{slot}/"))
-                seen_slot |= inside
-                size = len(text.strip())
-                chars += size
-                chars_main += size * element.main
+                run.append((element, text))
+        elif run and (kind == "break" or element.tag in _BLOCK):
+            yield run
+            run = []
+    if run:
+        yield run
+
+
+def _plain(parts: list[str]) -> str:
+    return " ".join(html.unescape("".join(parts)).split())
+
+
+def _run_token(run: list[tuple[Element, str]]) -> str | None:
+    """A run as a token: its element's path and a fingerprint of its text.  None within an article, whose text is its own."""
+    first = next((e for e, text in run if text.strip()), None)
+    if first is None or first.main:
+        return None
+    return f"{first.path}\n{hashlib.blake2b(_plain([t for _, t in run]).encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+
+
+def main_text(page: str, slot: str | None, constant: frozenset[str] = _NONE) -> str:
+    """The text of the main slot (a path), or, without one, of what calls itself main, or else of all but boilerplate; less the
+    constant runs, unless nothing else is left."""
+    found = list(runs(read(page)))
+    text = _joined([r for r in found if _run_token(r) not in constant], slot) if constant else ""
+    return text or _joined(found, slot)
+
+
+def _joined(found: list[list[tuple[Element, str]]], slot: str | None) -> str:
+    blocks: list[tuple[bool, bool, list[str]]] = []
+    seen_slot, chars, chars_main = False, 0, 0
+    for run in found:
+        place = None
+        for element, text in run:
+            inside = slot is not None and (element.path == slot or element.path.startswith(f"{slot}/"))
+            seen_slot |= inside
+            size = len(text.strip())
+            chars += size
+            chars_main += size * element.main
+            if (inside, element.main) != place:
                 place = (inside, element.main)
-                if blocks[-1][:2] != place:
-                    blocks.append((*place, []))
-                blocks[-1][2].append(text)
-        elif kind == "break" or element.tag in _BLOCK:
-            blocks.append((*place, []))
+                blocks.append((*place, []))
+            blocks[-1][2].append(text)
     by_main = chars_main > 0 and chars_main >= MOST * chars
-    out = []
-    for inside, main, parts in blocks:
-        if parts and (inside if seen_slot else main if by_main else True):
-            out.append(" ".join(html.unescape("".join(parts)).split()))
+    out = [_plain(parts) for inside, main, parts in blocks if (inside if seen_slot else main if by_main else True)]
     return " ".join(b for b in out if b)
 
 
@@ -268,7 +301,8 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, key, page in zip(batch["host"].to_pylist(), batch["key"].to_pylist(), batch["html"], strict=True):
             counts: dict[str, list] = {"": [1, 0, 0, False]}
             path: list[list] = [counts[""]]
-            for kind, element, text in read(page.as_py() or ""):
+            events = read(page.as_py() or "")
+            for kind, element, text in events:
                 if kind == "open":
                     own = counts.setdefault(element.path, [0, 0, 0, element.own])
                     own[0] += 1
@@ -281,6 +315,13 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for own in path if size and not element.boiler else ():
                         own[1] += size
                         own[2] += size * element.link
+            for run in runs(events):
+                if token := _run_token(run):
+                    own = counts.setdefault(token, [0, 0, 0, False])
+                    own[0] += 1
+                    for element, text in run:
+                        own[1] += len(text.strip())
+                        own[2] += len(text.strip()) * element.link
             for token, (n, chars, links, main) in counts.items():
                 vector = _mix(key + n * 0x5851F42D4C957F2D & (1 << 64) - 1)
                 own = found.get((host, token))
@@ -309,38 +350,48 @@ def _told(found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
-def _left(rows: list[dict], support: float) -> Callable[[str], int]:
-    """How much text a path holds besides the slots of links in it."""
+def _left(rows: list[dict], constant: list[dict], support: float) -> Callable[[str], int]:
+    """How much text a path holds besides the slots of links and the constant runs in it."""
     links: list[dict] = []
     for r in sorted(rows, key=lambda r: r["token"].split("/")):
         if r["token"] and r["pages"] >= support and r["links"] > LINKS * r["chars"] and not (links and r["token"].startswith(f"{links[-1]['token']}/")):
             links.append(r)
     chars = {r["token"]: r["chars"] for r in rows}
-    return lambda token: chars[token] - sum(r["chars"] for r in links if r["token"] == token or r["token"].startswith(f"{token}/"))
+    within = lambda path, token: path == token or path.startswith(f"{token}/")
+    out = [(r["token"], r["chars"]) for r in links]
+    out += [(path, r["chars"]) for r in constant for path in r["token"].split("\n")[:1] if not any(within(path, x["token"]) for x in links)]
+    return lambda token: chars[token] - sum(n for path, n in out if within(path, token))
 
 
 def template(table: pa.Table) -> pa.Table:
-    """The main slot of one host, from its tokens' occurrence vectors."""
-    rows = table.to_pylist()
+    """The main slot and the constant runs of one host, from its tokens' occurrence vectors."""
+    tokens = table.to_pylist()
+    rows = [r for r in tokens if "\n" not in r["token"]]
     pages = next(r["pages"] for r in rows if r["token"] == "")
     classes: dict[tuple[int, int, int], list[dict]] = {}
-    for r in rows:
+    for r in tokens:
         if r["pages"] >= SUPPORT * pages:
             classes.setdefault((r["high"] & 0xFFFFFFFF, r["low"] & 0xFFFFFFFF, r["pages"]), []).append(r)
     # A class is a frame if its tokens occur once on nearly all their pages; frames nest, since a path holds its parents'.
-    usual = [r for own in classes.values() for r in own if r["token"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
+    usual = [r for own in classes.values() for r in own if r["token"] and "\n" not in r["token"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
     slots = [r for r in usual if r["once"] >= ONCE * r["pages"]]
     # Only elements that are themselves `article` or `main`, however often they occur, and none that leaves out most of the text.
     every = next(r["chars"] for r in rows if r["token"] == "")
     named = [r for r in usual if r["main"] and r["chars"] >= MOST * every]
+    # A run is the template's if it is in the class of its element, or is missing on few of the pages that have the element.
+    elements = {r["token"]: r for r in rows}
+    of = {x["token"]: elements.get(x["token"].split("\n")[0]) for own in classes.values() for x in own if "\n" in x["token"]}
+    constant = [r for r in tokens if pages >= FEW_PAGES and of.get(r["token"]) and r["pages"] >= ONCE * of[r["token"]]["pages"]]
+    # Where most of the text is constant, the pages are copies of one another.
+    constant = constant if sum(r["chars"] for r in constant) <= MOST * every else []
     best = None
     if named:
         best = max(named, key=lambda r: (r["chars"], -r["token"].count("/")))
     elif slots and pages > 2:
-        left = _left(rows, SUPPORT * pages)
+        left = _left(rows, constant, SUPPORT * pages)
         most = left("")
         best = max((r for r in slots if most and left(r["token"]) == most), key=lambda r: (r["token"].count("/"), r["token"]), default=None)
-    return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "slot": pa.array([best["token"] if best else None], pa.string()), "pages": pa.array([pages], pa.int64()), "classes": pa.array([len(classes)], pa.int64())})
+    return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "slot": pa.array([best["token"] if best else None], pa.string()), "constant": pa.array([[r["token"] for r in constant]], pa.list_(pa.string())), "pages": pa.array([pages], pa.int64()), "classes": pa.array([len(classes)], pa.int64())})
 
 
 def host_of(url_col: str):
@@ -350,23 +401,28 @@ def host_of(url_col: str):
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """For each host: slot (the main slot's path), pages, classes (template classes found)."""
+    """For each host: slot (the main slot's path), constant (its template's runs of text), pages, classes (template classes found)."""
     rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"), F.col(html_col).cast("string").alias("html"))
     sums = rows.mapInArrow(tokens, _TOLD).groupBy("host", "token").agg(
         *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "once", "chars", "links")], F.first("main").alias("main")
     )
-    return sums.groupBy("host").applyInArrow(template, "host string, slot string, pages long, classes long")
+    # Runs that too few of a host's pages have go before the host's tokens meet.
+    totals = saved(rows.groupBy("host").agg(F.count(F.lit(1)).alias("_pages")), "hosts")
+    totals = F.broadcast(totals) if totals.count() <= FEW_HOSTS else totals
+    least = F.when(F.instr("token", "\n") > 0, F.col("_pages") * (SUPPORT * ONCE)).otherwise(0)
+    sums = sums.join(totals, "host").where((F.col("pages") >= least) & ((F.instr("token", "\n") == 0) | (F.col("_pages") >= FEW_PAGES))).drop("_pages")
+    return sums.groupBy("host").applyInArrow(template, "host string, slot string, constant array<string>, pages long, classes long")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
-    found = saved(templates(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("slot").alias("_slot")), "templates")
+    found = saved(templates(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("constant").alias("_constant")), "templates")
     found = F.broadcast(found) if found.count() <= FEW_HOSTS else found
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page.as_py() or "", slot) for page, slot in zip(batch["html"], batch["_slot"].to_pylist(), strict=True)]
+            texts = [main_text(page.as_py() or "", slot, frozenset(constant or ())) for page, slot, constant in zip(batch["html"], batch["_slot"].to_pylist(), batch["_constant"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(found, "_host", "left").select("page_id", "url", "html", "_slot").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(found, "_host", "left").select("page_id", "url", "html", "_slot", "_constant").mapInArrow(run, "page_id long, url string, text string, n_chars long")

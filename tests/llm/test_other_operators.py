@@ -330,6 +330,15 @@ def test_title_and_lead_stay_on_hosts_of_any_size(spark):
     assert [t.split() for t in texts_of(spark, pages)] == [f"Title {k} Lead {k} {b[:300]} {b[300:]}".split() for k, b in enumerate(bodies)]
 
 
+def test_constant_text_of_a_host_is_its_templates(spark):
+    bodies = [" ".join(H.prose(k, 60)) for k in range(12)]
+    inside = [f"<body><div class='x7e'><div class='x7f'>Read our newsletter</div><p>{b}</p><p>End {k}</p></div></body>" for k, b in enumerate(bodies)]
+    assert texts_of(spark, inside) == [f"{b} End {k}" for k, b in enumerate(bodies)]
+    assert texts_of(spark, [f"<div class='x7f'>Read our newsletter</div>{b}" for b in bodies]) == bodies
+    copies = ["<div><p>One</p><p>Two</p></div>"] * 8
+    assert texts_of(spark, copies) == ["One Two"] * 8
+
+
 # Quality
 
 
