@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmill import catalog
 from leafmill.operators import invoice as V
 from leafmill.operators import optimize as O
 from leafmill.operators import palette as P
@@ -80,3 +81,11 @@ def test_subtrees(spark):
     items = spark.createDataFrame([("a/b", 1), ("a/b/c", 2), ("ab", 4)], "folder string, size long")
     folders = spark.createDataFrame([("z",), ("a",)], "folder string")
     assert sorted(map(tuple, R.subtree_stats(items, folders, "folder", "size").collect())) == [("a", 2, 3), ("a/b", 2, 3), ("a/b/c", 1, 2), ("ab", 1, 4), ("z", 0, 0)]
+
+
+def test_known_steps_of_every_user(spark):
+    d = "/root/testdata/sf0.01"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    assert events.where("user_id >= 20").count() > 0
+    tools = [r[0] for r in events.where("value > 90").select("event_type").distinct().collect()]
+    assert catalog.QUERIES["known_steps_all"](spark, d).count() == events.where(F.col("event_type").isin(tools)).count()
