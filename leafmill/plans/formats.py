@@ -22,19 +22,19 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
     return pages.withColumn("heading", F.when(F.col("line") == 0, F.col("turn") % 3 + 1).otherwise(F.lit(0)).cast("int"))
 
 
-def _items(s: SparkSession, d: str) -> DataFrame:
-    """Words of benchmark texts as items with a place: ten to a line, heights within half a point of it."""
-    words = table(s, d, "benchmark").select("item_id", F.posexplode(F.split("text", r"\s+")).alias("k", "word"))
+def _items(s: SparkSession, d: str, name: str = "benchmark", key: str = "item_id") -> DataFrame:
+    """Words of a table's texts as items with a place: ten to a line, heights within half a point of it."""
+    words = table(s, d, name).select(key, F.posexplode(F.split("text", r"\s+")).alias("k", "word"))
     row = F.floor(F.col("k") / 10)
     y = 700.0 - row * 14 + (F.col("k") % 3) * 0.25
-    return words.select("item_id", "word", ((F.col("k") % 10) * 40.0).alias("x"), y.alias("y"), (10.0 + (row % 4) * 3).alias("size"))
+    return words.select(key, "word", ((F.col("k") % 10) * 40.0).alias("x"), y.alias("y"), (10.0 + (row % 4) * 3).alias("size"))
 
 
-def _headings(s, d):
-    lines = L.grouped_lines(_items(s, d), ["item_id"], "x", "y", "word", size="size")
-    usual = L.upper_median(_items(s, d), ["item_id"], "size")
+def _headings(s, d, name="benchmark", key="item_id"):
+    lines = L.grouped_lines(_items(s, d, name, key), [key], "x", "y", "word", size="size")
+    usual = L.upper_median(_items(s, d, name, key), [key], "size")
     level = L.heading_level(F.col("size"), F.col("median"), F.col("text"))
-    return lines.join(usual, "item_id").select("item_id", F.col("line_no").cast("bigint").alias("line_no"), level.cast("bigint").alias("heading"))
+    return lines.join(usual, key).select(key, F.col("line_no").cast("bigint").alias("line_no"), level.cast("bigint").alias("heading"))
 
 
 def _csv(s, d):
@@ -135,6 +135,10 @@ QUERIES = {
     "reading_text": lambda s, d: L.reading_text(_items(s, d), ["item_id"], "x", "y", "word"),
     "upper_median_size": lambda s, d: L.upper_median(_items(s, d), ["item_id"], "size"),
     "heading_levels": _headings,
+    "group_lines_documents": lambda s, d: L.grouped_lines(_items(s, d, "documents", "doc_id"), ["doc_id"], "x", "y", "word").select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "y", "text"),
+    "reading_text_documents": lambda s, d: L.reading_text(_items(s, d, "documents", "doc_id"), ["doc_id"], "x", "y", "word"),
+    "upper_median_size_documents": lambda s, d: L.upper_median(_items(s, d, "documents", "doc_id"), ["doc_id"], "size"),
+    "heading_levels_documents": lambda s, d: _headings(s, d, "documents", "doc_id"),
     "outline_tree": _outline,
     "page_plans": _page_plans,
 }
@@ -186,3 +190,4 @@ ORACLES = {
     "ods_round_trip": _L + "SELECT conv_id, count(DISTINCT turn) AS blocks, 0::BIGINT AS chars, count(*) AS n_rows FROM l WHERE trim(text) <> '' GROUP BY 1",
     "xlsx_round_trip": _L + "SELECT conv_id, 1::BIGINT AS blocks, 0::BIGINT AS chars, count(*) AS n_rows FROM l WHERE trim(text) <> '' AND turn = 0 GROUP BY 1",
 }
+ORACLES |= {f"{name}_documents": ORACLES[name].replace("benchmark", "documents").replace("item_id", "doc_id") for name in ("group_lines", "reading_text", "upper_median_size", "heading_levels")}

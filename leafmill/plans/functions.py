@@ -26,9 +26,9 @@ def _base64(s, d):
     return _docs(s, d).select("doc_id", F.md5(coded).alias("encoded_md5"), (T.base64_decode(coded) == F.col("text")).alias("round_trip"))
 
 
-def _url(s, d):
+def _url(s, d, name="benchmark", key="item_id"):
     coded = T.url_encode(F.col("text"))
-    return table(s, d, "benchmark").select("item_id", coded.alias("encoded"), (T.url_decode(coded) == F.col("text")).alias("round_trip"))
+    return table(s, d, name).select(key, coded.alias("encoded"), (T.url_decode(coded) == F.col("text")).alias("round_trip"))
 
 
 def _formats(s, d):
@@ -66,9 +66,9 @@ def _predicates(s, d):
     return _docs(s, d).select("doc_id", T.is_win_ansi(F.regexp_replace(t, "\n", " ")).alias("win_ansi"), T.has_cjk(t).alias("cjk"), T.needs_ocr(t).alias("needs_ocr"))
 
 
-def _keywords(s, d):
+def _keywords(s, d, name="benchmark", key="item_id"):
     t = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    return table(s, d, "benchmark").select("item_id", F.posexplode(T.keywords(t)).alias("k", "keyword")).select("item_id", F.col("k").cast("bigint").alias("k"), "keyword")
+    return table(s, d, name).select(key, F.posexplode(T.keywords(t)).alias("k", "keyword")).select(key, F.col("k").cast("bigint").alias("k"), "keyword")
 
 
 def _template(s, d):
@@ -100,6 +100,7 @@ QUERIES = {
     "hash_sha512": _sha512,
     "codec_base64": _base64,
     "codec_url": _url,
+    "codec_url_documents": lambda s, d: _url(s, d, "documents", "doc_id"),
     "format_values": _formats,
     "sanitize_filename": _names,
     "build_output_name": _output_names,
@@ -107,6 +108,7 @@ QUERIES = {
     "html_escape": _escapes,
     "text_predicates": _predicates,
     "keywords_split": _keywords,
+    "keywords_split_documents": lambda s, d: _keywords(s, d, "documents", "doc_id"),
     "template_vars": _template,
     "folder_paths": _folders,
     "format_links": _links,
@@ -143,3 +145,4 @@ ORACLES = {
       CASE WHEN eb IN ('png','jpg','jpeg','gif','webp','bmp','svg','ico','avif') THEN 'image' WHEN eb IN ('mp4','webm','mov','m4v') THEN 'video' ELSE 'head' END AS strategy FROM q""",
     "upload_parse": """SELECT page_id, shape, CASE shape WHEN 4 THEN 'none' WHEN 5 THEN 'https://telegra.ph/file/a.png' ELSE url END AS url FROM pages CROSS JOIN (SELECT unnest(range(6)) AS shape)""",
 }
+ORACLES |= {f"{name}_documents": ORACLES[name].replace("benchmark", "documents").replace("item_id", "doc_id") for name in ("codec_url", "keywords_split")}

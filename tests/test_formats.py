@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leafmill import catalog
 from leafmill.operators import layout as L
 from leafmill.sources import blocks as B
 from leafmill.sources import exporters as E
@@ -188,3 +189,9 @@ def test_layout():
 def test_sheet_columns(spark):
     found = spark.createDataFrame([("a  b\tc",), (" one two ",), ("",), (None,)], "t string").select(E.sheet_columns(F.col("t"))).collect()
     assert [r[0] for r in found] == [["a", "b", "c"], ["one two"], [""], [""]]
+
+
+@pytest.mark.parametrize("name", ["codec_url", "keywords_split", "group_lines", "reading_text", "upper_median_size", "heading_levels"])
+def test_operators_on_small_texts_run_on_all_documents(spark, data, name):
+    found = catalog.QUERIES[f"{name}_documents"](spark, data).select("doc_id").distinct()
+    assert found.count() == spark.read.parquet(f"{data}/documents.parquet").select("doc_id").distinct().count()
