@@ -1,38 +1,50 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page's tokens are its elements, told apart by their path of tags, classes, ids and roles, and outside
-`article` and `main` its blocks' runs of text, told apart by path and text.  Over the
-pages of one host each token has an occurrence vector (how often it occurs on each page).  Tokens
-with the same vector form an equivalence class; a class that occurs on enough pages is part of the
-template.  The vectors are compared by additive fingerprints, so they are summed in every task
-before the shuffle and a host with a third of all pages is no larger than another.
-
-The classes that occur once on nearly all their pages nest into the template's frame.  Its slots are the
-elements' contents; slots that name themselves menus, headers, footers, side bars, notices, adverts,
-forms or comments, or whose text is mostly links over the whole host, are boilerplate.  A name in a class,
-id or role is a hint only: it counts neither for what holds the page's article nor where its elements hold
-most of the text, and within an article only if it can mean nothing else.  Of the
-others, the innermost one that holds all the remaining text of the host is the main slot; what
-it holds, less the boilerplate slots inside it, is the page's text.  A run of text in the class of its element,
-or missing on at most a tenth of the element's pages, is the template's and goes too, unless such runs are most
-of the host's text, or the page's whole text, or the host has under five pages: these may be copies.  An `article` or `main` element
-with at least half of the text says so itself.  A page without its host's main slot is read by the same rules on its own.
-
-Blocks are the runs of text between block-level tags.  Character references are decoded, white
-space within a block becomes one space, blocks are joined by one space.
-
-Null or empty html has no text.  Pages without a host (null url) are one group.  Null ids and
-repeated rows are kept.  Broken markup is read as far as it goes: an end tag closes its element and
-all in it, an unknown one is ignored, of a script or style without end tag all that follows is ignored, of
-another element without text (svg, select, title and so on) its tag alone, a block ends an open paragraph.  Other columns are ignored.
+A page's tokens are its elements' start and end tags, told apart by the path of tags, classes, ids and
+roles that leads to them, and its words, told apart by the element's path that they stand in and by
+their number among equal words of that element.  Over the pages of one host each token has an
+occurrence vector: how often it occurs on each page.
+
+1. Tokens on at least `SUPPORT` of the pages with equal vectors form an equivalence class.
+2. A class is valid if it is ordered: its tokens follow one another in the same order in each of their
+   occurrences.  Tokens that break the order leave the class.
+3. Valid classes nest: all occurrences of the one lie in the same gap between two tokens of the
+   other.  A class of words that lies across gaps is no template and goes.
+4. Words of the remaining classes with at least `LEAST` tokens are the template's; a block (run of text
+   between block-level tags) made of such words alone is constant.  What is left are the slots' contents.
+5. Slots that are mostly links, and elements that call themselves menus, headers, footers, side bars,
+   notices, adverts, forms or comments (see below), are boilerplate.  The innermost template element
+   that occurs once a page and holds all other contents is the main slot.
+6. A page's text is what its main slot holds, less boilerplate and constant blocks.
+
+Where nearly all of a host's text is constant its pages are copies of one another, and constant text
+counts as content; so it does within the main slot where it is more than `COPIES` of it.
+
+A name in a class, id or role is a hint: it counts neither for what holds the page's article nor where its
+elements hold most of the text, and within the main slot only if it can mean nothing else.  Hosts of
+fewer than three pages, and pages without their host's main slot, are read by these names and by
+`article` and `main` alone.
+
+Pages are dealt to parts of a host, of about `PART_PAGES` pages and `PART_BYTES` bytes, by a hash of
+their content, and each part is its own set of same-host pages: a host with a third of all pages is
+many parts like the others, each with pages enough to show the template.  Pages are shuffled once and
+read once; a task holds one part at a time.
+
+Blocks are joined by one space; character references are decoded, white space within a block becomes
+one space.
+
+Null or empty html has no text.  Pages without a host (null url) are one host.  Null ids and
+repeated rows are kept.  Broken markup is read as far as it goes, in time linear in the page: an end tag closes
+its element and all in it, an unknown one is ignored, of a script or style without end tag all that follows is
+ignored, of another element without text (svg, select, title and so on) its tag alone, a block ends an open
+paragraph, a "<" that begins no tag is text, a tag that the page's end cuts off is dropped.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +52,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import saved
+from leafmill.llm.memory import in_small_batches, lean
 
-#: Share of a host's pages on which a template token occurs; share of links in a slot's text beyond which it is boilerplate.
+#: Share of a part's pages on which a template token occurs; share of links in a slot's text beyond which it is boilerplate.
 SUPPORT, LINKS = 0.6, 0.6
-#: Of the pages with a frame's token, the share on which it occurs once; of a host's or page's text, the share that an `article` or `main` must hold to be the main slot.
+#: Of the pages with a main slot, the share on which it occurs once; share of the text that boilerplate names may not exceed.
 ONCE, MOST = 0.9, 0.5
-#: Pages of a host below which equal text may as well be copies of a page.
-FEW_PAGES = 5
-#: Hosts whose templates are broadcast; more are joined by shuffle.
-FEW_HOSTS = 50_000
-
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*>", re.S)
+#: Tokens of a class whose words are the template's; pages below which equal text may as well be copies of a page.
+LEAST, FEW_PAGES = 3, 5
+#: Share of constant text of a host beyond which its pages are copies, and of its main slot beyond which such text stays.
+ALL, COPIES = 0.9, 1 / 3
+#: Pages and bytes of html in a part of a host, bytes of html in a task.
+PART_PAGES, PART_BYTES, TASK_BYTES = 400, 8 << 20, 16 << 20
+#: Hosts of several parts whose numbers are broadcast; more are joined by shuffle, salted `SALT` ways.
+FEW_HOSTS, SALT = 1_000_000, 64
+
+_ATTRIBUTES = r"(?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+"
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRIBUTES})>|<[!?/][^<>]*+>", re.S)
+#: A tag that the page's end cuts off.
+_CUT = re.compile(rf"<(?:[/!?]?+[a-zA-Z][^\s/<>=]*+(?:\s*+\Z|(?=[^<>]*=){_ATTRIBUTES}\Z)|[!?][^<>]*\Z)")
 #: Elements whose content is not the page's text: the start and end tags of each.
-_SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.I) for t in "script style noscript template iframe textarea title svg select object".split()}
+_SKIPPED = {t: re.compile(rf"<(/?){t}(?=[\s/>])({_ATTRIBUTES})>", re.I) for t in "script style noscript template iframe textarea title svg select object".split()}
 #: Of these, those whose content is no markup: up to the first end tag, or else to the end of the page; "/>" does not close them.
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.I) for t in ("script", "style")}
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -69,41 +89,83 @@ _NAMED = re.compile(
 )
 #: Names that tell what an element has, not what it is.
 _STATE = re.compile(r"(?:has|no|not|with|without|is|fixed|sticky)[_-]", re.I)
-#: Names that mean boilerplate within an article too: as the last word of a name, or as the whole name.
-_LAST = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|breadcrumbs?|side-?bar|cookies?|gdpr|comments?|disqus|share|sharing|subscribe|newsletter|pagination|pager)$", re.I)
-_WHOLE = frozenset("related recommended social promo promotion popup modal signup login nav navigation".split())
+#: Names that mean boilerplate within the main slot too: as the last word of any of its names, or as all its names.
+_CLEAR = re.compile(r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|breadcrumbs?|side-?bar|cookies?|gdpr|comments?|disqus|subscribe|newsletter|pagination|pager)$", re.I)
+_WHOLE = frozenset("related recommended share sharing social promo promotion popup modal signup login nav navigation".split())
 #: What holds an article's own text, whatever its name.
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre figure figcaption".split())
 _NONE: frozenset[str] = frozenset()
 _MAIN = re.compile(r"^(?:article|main)(?:$|[.#@])|@main\b")
 #: An element that these tags close when it is still open.
 _ENDS = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDED = frozenset(t for ends in _ENDS.values() for t in ends)
 _SCOPE = frozenset("ul ol table div article section body td th blockquote nav aside main footer header dl form".split())
 
+OPEN, CLOSE, TEXT, BREAK = range(4)
+
+
+class Paths:
+    """The paths of elements by number: each is its parent's number and its last element's name.  Parents have smaller numbers."""
+
+    def __init__(self):
+        self.parent, self.name = [-1], [""]
+        self.number: dict[tuple[int, str], int] = {}
+
+    def get(self, parent: int, name: str) -> int:
+        found = self.number.get((parent, name))
+        if found is None:
+            found = self.number[parent, name] = len(self.parent)
+            self.parent.append(parent)
+            self.name.append(name)
+        return found
+
+    def text(self, path: int) -> str:
+        out = []
+        while path:
+            out.append(self.name[path])
+            path = self.parent[path]
+        return "".join(f"/{name}" for name in reversed(out))
+
+    def summed(self, own: np.ndarray) -> np.ndarray:
+        """For each path, its own figure and those of all paths below it."""
+        out = own.tolist()
+        for path in range(len(out) - 1, 0, -1):
+            out[self.parent[path]] += out[path]
+        return np.array(out)
+
+    def below(self, some: np.ndarray) -> np.ndarray:
+        """Whether a path or one above it is among some."""
+        out = some.tolist()
+        for path in range(1, len(out)):
+            out[path] = out[path] or out[self.parent[path]]
+        return np.array(out, bool)
+
 
 class Element:
-    """An open element.  chars: of its text that is not hidden or a link; words: what it calls itself, within: within an article."""
+    """An element of a page.  chars: of its text that is not hidden or a link; words: what it calls itself, within: within an article."""
 
-    __slots__ = ("above", "boiler", "chars", "hidden", "link", "main", "own", "path", "tag", "title", "within", "words")
+    __slots__ = ("above", "boiler", "chars", "ended", "hidden", "link", "main", "own", "path", "seen", "tag", "title", "within", "words")
 
-    def __init__(self, tag: str, path: str, above: Element | None, hidden: bool, link: bool, own: bool, words: frozenset[str], within: frozenset[str]):
+    def __init__(self, tag: str, path: int, above: Element | None, hidden: bool, link: bool, own: bool, words: frozenset[str], within: frozenset[str]):
         self.tag, self.path, self.above, self.hidden, self.link, self.own, self.words, self.within = tag, path, above, hidden, link, own, words, within
-        self.main, self.boiler, self.title, self.chars = own or (above is not None and above.main), hidden, tag == "h1", 0
+        self.main, self.boiler, self.title, self.chars, self.seen = False, hidden, tag == "h1", 0, None
 
 
 _known: dict[tuple[str, str], tuple[str, bool, bool, frozenset[str], frozenset[str]]] = {}
 
 
 def _described(tag: str, attributes: str) -> tuple[str, bool, bool, frozenset[str], frozenset[str]]:
-    """What an element is called in paths, whether it is hidden, whether it is main content, its boilerplate words and those that hold within an article."""
+    """What an element is called in paths, whether it is hidden, whether it is main content, its boilerplate words and those that hold within the main slot."""
     key = (tag, attributes)
     if key in _known:
         return _known[key]
     names = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    name = tag + "".join(sign + re.sub(r"[\s>]+", ".", re.sub(r"\d+", "0", names[k])) for k, sign in (("class", "."), ("id", "#"), ("role", "@")) if names.get(k))
+    name = tag + "".join(sign + re.sub(r"[\s>]+", ".", re.sub(r"\d{2,}", "0", names[k])) for k, sign in (("class", "."), ("id", "#"), ("role", "@")) if names.get(k))
     hidden = tag == "head" or (tag not in ("body", "html") and bool(attributes and _HIDDEN.search(attributes)))
     called = [w.lower() for v in names.values() for w in v.split() if not _STATE.match(w)]
-    inside = frozenset(w for w in called if _LAST.search(w) or w in _WHOLE)
+    inside = frozenset(w for w in called if _CLEAR.search(w))
+    if called and all(w in _WHOLE or w in inside for w in called):
+        inside = frozenset(called)
     main = bool(_MAIN.search(name)) and not inside
     words = within = _NONE
     if not main and tag not in ("body", "html"):
@@ -129,269 +191,368 @@ def _ends(tag: str, text: str, at: int) -> dict[int, int]:
     return found
 
 
-def _events(text: str, opened: list[Element]) -> Iterator[tuple[str, Element, str]]:
-    root = Element("", "", None, False, False, False, _NONE, _NONE)
-    opened.append(root)
-    stack, at, ends = [root], 0, {}
-
-    def close() -> tuple[str, Element, str]:
-        e = stack.pop()
-        e.above.chars += e.chars
-        e.above.title |= e.title
-        return "close", e, ""
-
-    while m := _TOKEN.search(text, at):
-        if m.start() > at:
-            run, e = text[at : m.start()], stack[-1]
-            if not e.hidden and not e.link:
-                e.chars += len(run.strip())
-            yield "text", e, run
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag in _SKIPPED and not m[1]:
-            if tag in _RAW:
-                at = _RAW[tag].search(text, at).end()
-            elif not m[3].endswith("/"):
-                if tag not in ends:
-                    ends[tag] = _ends(tag, text, m.start())
-                at = ends[tag].get(at, at)
-            continue
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
-                while len(stack) > depth:
-                    yield close()
-            elif tag in _BLOCK or tag == "br":
-                yield "break", stack[-1], ""
-            continue
-        if tag in _BLOCK:
-            for ending in (*_ENDS.get(tag, ()), *(("p",) if tag != "p" else ())):
-                depth = len(stack) - 1
-                while depth and stack[depth].tag != ending and stack[depth].tag not in _SCOPE:
-                    depth -= 1
-                if depth and stack[depth].tag == ending:
-                    while len(stack) > depth:
-                        yield close()
-        name, hidden, main, words, within = _described(tag, m[3].strip())
-        above = stack[-1]
-        element = Element(tag, f"{above.path}/{name}", above, above.hidden or hidden, above.link or tag == "a", main, words, within)
-        opened.append(element)
-        yield "open", element, ""
-        if tag in _VOID or m[3].endswith("/"):
-            if tag in ("br", "hr"):
-                yield "break", element, ""
-        else:
-            stack.append(element)
-    if at < len(text):
-        rest, e = text[at:], stack[-1]
-        rest = rest if not re.match(r"<[a-zA-Z/!?]", rest) else ""
+class Page:
+    """A page as its elements (the first is the root) and its items (kind, element, text) in page order."""
+
+    def __init__(self, text: str, paths: Paths):
+        self.paths = paths
+        root = Element("", 0, None, False, False, False, _NONE, _NONE)
+        root.ended = {}
+        self.elements, self.items = [root], []
+        self._stack, self._open = [root], {}
+        self._read(text)
+
+    def _close(self, depth: int) -> None:
+        """Closes the open elements down to this depth."""
+        while len(self._stack) > depth:
+            e = self._stack.pop()
+            self._open[e.tag] -= 1
+            e.above.chars += e.chars
+            e.above.title |= e.title
+            self.items.append((CLOSE, e, ""))
+
+    def _text(self, run: str) -> None:
+        e = self._stack[-1]
         if not e.hidden and not e.link:
-            e.chars += len(rest.strip())
-        yield "text", e, rest
-    while len(stack) > 1:
-        yield close()
-
-
-def _judge(opened: list[Element]) -> None:
-    """Sets which elements are boilerplate.  A name is a hint: it does not count for what holds the page's article, nor
-    where the elements of that name hold most of the text of the page or of the article that they are in."""
-    root = opened[0]
-    article = max((e for e in opened if e.own and not e.hidden), key=lambda e: e.chars, default=None)
-    most, holders, e = article is not None and article.chars > MOST * root.chars, set(), article
-    while e is not None:
-        holders.add(id(e))
-        e = e.above
-    hints: dict[int, tuple[frozenset[str], Element]] = {}
-    sums: dict[tuple[int, str], int] = {}
-    outer: dict[int, frozenset[str]] = {}
-    scopes = {id(root): root}
-    for e in opened[1:]:
-        up = id(e.above)
-        scope = scopes[id(e)] = e if e.own else scopes[up]
-        seen = outer[id(e)] = _NONE if e.own else outer.get(up, _NONE)
-        words = e.within if e.above.main else e.words
-        if words and id(e) not in holders:
-            if e.title:
-                words = words - {"<header>", "header"}
-            for w in words - seen:
-                sums[id(scope), w] = sums.get((id(scope), w), 0) + e.chars
-            outer[id(e)] = seen | words
-            hints[id(e)] = (words, scope)
-    for e in opened[1:]:
-        words, scope = hints.get(id(e), (_NONE, root))
-        named = any(sums.get((id(scope), w), 0) <= MOST * scope.chars for w in words)
-        e.boiler = e.hidden or e.above.boiler or named or (e.tag in _BOILERPLATE and not (most and id(e) in holders))
-
-
-def read(text: str) -> list[tuple[str, Element, str]]:
-    """('open', element, ''), ('close', element, ''), ('text', innermost element, text) and ('break', element, '') in page order."""
-    opened: list[Element] = []
-    events = list(_events(text, opened))
-    _judge(opened)
-    return events
-
-
-def runs(events: list[tuple[str, Element, str]]) -> Iterator[list[tuple[Element, str]]]:
-    """The texts outside boilerplate of each block."""
-    run: list[tuple[Element, str]] = []
-    for kind, element, text in events:
-        if kind == "text":
-            if not element.boiler:
-                run.append((element, text))
-        elif run and (kind == "break" or element.tag in _BLOCK):
+            e.chars += len(run.strip())
+        self.items.append((TEXT, e, run))
+
+    def _read(self, text: str) -> None:
+        stack, at, ends = self._stack, 0, {}
+        shown = 0  # up to here the text is already among the items, or dropped
+        while m := _TOKEN.search(text, at):
+            if m.start() > shown:
+                self._text(text[shown : m.start()])
+            at = shown = m.end()
+            tag = m[2]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag in _SKIPPED and not m[1]:
+                if tag in _RAW:
+                    at = _RAW[tag].search(text, at).end()
+                elif not m[3].endswith("/"):
+                    if tag not in ends:
+                        ends[tag] = _ends(tag, text, m.start())
+                    at = ends[tag].get(at, at)
+                shown = at
+                continue
+            if m[1]:
+                if self._open.get(tag):
+                    depth = len(stack) - 1
+                    while stack[depth].tag != tag:
+                        depth -= 1
+                    self._close(depth)
+                elif tag in _BLOCK or tag == "br":
+                    self.items.append((BREAK, stack[-1], ""))
+                continue
+            if tag in _BLOCK:
+                for ending in (*_ENDS.get(tag, ()), *(("p",) if tag != "p" else ())):
+                    if depth := stack[-1].ended.get(ending):
+                        self._close(depth)
+            name, hidden, main, words, within = _described(tag, m[3].strip())
+            above = stack[-1]
+            element = Element(tag, self.paths.get(above.path, name), above, above.hidden or hidden, above.link or tag == "a", main, words, within)
+            self.elements.append(element)
+            self.items.append((OPEN, element, ""))
+            if tag in _VOID or m[3].endswith("/"):
+                self.items.append((CLOSE, element, ""))
+                if tag in ("br", "hr"):
+                    self.items.append((BREAK, element, ""))
+            else:
+                # Where the elements stand that other tags may end: within the innermost scope.
+                element.ended = above.ended if tag not in _SCOPE else {}
+                if tag in _ENDED:
+                    element.ended = {**element.ended, tag: len(stack)}
+                stack.append(element)
+                self._open[tag] = self._open.get(tag, 0) + 1
+        if shown < len(text):
+            cut = _CUT.search(text, shown)
+            rest = text[shown : cut.start()] if cut else text[shown:]
+            if rest:
+                self._text(rest)
+        self._close(1)
+
+    def judge(self, slot: int | None = None) -> None:
+        """Sets which elements are boilerplate.  A name is a hint: it does not count for what holds the page's article (the
+        elements at the main slot, or, without one, those that call themselves so), nor where the elements of that name
+        hold most of the text of the page or of the article that they are in."""
+        root = self.elements[0]
+        holders, e = set(), None
+        own: dict[int, bool] = {}
+        for x in self.elements[1:]:
+            is_own = x.own if slot is None else x.path == slot
+            own[id(x)] = is_own
+            x.main = is_own or x.above.main
+            if is_own and not x.hidden and (e is None or x.chars > e.chars):
+                e = x
+        most = e is not None and e.chars > MOST * root.chars
+        while e is not None:
+            holders.add(id(e))
+            e = e.above
+        hints: dict[int, tuple[frozenset[str], Element]] = {}
+        sums: dict[tuple[int, str], int] = {}
+        outer: dict[int, frozenset[str]] = {}
+        scopes = {id(root): root}
+        for e in self.elements[1:]:
+            up = id(e.above)
+            scope = scopes[id(e)] = e if own[id(e)] else scopes[up]
+            seen = outer[id(e)] = _NONE if own[id(e)] else outer.get(up, _NONE)
+            words = e.within if e.above.main else e.words
+            if words and id(e) not in holders:
+                if e.title:
+                    words = words - {"<header>", "header"}
+                for w in words - seen:
+                    sums[id(scope), w] = sums.get((id(scope), w), 0) + e.chars
+                outer[id(e)] = seen | words
+                hints[id(e)] = (words, scope)
+        for e in self.elements[1:]:
+            words, scope = hints.get(id(e), (_NONE, root))
+            named = any(sums.get((id(scope), w), 0) <= MOST * scope.chars for w in words)
+            e.boiler = e.hidden or e.above.boiler or named or (e.tag in _BOILERPLATE and not (most and id(e) in holders))
+
+    def blocks(self) -> Iterator[list[tuple[int, Element, str]]]:
+        """The texts outside boilerplate of each block: (number of the item, element, text)."""
+        run: list[tuple[int, Element, str]] = []
+        for k, (kind, element, text) in enumerate(self.items):
+            if kind == TEXT:
+                if not element.boiler:
+                    run.append((k, element, text))
+            elif run and (kind == BREAK or element.tag in _BLOCK):
+                yield run
+                run = []
+        if run:
             yield run
-            run = []
-    if run:
-        yield run
 
 
 def _plain(parts: list[str]) -> str:
-    return " ".join(html.unescape("".join(parts)).split())
-
-
-def _run_token(run: list[tuple[Element, str]]) -> str | None:
-    """A run as a token: its element's path and a fingerprint of its text.  None within an article, whose text is its own."""
-    first = next((e for e, text in run if text.strip()), None)
-    if first is None or first.main:
-        return None
-    return f"{first.path}\n{hashlib.blake2b(_plain([t for _, t in run]).encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
-
-
-def main_text(page: str, slot: str | None, constant: frozenset[str] = _NONE) -> str:
-    """The text of the main slot (a path), or, without one, of what calls itself main, or else of all but boilerplate; less the
-    constant runs, unless nothing else is left."""
-    found = list(runs(read(page)))
-    text = _joined([r for r in found if _run_token(r) not in constant], slot) if constant else ""
-    return text or _joined(found, slot)
-
-
-def _joined(found: list[list[tuple[Element, str]]], slot: str | None) -> str:
-    blocks: list[tuple[bool, bool, list[str]]] = []
-    seen_slot, chars, chars_main = False, 0, 0
-    for run in found:
-        place = None
-        for element, text in run:
-            inside = slot is not None and (element.path == slot or element.path.startswith(f"{slot}/"))
-            seen_slot |= inside
-            size = len(text.strip())
-            chars += size
-            chars_main += size * element.main
-            if (inside, element.main) != place:
-                place = (inside, element.main)
-                blocks.append((*place, []))
-            blocks[-1][2].append(text)
-    by_main = chars_main > 0 and chars_main >= MOST * chars
-    out = [_plain(parts) for inside, main, parts in blocks if (inside if seen_slot else main if by_main else True)]
-    return " ".join(b for b in out if b)
+    text = "".join(parts)
+    return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-def _mix(x: int) -> int:
-    x = (x ^ x >> 31) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
-    return x ^ x >> 32
+def _split(block: list[tuple[int, Element, str]], place) -> Iterator[tuple[object, list[tuple[int, Element, str]]]]:
+    """A block cut where the place of its texts changes."""
+    last, run = None, []
+    for piece in block:
+        here = place(piece[1])
+        if run and here != last:
+            yield last, run
+            run = []
+        last = here
+        run.append(piece)
+    if run:
+        yield last, run
 
 
-def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each host and token: sums over this task's pages."""
-    found: dict[tuple[str, str], list] = {}
-    for batch in batches:
-        for host, key, page in zip(batch["host"].to_pylist(), batch["key"].to_pylist(), batch["html"], strict=True):
-            counts: dict[str, list] = {"": [1, 0, 0, False]}
-            path: list[list] = [counts[""]]
-            events = read(page.as_py() or "")
-            for kind, element, text in events:
-                if kind == "open":
-                    own = counts.setdefault(element.path, [0, 0, 0, element.own])
-                    own[0] += 1
-                    if element.tag not in _VOID:
-                        path.append(own)
-                elif kind == "close":
-                    path.pop()
-                elif kind == "text":
-                    size = len(text.strip())
-                    for own in path if size and not element.boiler else ():
-                        own[1] += size
-                        own[2] += size * element.link
-            for run in runs(events):
-                if token := _run_token(run):
-                    own = counts.setdefault(token, [0, 0, 0, False])
-                    own[0] += 1
-                    for element, text in run:
-                        own[1] += len(text.strip())
-                        own[2] += len(text.strip()) * element.link
-            for token, (n, chars, links, main) in counts.items():
-                vector = _mix(key + n * 0x5851F42D4C957F2D & (1 << 64) - 1)
-                own = found.get((host, token))
-                if own is None:
-                    own = found[host, token] = [0, 0, 0, 0, 0, 0, 0, main]
-                own[0] += vector >> 32
-                own[1] += vector & 0xFFFFFFFF
-                own[2] += 1
-                own[3] += n
-                own[4] += n == 1
-                own[5] += chars
-                own[6] += links
-        if len(found) > 100_000:
-            yield _told(found)
-            found = {}
-    yield _told(found)
-
-
-_TOLD = "host string, token string, high long, low long, pages long, times long, once long, chars long, links long, main boolean"
-
-
-def _told(found: dict) -> pa.RecordBatch:
-    rows = [(h, t, *v) for (h, t), v in found.items()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 10
-    kinds = [pa.string(), pa.string(), *[pa.int64()] * 7, pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _TOLD.split(", ")])
-
-
-def _left(rows: list[dict], constant: list[dict], support: float) -> Callable[[str], int]:
-    """How much text a path holds besides the slots of links and the constant runs in it."""
-    links: list[dict] = []
-    for r in sorted(rows, key=lambda r: r["token"].split("/")):
-        if r["token"] and r["pages"] >= support and r["links"] > LINKS * r["chars"] and not (links and r["token"].startswith(f"{links[-1]['token']}/")):
-            links.append(r)
-    chars = {r["token"]: r["chars"] for r in rows}
-    within = lambda path, token: path == token or path.startswith(f"{token}/")
-    out = [(r["token"], r["chars"]) for r in links]
-    out += [(path, r["chars"]) for r in constant for path in r["token"].split("\n")[:1] if not any(within(path, x["token"]) for x in links)]
-    return lambda token: chars[token] - sum(n for path, n in out if within(path, token))
-
-
-def template(table: pa.Table) -> pa.Table:
-    """The main slot and the constant runs of one host, from its tokens' occurrence vectors."""
-    tokens = table.to_pylist()
-    rows = [r for r in tokens if "\n" not in r["token"]]
-    pages = next(r["pages"] for r in rows if r["token"] == "")
-    classes: dict[tuple[int, int, int], list[dict]] = {}
-    for r in tokens:
-        if r["pages"] >= SUPPORT * pages:
-            classes.setdefault((r["high"] & 0xFFFFFFFF, r["low"] & 0xFFFFFFFF, r["pages"]), []).append(r)
-    # A class is a frame if its tokens occur once on nearly all their pages; frames nest, since a path holds its parents'.
-    usual = [r for own in classes.values() for r in own if r["token"] and "\n" not in r["token"] and r["chars"] and r["links"] <= LINKS * r["chars"]]
-    slots = [r for r in usual if r["once"] >= ONCE * r["pages"]]
-    # Only elements that are themselves `article` or `main`, however often they occur, and none that leaves out most of the text.
-    every = next(r["chars"] for r in rows if r["token"] == "")
-    named = [r for r in usual if r["main"] and r["chars"] >= MOST * every]
-    # A run is the template's if it is in the class of its element, or is missing on few of the pages that have the element.
-    elements = {r["token"]: r for r in rows}
-    of = {x["token"]: elements.get(x["token"].split("\n")[0]) for own in classes.values() for x in own if "\n" in x["token"]}
-    constant = [r for r in tokens if pages >= FEW_PAGES and of.get(r["token"]) and r["pages"] >= ONCE * of[r["token"]]["pages"]]
-    # Where most of the text is constant, the pages are copies of one another.
-    constant = constant if sum(r["chars"] for r in constant) <= MOST * every else []
-    best = None
-    if named:
-        best = max(named, key=lambda r: (r["chars"], -r["token"].count("/")))
-    elif slots and pages > 2:
-        left = _left(rows, constant, SUPPORT * pages)
-        most = left("")
-        best = max((r for r in slots if most and left(r["token"]) == most), key=lambda r: (r["token"].count("/"), r["token"]), default=None)
-    return pa.table({"host": pa.array([rows[0]["host"]], pa.string()), "slot": pa.array([best["token"] if best else None], pa.string()), "constant": pa.array([[r["token"] for r in constant]], pa.list_(pa.string())), "pages": pa.array([pages], pa.int64()), "classes": pa.array([len(classes)], pa.int64())})
+def alone(page: Page, constant: set[int] = frozenset()) -> str:
+    """A page's text without a main slot: of what calls itself main, if that is most of it, or else of all but boilerplate.  `judge` comes first."""
+    parts, chars, chars_main = [], 0, 0
+    for block in page.blocks():
+        if all(k in constant for k, _, _ in block):
+            continue
+        for main, run in _split(block, lambda e: e.main):
+            size = sum(len(t.strip()) for _, _, t in run)
+            chars += size
+            chars_main += size * main
+            parts.append((main, _plain([t for _, _, t in run])))
+    by_main = chars_main > 0 and chars_main >= MOST * chars
+    return " ".join(t for main, t in parts if t and (main or not by_main))
+
+
+def main_text(text: str, slot: str | None = None) -> str:
+    """The text of a page by itself, or of what it holds at a slot (a path)."""
+    paths = Paths()
+    page = Page(text, paths)
+    if slot is None:
+        page.judge()
+        return alone(page)
+    at = next((path for path in range(len(paths.parent)) if paths.text(path) == slot), -1)
+    page.judge(at)
+    inside = paths.below(np.arange(len(paths.parent)) == at)
+    return " ".join(t for t in (_plain([t for _, e, t in block if inside[e.path]]) for block in page.blocks()) if t)
+
+
+class Tokens:
+    """The token sequences of a part's pages: for each occurrence its token's number, page and position; for each text its words' tokens."""
+
+    def __init__(self, pages: list[Page], words: bool = True):
+        number: dict[tuple, int] = {}
+        token, page, place = [], [], []
+        self.of_text: list[dict[int, list[int]]] = []
+        for p, one in enumerate(pages):
+            own: list[int] = []
+            texts: dict[int, list[int]] = {}
+            for k, (kind, e, text) in enumerate(one.items):
+                if kind == OPEN or kind == CLOSE:
+                    own.append(number.setdefault((e.path, kind), len(number)))
+                elif kind == TEXT and words and not e.hidden:
+                    if e.seen is None:
+                        e.seen = {}
+                    found = []
+                    for w in (html.unescape(text) if "&" in text else text).split():
+                        n = e.seen[w] = e.seen.get(w, 0) + 1
+                        found.append(number.setdefault((e.path, w, n), len(number)))
+                    if found:
+                        texts[k] = found
+                        own += found
+            token.append(np.array(own, np.int64))
+            page.append(np.full(len(own), p, np.int64))
+            place.append(np.arange(len(own), dtype=np.int64))
+            self.of_text.append(texts)
+        self.names = list(number)
+        self.token, self.page, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (token, page, place))
+        self.pages = len(pages)
+
+
+def vectors(tokens: Tokens, least: float) -> tuple[dict[bytes, list[int]], dict[int, np.ndarray]]:
+    """Tokens on at least so many pages by their occurrence vectors; where each occurs, as increasing numbers over all pages."""
+    n = max(tokens.pages, 1)
+    key, count = np.unique(tokens.token * n + tokens.page, return_counts=True)
+    token = key // n
+    support = np.bincount(token, minlength=len(tokens.names))
+    frequent = np.flatnonzero(support >= max(least, 2))
+    begin = np.searchsorted(token, np.arange(len(tokens.names) + 1))
+    vector = np.stack([key % n, count], 1)
+    classes: dict[bytes, list[int]] = {}
+    for t in frequent.tolist():
+        classes.setdefault(vector[begin[t] : begin[t + 1]].tobytes(), []).append(t)
+    keep = np.zeros(len(tokens.names), bool)
+    keep[frequent] = True
+    at = np.flatnonzero(keep[tokens.token])
+    at = at[np.argsort(tokens.token[at], kind="stable")]
+    where = (tokens.page[at] << 32) | tokens.place[at]
+    cut = np.searchsorted(tokens.token[at], np.arange(len(tokens.names) + 1))
+    return classes, {t: where[cut[t] : cut[t + 1]] for t in frequent.tolist()}
+
+
+def ordered(tokens: list[int], where: dict[int, np.ndarray]) -> list[int]:
+    """The tokens of a class in their order, without those that break it.
+
+    Equal vectors mean that the k-th occurrences of all tokens belong together: each must come after
+    the one before it in the order, and before the first token's next occurrence on the page.
+    """
+    kept: list[int] = []
+    for t in sorted(tokens, key=lambda t: int(where[t][0])):
+        if kept:
+            first, last, own = where[kept[0]], where[kept[-1]], where[t]
+            same = own[:-1] >> 32 == first[1:] >> 32
+            if not (last < own).all() or (same & (own[:-1] >= first[1:])).any():
+                continue
+        kept.append(t)
+    return kept
+
+
+def nested(inner: list[int], outer: list[int], where: dict[int, np.ndarray]) -> bool:
+    """Whether all occurrences of a class lie in one gap of another: before, between or after the same tokens of it."""
+    marks = np.sort(np.concatenate([where[t] for t in outer]))
+    at = np.searchsorted(marks, np.concatenate([where[t] for t in inner])) % len(outer)
+    return bool((at == at[0]).all())
+
+
+def valid_classes(tokens: Tokens, least: float) -> tuple[list[list[int]], dict[int, np.ndarray]]:
+    """The ordered, nested equivalence classes, largest first, and where their tokens occur."""
+    classes, where = vectors(tokens, least)
+    is_word = [len(name) == 3 for name in tokens.names]
+    found = [o for o in (ordered(c, where) for c in classes.values()) if len(o) > 1]
+    found.sort(key=lambda c: (-len(where[c[0]]) * len(c), c[0]))
+    accepted: list[list[int]] = []
+    worded: list[list[int]] = []
+    for c in found:
+        # Elements nest by themselves, so only classes with words can lie across one another's gaps.
+        if any(is_word[t] for t in c):
+            if not all(nested(c, o, where) or nested(o, c, where) for o in worded):
+                c = [t for t in c if not is_word[t]]
+            else:
+                worded.append(c)
+        if len(c) > 1:
+            accepted.append(c)
+    return accepted, where
+
+
+class Template:
+    """What the pages of one part have in common.
+
+    slot: the main slot's path; boiler: paths that are boilerplate by their links; constant: for each page, the
+    numbers of its constant texts; keep: whether constant texts of the main slot stay; classes: the valid classes as token names.
+    """
+
+    def __init__(self, pages: list[Page], paths: Paths):
+        n, size = len(pages), len(paths.parent)
+        self.slot, self.keep, self.classes = None, False, []
+        self.constant: list[set[int]] = [set() for _ in pages]
+        self.boiler = np.zeros(size, bool)
+        for page in pages:
+            page.judge()
+        if n < 3:
+            return
+        tokens = Tokens(pages, n >= FEW_PAGES)
+        classes, where = valid_classes(tokens, SUPPORT * n)
+        self.classes = [[tokens.names[t] for t in c] for c in classes]
+        template = {t for c in classes if len(c) >= LEAST for t in c}
+        slots: dict[int, np.ndarray] = {}  # how often the element occurs on each page
+        for c in classes:
+            for t in c:
+                name = tokens.names[t]
+                if len(name) == 2 and name[1] == OPEN:
+                    slots[name[0]] = np.bincount(where[t] >> 32, minlength=n)
+        chars, links, fixed = (np.zeros(size, np.int64) for _ in range(3))
+        for p, page in enumerate(pages):
+            for block in page.blocks():
+                found = [t for k, _, _ in block for t in tokens.of_text[p].get(k, ())]
+                constant = bool(found) and all(t in template for t in found)
+                for k, e, text in block:
+                    if constant:
+                        self.constant[p].add(k)
+                    long = len(text.strip())
+                    chars[e.path] += long
+                    links[e.path] += long * e.link
+                    fixed[e.path] += long * constant
+        chars, links = paths.summed(chars), paths.summed(links)
+        heavy = np.zeros(size, bool)
+        for path in slots:
+            heavy[path] = 0 < chars[path] <= MOST * chars[0] and links[path] > LINKS * chars[path]
+        self.boiler = paths.below(heavy)
+        every, same, of_page = np.zeros(size, np.int64), paths.summed(fixed), np.zeros(n, np.int64)
+        if same[0] > ALL * chars[0]:
+            self.constant = [set() for _ in pages]
+        for p, page in enumerate(pages):
+            for block in page.blocks():
+                for k, e, text in block:
+                    if not self.boiler[e.path] and k not in self.constant[p]:
+                        long = len(text.strip())
+                        every[e.path] += long
+                        of_page[p] += long
+        left = paths.summed(every)
+        # All that is left on the pages that have the element lies in it; of several on one line the innermost has the largest number.
+        once = [path for path, count in slots.items() if (count == 1).sum() >= ONCE * (count > 0).sum()]
+        self.slot = max((path for path in once if left[path] and left[path] == of_page[slots[path] > 0].sum()), default=None)
+        within = self.slot or 0
+        self.keep = same[within] > COPIES * chars[within]
+
+    def texts(self, pages: list[Page], paths: Paths) -> list[str]:
+        """The main text of each page."""
+        constants = [set() for _ in pages] if self.keep else self.constant
+        if self.slot is None:
+            return [alone(page, constant) or alone(page) for page, constant in zip(pages, constants, strict=True)]
+        inside = np.zeros(len(paths.parent), bool)
+        inside[self.slot] = True
+        inside = paths.below(inside) & ~self.boiler
+        out = []
+        for page, constant in zip(pages, constants, strict=True):
+            if not any(e.path == self.slot for e in page.elements):
+                out.append(alone(page, constant) or alone(page))
+                continue
+            page.judge(self.slot)
+            parts = []
+            for block in page.blocks():
+                if not all(k in constant for k, _, _ in block):
+                    parts += [_plain([t for _, _, t in run]) for within, run in _split(block, lambda e: inside[e.path]) if within]
+            text = " ".join(t for t in parts if t)
+            if not text:
+                page.judge()
+                text = alone(page)
+            out.append(text)
+        return out
 
 
 def host_of(url_col: str):
@@ -400,29 +561,71 @@ def host_of(url_col: str):
     return F.lower(authority)
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """For each host: slot (the main slot's path), constant (its template's runs of text), pages, classes (template classes found)."""
-    rows = pages.select(host_of(url_col).alias("host"), F.xxhash64(F.col(url_col).cast("string"), F.col(html_col).cast("string")).alias("key"), F.col(html_col).cast("string").alias("html"))
-    sums = rows.mapInArrow(tokens, _TOLD).groupBy("host", "token").agg(
-        *[F.sum(c).alias(c) for c in ("high", "low", "pages", "times", "once", "chars", "links")], F.first("main").alias("main")
+def dealt(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(page_id, url, html, host, part), the rows of a part next to one another in one partition."""
+    rows = pages.select(
+        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host")
     )
-    # Runs that too few of a host's pages have go before the host's tokens meet.
-    totals = saved(rows.groupBy("host").agg(F.count(F.lit(1)).alias("_pages")), "hosts")
-    totals = F.broadcast(totals) if totals.count() <= FEW_HOSTS else totals
-    least = F.when(F.instr("token", "\n") > 0, F.col("_pages") * (SUPPORT * ONCE)).otherwise(0)
-    sums = sums.join(totals, "host").where((F.col("pages") >= least) & ((F.instr("token", "\n") == 0) | (F.col("_pages") >= FEW_PAGES))).drop("_pages")
-    return sums.groupBy("host").applyInArrow(template, "host string, slot string, constant array<string>, pages long, classes long")
+    sizes = saved(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.octet_length("html")).alias("bytes")), "hosts")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    parts = F.ceil(F.greatest(F.col("pages") / PART_PAGES, F.coalesce("bytes", F.lit(0)) / PART_BYTES)).cast("int")
+    large = sizes.select(F.col("host").alias("_host"), parts.alias("_parts")).where("_parts > 1")
+    spot = F.xxhash64("url", "html")
+    if large.count() <= FEW_HOSTS:
+        rows = rows.join(F.broadcast(large), F.col("host") == F.col("_host"), "left")
+    else:
+        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.join(salted, (F.col("host") == F.col("_host")) & (F.pmod(spot, F.lit(SALT)) == F.col("_salt")), "left")
+    rows = rows.select("page_id", "url", "html", "host", F.coalesce(F.pmod(F.xxhash64("url", "html", F.lit("part")), F.col("_parts")), F.lit(0)).cast("int").alias("part"))
+    return rows.repartition(max(8, -(-total // TASK_BYTES)), "host", "part").sortWithinPartitions("host", "part")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], list[tuple]]]:
+    """The rows (page_id, url, html) of each part in turn."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in ("host", "part", "page_id", "url", "html")]
+        for host, part, *row in zip(*columns, strict=True):
+            if (host, part) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (host, part), []
+            rows.append(tuple(row))
+    if rows:
+        yield key, rows
+
+
+def deduce(htmls: list[str | None]) -> tuple[Template, list[Page], Paths]:
+    """The template of some pages of one host."""
+    paths = Paths()
+    pages = [Page(text or "", paths) for text in htmls]
+    return Template(pages, paths), pages, paths
+
+
+def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """For each part of a host: slot (the main slot's path), pages, classes (valid equivalence classes), tokens (in them)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (host, part), rows in _by_part(batches):
+            found, _, paths = deduce([r[2] for r in rows])
+            yield pa.RecordBatch.from_pylist(
+                [{"host": host, "part": part, "slot": paths.text(found.slot) if found.slot is not None else None, "pages": len(rows), "classes": len(found.classes), "tokens": sum(map(len, found.classes))}],
+                pa.schema([("host", pa.string()), ("part", pa.int32()), ("slot", pa.string()), ("pages", pa.int64()), ("classes", pa.int64()), ("tokens", pa.int64())]),
+            )
+
+    return in_small_batches(dealt(pages, id_col, url_col, html_col)).mapInArrow(lean(run), "host string, part int, slot string, pages long, classes long, tokens long")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text, n_chars."""
-    found = saved(templates(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("constant").alias("_constant")), "templates")
-    found = F.broadcast(found) if found.count() <= FEW_HOSTS else found
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("_host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(page.as_py() or "", slot, frozenset(constant or ())) for page, slot, constant in zip(batch["html"], batch["_slot"].to_pylist(), batch["_constant"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.join(found, "_host", "left").select("page_id", "url", "html", "_slot", "_constant").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+        for _, rows in _by_part(batches):
+            template, own, paths = deduce([r[2] for r in rows])
+            texts = template.texts(own, paths)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
+
+    return in_small_batches(dealt(pages, id_col, url_col, html_col)).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
