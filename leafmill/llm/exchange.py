@@ -9,48 +9,62 @@ each chunk only the keys that concern it.
 
 A chunk sends a key once however often it occurs, so a key that a third of all documents share
 costs its range one entry per chunk, not one per document.
+
+The numbers of chunks and of ranges follow the bytes of text, which are summed first (a scan without a
+shuffle), and no session setting: a chunk holds about `CHUNK_BYTES` and a range the keys of about
+`RANGE_BYTES`, at any size of input.  Each chunk and each range is a partition of its own
+(`repartitionById`), so a task's memory and reading stay flat as the input grows.  Rows are dealt by a hash of
+id and text.  Rows without an id, which are compared with nothing, are not dealt at all: they are
+answered where they are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.memory import begin, give_back, in_small_batches
+from leafmill.llm.memory import begin, give_back, lean
 
 U64 = np.uint64
-SENT = "range int, chunk int, tag int, n int, keys binary, marks binary, ids binary"
-_FIELDS = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("tag", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("ids", pa.binary())])
+SENT = "range int, chunk int, tag int, n int, keys binary, marks binary, ids binary, checks binary"
+_FIELDS = pa.schema([("range", pa.int32()), ("chunk", pa.int32()), ("tag", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("ids", pa.binary()), ("checks", pa.binary())])
+#: Bytes of text in a chunk of documents, and of texts whose keys one range holds.
+CHUNK_BYTES, RANGE_BYTES = 16 << 20, 16 << 20
+#: Chunks and ranges of small inputs.
+LEAST = 8
 
 
-def chunks_for(spark: SparkSession) -> int:
-    """Chunks of documents, and ranges of keys: the shuffle partitions, which follow the input's size.
+class Deal(NamedTuple):
+    """Documents in chunks: rows (chunk, id, text and, if carried, rest), those without an id apart (None if there are none)."""
 
-    A chunk sends each range one row, so that rows are as many as the blocks of any shuffle over so many partitions.
-    """
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows: DataFrame
+    alone: DataFrame | None
+    chunks: int
+    ranges: int
 
+    @property
+    def bits(self) -> int:
+        """Bits for keys whose chance matches are harmless: 32 within a range of the key space."""
+        return min(64, 33 + max(1, self.ranges - 1).bit_length())
 
-def key_bits(chunks: int) -> int:
-    """Bits for keys whose chance matches are harmless: 32 within a range of the key space."""
-    return min(64, 33 + max(1, chunks - 1).bit_length())
 
-
-def in_chunks(docs: DataFrame, chunks: int, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
-    """(chunk, id, text): rows dealt by a hash of their id.  Rows without an id are dealt by their text.
-
-    With `carry`, the row's columns but the text follow as the struct `rest`.
-    """
-    key = F.coalesce(F.xxhash64(F.col(id_col).cast("long")), F.xxhash64(F.col(text_col)))
-    return in_small_batches(docs).select(
-        F.pmod(key, F.lit(chunks)).cast("int").alias("chunk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
-    )
+def deal(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Deal:
+    """The documents in chunks.  With `carry`, the row's columns but the text follow as the struct `rest`."""
+    key, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    total, nulls = docs.agg(F.sum(F.octet_length(text)), F.count_if(key.isNull())).first()
+    chunks, ranges = (int(max(LEAST, -(-(total or 0) // size))) for size in (CHUNK_BYTES, RANGE_BYTES))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("rest")] if carry else []
+    own = lambda rows, chunk: rows.select(chunk.cast("int").alias("chunk"), key.alias("id"), text.alias("text"), *rest)
+    known = docs.where(key.isNotNull()) if nulls else docs
+    rows = own(known, F.pmod(F.xxhash64(key, text), F.lit(chunks))).repartitionById(chunks, F.col("chunk"))
+    return Deal(rows, own(docs.where(key.isNull()), F.lit(-1)) if nulls else None, chunks, ranges)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -89,61 +103,100 @@ def unpack_ids(raw: bytes, n: int) -> np.ndarray:
     return ((x >> U64(1)).view(np.int64)) ^ -((x & U64(1)).view(np.int64))
 
 
-def distinct(keys: np.ndarray, rows: np.ndarray, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys; how often each occurs; its least row; the bits of its marks together."""
+class Distinct(NamedTuple):
+    """Sorted distinct keys (with their checks); the least and the largest id of each; how often it occurs; the bits of its marks together."""
+
+    keys: np.ndarray
+    least: np.ndarray
+    largest: np.ndarray
+    count: np.ndarray
+    marks: np.ndarray
+    checks: np.ndarray
+
+
+def distinct(keys: np.ndarray, ids: np.ndarray, marks: np.ndarray | None = None, checks: np.ndarray | None = None) -> Distinct:
+    checks = checks if checks is not None else np.zeros(len(keys), np.uint32)
+    marks = marks if marks is not None else np.zeros(len(keys), np.uint8)
     if not len(keys):
-        return keys, np.zeros(0, np.int64), rows, np.zeros(0, np.uint8)
-    order = np.argsort(keys)
-    keys, rows = keys[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return Distinct(keys, ids, ids, np.zeros(0, np.int64), marks, checks)
+    order = by_key(keys, checks)
+    keys, ids, checks = keys[order], ids[order], checks[order]
+    first = firsts(keys, checks)
     count = np.diff(np.concatenate((first, [len(keys)])))
-    bits = np.bitwise_or.reduceat(marks[order], first) if marks is not None else np.zeros(len(first), np.uint8)
-    return keys[first], count, np.minimum.reduceat(rows, first), bits
+    return Distinct(keys[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first), count, np.bitwise_or.reduceat(marks[order], first), checks[first])
 
 
-def send(chunk: int, chunks: int, bits: int, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray | None = None, tag: int = 0) -> pa.Table:
-    """One row for each range of the key space in which this chunk has keys (sorted, distinct)."""
-    place = ((keys >> U64(bits - 32)) * U64(chunks)) >> U64(32)
-    cut = np.searchsorted(place, np.arange(chunks + 1, dtype=U64))
+def send(chunk: int, ranges: int, bits: int, keys: np.ndarray, marks: np.ndarray, ids: np.ndarray | None = None, checks: np.ndarray | None = None, tag: int = 0) -> pa.Table:
+    """One row for each range of the key space in which this chunk has keys (sorted; with checks, by key and check)."""
+    place = ((keys >> U64(bits - 32)) * U64(ranges)) >> U64(32)
+    filled = np.unique(place)
+    cut = np.append(np.searchsorted(place, filled), len(place))
     out: list[tuple] = []
-    for k in range(chunks):
-        a, b = int(cut[k]), int(cut[k + 1])
-        if a < b:
-            some = marks[a:b]
-            out.append((k, chunk, tag, b - a, pack_keys(keys[a:b]), some.tobytes() if some.any() else b"", pack_ids(ids[a:b]) if ids is not None else b""))
-    return pa.Table.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_FIELDS)], schema=_FIELDS)
-
-
-def received(table: pa.Table, tag: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, marks and ids of all rows with this tag, in the order of the keys' ranges."""
-    keys, marks, ids = [], [], []
-    rows = [r for r in table.to_pylist() if r["tag"] == tag] if table.num_rows else []
-    for r in sorted(rows, key=lambda r: r["range"]):
-        keys.append(unpack_keys(r["keys"], r["n"]))
-        marks.append(np.frombuffer(r["marks"], np.uint8) if r["marks"] else np.zeros(r["n"], np.uint8))
-        ids.append(unpack_ids(r["ids"], r["n"]) if r["ids"] else np.zeros(r["n"], np.int64))
-    if not keys:
-        return np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(marks), np.concatenate(ids)
+    for k, a, b in zip(filled.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        some = marks[a:b]
+        out.append((k, chunk, tag, b - a, pack_keys(keys[a:b]), some.tobytes() if some.any() else b"", pack_ids(ids[a:b]) if ids is not None else b"", checks[a:b].astype("<u4").tobytes() if checks is not None else b""))
+    return _table(out)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_FIELDS)], schema=_FIELDS)
+
+
+class Received(NamedTuple):
+    keys: np.ndarray
+    marks: np.ndarray
+    ids: np.ndarray
+    checks: np.ndarray
+
+
+def _list(rows: list[dict]) -> Received:
+    if not rows:
+        return Received(np.zeros(0, U64), np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+    return Received(
+        np.concatenate([unpack_keys(r["keys"], r["n"]) for r in rows]),
+        np.concatenate([np.frombuffer(r["marks"], np.uint8) if r["marks"] else np.zeros(r["n"], np.uint8) for r in rows]),
+        np.concatenate([unpack_ids(r["ids"], r["n"]) if r["ids"] else np.zeros(r["n"], np.int64) for r in rows]),
+        np.concatenate([np.frombuffer(r["checks"], "<u4") if r["checks"] else np.zeros(r["n"], np.uint32) for r in rows]),
+    )
+
+
+def received(table: pa.Table, tag: int = 0) -> Received:
+    """Keys, marks, ids and checks of all rows with this tag, in the order of the keys' ranges."""
+    rows = table.filter(pa.compute.equal(table["tag"], tag)).to_pylist() if table.num_rows else []
+    return _list(sorted(rows, key=lambda r: r["range"]))
 
 
 #: Marks of a key: it occurs several times in its chunk; it occurs where an index entry stands.
 MANY, ANCHOR = 1, 2
 
 
-def _merged(table: pa.Table) -> Iterator[tuple]:
+def by_key(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """The order by key and check.  Equal keys hardly ever have several checks, so these are looked at only then."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    if ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((checks, keys))
+    return order
+
+
+def firsts(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where a new key or check begins in their order."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1]))))
+
+
+def _merged(table: pa.Table) -> tuple[list[dict], np.ndarray, np.ndarray, Received]:
+    """The rows; for each entry in their common order the row that it is of; where each key begins; the entries."""
     rows = table.to_pylist()
-    keys = [unpack_keys(r["keys"], r["n"]) for r in rows]
-    marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) if r["marks"] else np.zeros(r["n"], np.uint8) for r in rows])
+    every = _list(rows)
     source = np.repeat(np.arange(len(rows), dtype=np.int32), [r["n"] for r in rows])
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    every, source, marks = every[order], source[order], marks[order]
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    return rows, order, every, source, marks, first
+    order = by_key(every.keys, every.checks)
+    every = Received(*(x[order] for x in every))
+    return rows, source[order], firsts(every.keys, every.checks), every
 
 
-def _returned(rows: list[dict], source: np.ndarray, take: np.ndarray, every: np.ndarray, ids: np.ndarray | None, tag: int) -> pa.Table:
+def _returned(rows: list[dict], source: np.ndarray, take: np.ndarray, every: Received, ids: np.ndarray, tag: int) -> pa.Table:
     at = np.flatnonzero(take)
     at = at[np.argsort(source[at], kind="stable")]
     cut = np.searchsorted(source[at], np.arange(len(rows) + 1))
@@ -151,40 +204,43 @@ def _returned(rows: list[dict], source: np.ndarray, take: np.ndarray, every: np.
     for k, r in enumerate(rows):
         mine = at[cut[k] : cut[k + 1]]
         if len(mine):
-            out.append((r["range"], r["chunk"], tag, len(mine), pack_keys(every[mine]), b"", pack_ids(ids[mine]) if ids is not None else b""))
-    return pa.Table.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_FIELDS)], schema=_FIELDS)
+            out.append((r["range"], r["chunk"], tag, len(mine), pack_keys(every.keys[mine]), b"", pack_ids(ids[mine]), every.checks[mine].astype("<u4").tobytes() if r["checks"] else b""))
+    return _table(out)
 
 
-def shared(sent: DataFrame, tag: int, anchored: bool = False) -> DataFrame:
+def shared(deal: Deal, sent: DataFrame, tag: int, anchored: bool = False) -> DataFrame:
     """To each chunk, those of its keys that occur at least twice in all (and, if so asked, at an index entry).
 
     With each comes a figure for how common it is, the same to all: the chunks that have it, twice where it is MANY.
     """
 
     def merge(table: pa.Table) -> pa.Table:
-        rows, _, every, source, marks, first = _merged(table)
-        count = np.diff(np.concatenate((first, [len(every)])))
-        bits = np.bitwise_or.reduceat(marks, first)
-        often = np.add.reduceat(1 + (marks & MANY).astype(np.int64), first)
+        rows, source, first, every = _merged(table)
+        count = np.diff(np.concatenate((first, [len(every.keys)])))
+        bits = np.bitwise_or.reduceat(every.marks, first)
+        often = np.add.reduceat(1 + (every.marks & MANY).astype(np.int64), first)
         good = (count > 1) | (bits & MANY > 0)
         if anchored:
             good &= bits & ANCHOR > 0
         return _tidy(_returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag))
 
-    return sent.groupBy("range").applyInArrow(merge, SENT)
+    return _over_ranges(deal, sent, merge)
 
 
-def smallest(sent: DataFrame, tag: int) -> DataFrame:
+def smallest(deal: Deal, sent: DataFrame, tag: int) -> DataFrame:
     """To each chunk, the keys that are MANY in it or have a smaller id elsewhere, with their smallest id."""
 
     def merge(table: pa.Table) -> pa.Table:
-        rows, order, every, source, marks, first = _merged(table)
-        count = np.diff(np.concatenate((first, [len(every)])))
-        ids = np.concatenate([unpack_ids(r["ids"], r["n"]) for r in rows])[order]
-        least = np.repeat(np.minimum.reduceat(ids, first), count)
-        return _tidy(_returned(rows, source, (least < ids) | (marks & MANY > 0), every, least, tag))
+        rows, source, first, every = _merged(table)
+        count = np.diff(np.concatenate((first, [len(every.keys)])))
+        least = np.repeat(np.minimum.reduceat(every.ids, first), count)
+        return _tidy(_returned(rows, source, (least < every.ids) | (every.marks & MANY > 0), every, least, tag))
+
+    return _over_ranges(deal, sent, merge)
 
-    return sent.groupBy("range").applyInArrow(merge, SENT)
+
+def _over_ranges(deal: Deal, sent: DataFrame, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    return sent.repartitionById(deal.ranges, F.col("range")).groupBy("range").applyInArrow(merge, SENT)
 
 
 def _tidy(table: pa.Table) -> pa.Table:
@@ -192,16 +248,30 @@ def _tidy(table: pa.Table) -> pa.Table:
     return table
 
 
-def over_chunks(docs: DataFrame, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame) -> DataFrame:
-    """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them."""
+def over_chunks(deal: Deal, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame, alone: bool = False) -> DataFrame:
+    """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them.
+
+    With `alone`, rows without an id follow, given to the function as they are read, with nothing received.
+    """
+    nothing = _table([])
 
-    def run(key: tuple, left: pa.Table, right: pa.Table | None) -> pa.Table:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         begin()
         return _tidy(function(key[0].as_py(), left, right))
 
-    if not back:
-        return docs.groupBy("chunk").applyInArrow(lambda key, table: run(key, table, None), schema)
-    right = back[0]
-    for other in back[1:]:
-        right = right.unionByName(other)
-    return docs.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: run(key, left, right), schema)
+    if back:
+        right = back[0]
+        for other in back[1:]:
+            right = right.unionByName(other)
+        right = right.repartitionById(deal.chunks, F.col("chunk"))
+        out = deal.rows.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(lambda key, left, right: run(key, left, right), schema)
+    else:
+        out = deal.rows.groupBy("chunk").applyInArrow(lambda key, table: run(key, table, nothing), schema)
+    if alone and deal.alone is not None:
+
+        def where_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from function(-1, pa.Table.from_batches([batch]), nothing).to_batches()
+
+        out = out.unionByName(deal.alone.mapInArrow(lean(where_read), out.schema))
+    return out

@@ -19,7 +19,9 @@ with nothing.  Two documents link when 100 * |intersection| >= percent * |union|
    just one set has turns one of `SKETCH` bits, so the sketches differ in no more bits than the sets
    in features, and a pair whose sketches differ too much cannot link.
 
-Hashes of shingles have 52 bits and those of whole sets 64; equal hashes count as equal.
+Hashes are taken in a prime field at random bases of the run's own (see `rolling`).  Those of shingles have
+52 bits: two sets of a and b shingles seem to share one more than they do with a chance of ab / 2**52.  Those
+of whole sets have 64 and 32 bits; equal hashes count as equal.
 
 Null ids: such rows get no component and link with nothing.  Rows that share an id count as one
 document.  Null texts have no words.  Other columns of the input are ignored.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import exchange as X
 from leafmill.llm.graph import components, saved
-from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, mix, pieces, words_of
+from leafmill.llm.rolling import Bases, Lookup, U64, Windows, buffer_of, draw, fingerprints, fits, mix, pieces, words_of
 
 ROW_BITS = 12
 SET_BITS = 64 - ROW_BITS
@@ -44,30 +46,34 @@ _UPPER[65:91] += 32
 SKETCH = 1024
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int, bases: Bases) -> tuple[np.ndarray, np.ndarray]:
     """The sets of up to 4096 texts after one another, each sorted, and where each begins."""
     data = _UPPER[data]
     starts, ends, places = words_of(data, offsets)
-    rolling = Rolling(Rolling(data).window(starts, ends))
+    windows = Windows(fingerprints(data, starts, ends, bases.word), bases.window)
     rows = np.repeat(np.arange(len(offsets) - 1), np.diff(places))
     full = np.flatnonzero(fits(places, shingle)) if len(starts) else np.zeros(0, np.int64)
-    few = np.flatnonzero((np.diff(places) > 0) & (np.diff(places) < shingle))
-    hashes = np.concatenate((rolling.window(full, full + shingle), rolling.window(places[few], places[few + 1])))
-    rows = np.concatenate((rows[full], few)).astype(U64)
+    hashes, owners = [windows.every(shingle)[full]], [rows[full]]
+    for width in range(1, shingle):
+        few = np.flatnonzero(np.diff(places) == width)
+        if len(few):
+            hashes.append(mix(windows.every(width)[places[few]] + U64(width)))
+            owners.append(few)
+    hashes, rows = np.concatenate(hashes), np.concatenate(owners).astype(U64)
     both = np.sort((rows << U64(SET_BITS)) | (hashes >> U64(ROW_BITS)))
     both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     cut = np.searchsorted(both >> U64(SET_BITS), np.arange(len(offsets), dtype=U64))
     return both & U64((1 << SET_BITS) - 1), cut
 
 
-def _parts(docs: pa.Table, shingle: int):
+def _parts(docs: pa.Table, shingle: int, bases: Bases):
     data, offsets = buffer_of(docs["text"])
     known = docs["id"].is_valid().to_numpy()
     ids = docs["id"].fill_null(0).to_numpy()
     for a, b in pieces(offsets):
         for c in range(a, b, 1 << ROW_BITS):
             d = min(b, c + (1 << ROW_BITS))
-            yield ids[c:d], known[c:d], *shingle_sets(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c], shingle)
+            yield ids[c:d], known[c:d], *shingle_sets(data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c], shingle, bases)
 
 
 def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -75,9 +81,10 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return total[cut[1:]] - total[cut[:-1]]
 
 
-def whole(elements: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A fingerprint of each set."""
-    return mix(_sums(mix(elements + U64(0x5851F42D4C957F2D)), cut) + np.diff(cut).astype(U64) * U64(0xD6E8FEB86659FD93))
+def whole(elements: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A fingerprint of each set, of 64 bits and 32 more."""
+    one = mix(_sums(mix(elements + U64(0x5851F42D4C957F2D)), cut) + np.diff(cut).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return one, (mix(_sums(mix(elements ^ U64(0x3C79AC492BA7B653)), cut)) >> U64(32)).astype(np.uint32)
 
 
 def size_bands() -> np.ndarray:
@@ -159,35 +166,37 @@ def _chosen(scheme: PartEnum, keys: np.ndarray, who: np.ndarray, signers: np.nda
 
 def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: id, n, alike (smallest id with the same set), and, where signatures are shared, those and the set."""
-    chunks = X.chunks_for(docs.sparkSession)
-    bits = X.key_bits(chunks)
+    dealt = X.deal(docs, id_col, text_col)
+    ranges, bits, bases = dealt.ranges, dealt.bits, draw()
     cut_bits = U64(64 - bits)
-    dealt = X.in_chunks(docs, chunks, id_col, text_col)
     scheme = PartEnum(percent)
 
     def alike(chunk: int, docs: pa.Table, _) -> pa.Table:
-        keys, ids = [], []
-        for some, known, elements, cut in _parts(docs, shingle):
+        keys, ids, checks = [], [], []
+        for some, known, elements, cut in _parts(docs, shingle, bases):
             good = known & (np.diff(cut) > 0)
-            keys.append(whole(elements, cut)[good])
+            key, check = whole(elements, cut)
+            keys.append(key[good])
+            checks.append(check[good])
             ids.append(some[good])
-        keys, count, least, _ = X.distinct(np.concatenate(keys or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, np.int64)]))
-        return X.send(chunk, chunks, 64, keys, np.where(count > 1, X.MANY, 0).astype(np.uint8), least)
+        own = X.distinct(np.concatenate(keys or [np.zeros(0, U64)]), np.concatenate(ids or [np.zeros(0, np.int64)]), None, np.concatenate(checks or [np.zeros(0, np.uint32)]))
+        return X.send(chunk, ranges, 64, own.keys, np.where(own.count > 1, X.MANY, 0).astype(np.uint8), own.least, own.checks)
 
-    classes = X.smallest(X.over_chunks(dealt, alike, X.SENT), 1)
+    classes = X.smallest(dealt, X.over_chunks(dealt, alike, X.SENT), 1)
 
     def standing(some, known, elements, cut, index: Lookup, least: np.ndarray) -> np.ndarray:
         """The smallest id with the same set; the set's own id if that is it or nothing matches."""
-        at, place = index.find(whole(elements, cut), known & (np.diff(cut) > 0))
+        key, check = whole(elements, cut)
+        at, place = index.find(key, known & (np.diff(cut) > 0), lambda at: check[at])
         out = some.copy()
         out[at] = np.minimum(least[place], some[at])
         return out
 
     def sign(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 1)
-        index = Lookup(found, 64)
+        found, _, least, checks = X.received(back, 1)
+        index = Lookup(found, 64, checks)
         keys, ids = [], []
-        for some, known, elements, cut in _parts(docs, shingle):
+        for some, known, elements, cut in _parts(docs, shingle, bases):
             rows = np.flatnonzero(known & (np.diff(cut) > 0) & (standing(some, known, elements, cut, index, least) == some))
             found, who, signers = scheme.signatures(elements, cut, rows)
             keys.append(found >> cut_bits)
@@ -197,17 +206,17 @@ def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
         keys, ids = keys[order], ids[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         many = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first) if len(keys) else np.zeros(0, bool)
-        return X.send(chunk, chunks, bits, keys[first], np.where(many, X.MANY, 0).astype(np.uint8))
+        return X.send(chunk, ranges, bits, keys[first], np.where(many, X.MANY, 0).astype(np.uint8))
 
-    signed = X.shared(X.over_chunks(dealt, sign, X.SENT, classes), 2)
+    signed = X.shared(dealt, X.over_chunks(dealt, sign, X.SENT, classes), 2)
 
     def choose(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 1)
-        index = Lookup(found, 64)
-        found, _, count = X.received(back, 2)
+        found, _, least, checks = X.received(back, 1)
+        index = Lookup(found, 64, checks)
+        found, _, count, _ = X.received(back, 2)
         known_keys = Lookup(found, bits)
         n, stands, signatures, sets, sketches = [], [], [], [], []
-        for some, known, elements, cut in _parts(docs, shingle):
+        for some, known, elements, cut in _parts(docs, shingle, bases):
             alike = standing(some, known, elements, cut, index, least)
             size = np.diff(cut)
             rows = np.flatnonzero(known & (size > 0) & (alike == some))
@@ -226,7 +235,7 @@ def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
             stands.append(alike)
         return pa.table({"id": docs["id"], "n": np.concatenate(n or [np.zeros(0, np.int64)]).astype(np.int64), "alike": np.concatenate(stands or [np.zeros(0, np.int64)]), "signatures": pa.array(signatures, pa.list_(pa.int64())), "elements": pa.array(sets, pa.binary()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    return X.over_chunks(dealt, choose, "id long, n long, alike long, signatures array<long>, elements binary, sketch array<long>", classes, signed)
+    return X.over_chunks(dealt, choose, "id long, n long, alike long, signatures array<long>, elements binary, sketch array<long>", classes, signed, alone=True)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.graph import saved
 from leafmill.llm.memory import in_small_batches, lean
-from leafmill.llm.rolling import Rolling, U64, buffer_of, pieces, words_of
+from leafmill.llm.rolling import U64, buffer_of, fingerprints, mix, pieces, words_of
 
 FEATURES, WIDTH, RIDGE, BINS, BLOCKS, SEED = 320, 0.35, 1e-3, 400, 8, 7
 MAX_ROWS = 20_000
+#: Where words and lines are hashed, in the prime field of `rolling`; figures of a text are the same in every run.
+BASE = 0x0B4D15C0FFEE1234
 
 _KIND = np.zeros(256, np.int64)
 _KIND[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 1
@@ -73,8 +75,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = np.diff(cut).astype(float)
     rows = np.repeat(np.arange(n), np.diff(cut))
     length = (ends - starts).astype(float)
-    rolling = Rolling(data)
-    hashes = rolling.window(starts, ends)
+    hashes = mix(fingerprints(data, starts, ends, BASE))
     distinct, most = _repeats(hashes, rows, n)
     pair = rows[1:] == rows[:-1] if len(rows) > 1 else np.zeros(0, bool)
     pairs, _ = _repeats((hashes[1:] * U64(31) + hashes[:-1])[pair], rows[1:][pair], n)
@@ -82,7 +83,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     edge = np.unique(np.concatenate((offsets[:-1], offsets[1:], lines_at + 1))) if n else np.zeros(1, np.int64)
     edge = edge[edge <= len(data)]
     line_row = np.searchsorted(offsets, edge[:-1], side="right") - 1
-    lines, _ = _repeats(rolling.window(edge[:-1], edge[1:]), line_row, n)
+    lines, _ = _repeats(fingerprints(data, edge[:-1], edge[1:], BASE), line_row, n)
     n_lines = np.bincount(line_row, minlength=n).astype(float)[:n]
     last, head = (kind[ends - 1], kind[starts]) if len(starts) else (np.zeros(0), np.zeros(0))
     b, w = np.maximum(size, 1), np.maximum(words, 1)

@@ -1,21 +1,43 @@
-"""Vectorised rolling hashes over many texts held in one byte buffer.
+"""Vectorised hashes of words and of windows over many texts held in one byte buffer.
 
-All window hashes are polynomial sums modulo 2**64 over random byte values, taken from one
-prefix-sum array, so a window of any length costs two look-ups.  Nothing loops over bytes or
-words in Python.
+What decides a result is hashed in the field of integers modulo the prime 2**61 - 1, at random bases
+that are drawn for each run and kept in its plan (`Bases`).  Two strings that differ are different
+polynomials of a degree no larger than their length, so for any given pair the chance of equal hashes is at most
+length / 2**61, whatever the texts; no text is built to collide.  Where corpora are so large that chance
+matters, keys carry 32 bits of a second hash at bases of its own.
+
+What only narrows a search (`sketch`) is hashed faster; a chance match there costs time alone.
+Nothing loops over bytes or words in Python, but for words of more than `LONG` bytes.
 """
 
 from __future__ import annotations
 
+import secrets
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+PRIME = (1 << 61) - 1
+_P, _61, _31, _30 = U64(PRIME), U64(61), U64(31), U64(30)
+_M31, _M30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+#: Bytes of one coefficient, and of the longest word that is hashed with the others.
+LANE, LONG = 7, 448
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[str, np.ndarray] = {}
+
+
+class Bases(NamedTuple):
+    """Where polynomials are evaluated: over the bytes of a word, and over the words of a window."""
+
+    word: int
+    window: int
+
+
+def draw() -> Bases:
+    """Random bases for one run."""
+    return Bases(*(secrets.randbelow(PRIME - (1 << 32)) + (1 << 31) for _ in range(2)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,40 +49,107 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)  # below the prime the subtraction wraps round to a large number
+
+
+def times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo the prime, less a final reduction: below 2**63 + 2**32 for a, b below the prime."""
+    b1, b0 = U64(b >> 31), U64(b & 0x7FFFFFFF)
+    a1, a0 = a >> _31, a & _M31
+    mid = a0 * b1
+    mid += a1 * b0
+    a0 *= b0
+    a1 *= b1
+    a1 += a1  # 2**62 is 2 modulo the prime
+    a0 += a1
+    a0 += mid >> _30
+    mid &= _M30
+    mid <<= _31
+    a0 += mid
+    return a0
+
+
+def _joined(a: np.ndarray, b: int, c: np.ndarray) -> np.ndarray:
+    """a * b + c modulo the prime."""
+    out = times(a, b)
+    out += c
+    return reduced(out)
+
+
+def _loaded(data: np.ndarray) -> np.ndarray:
+    """For each byte, the eight bytes from there on as a little-endian number (zeros after the end)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hashes below the prime of the byte strings [start, end)."""
+    size = ends - starts
+    out = np.zeros(len(starts), U64)
+    if not len(starts):
+        return out
+    eight = _loaded(data)
+    out = size.astype(U64) % _P
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, LANE):
+        at = at[size[at] > k] if k else at
+        if not len(at):
+            break
+        left = np.minimum(size[at] - k, LANE).astype(U64)
+        lane = eight[starts[at] + k] & ((U64(1) << (left << U64(3))) - U64(1))
+        out[at] = _joined(out[at], base, lane)
+    for i in np.flatnonzero(size > LONG).tolist():
+        text, h = data[starts[i] : ends[i]].tobytes(), int(size[i])
+        for k in range(0, len(text), LANE):
+            h = (h * base + int.from_bytes(text[k : k + LANE], "little")) % PRIME
+        out[i] = h
+    return out
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 18)
-        steps = np.full(size, _BASE if kind == "up" else _INVERSE, U64)
-        steps[0] = 1
-        have = np.cumprod(steps)
-        if size <= 1 << 23:
-            _powers[kind] = have
-    return have[:n]
+class Windows:
+    """Hashes of all windows of some widths over a sequence of numbers below the prime."""
 
+    def __init__(self, values: np.ndarray, base: int):
+        self.base = base
+        self.known = {1: values}
 
-class Rolling:
-    """Hashes of windows [start, end) of a sequence of bytes or of 64-bit values."""
+    def _at(self, width: int) -> np.ndarray:
+        """The window's polynomial at each start; where no such window fits, that of what is left is all it covers."""
+        if width not in self.known:
+            low = 1 << (width.bit_length() - 1)
+            first = low // 2 if low == width else low
+            rest = width - first
+            a, b = self._at(first), self._at(rest)
+            out = a.copy()
+            n = len(a) - first
+            if n > 0:
+                out[:n] = _joined(a[:n], pow(self.base, rest, PRIME), b[first:])
+            self.known[width] = out
+        return self.known[width]
 
-    def __init__(self, values: np.ndarray):
-        values = _BYTE_VALUE[values] if values.dtype == np.uint8 else values
-        n = len(values)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(values * _power("up", n), out=self.sums[1:])
-        self.inverse = _power("down", n + 1)
+    def every(self, width: int) -> np.ndarray:
+        """The hash of the window at each start; meaningless where none fits."""
+        return mix(self._at(width))
 
-    def window(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
-    def every(self, width: int) -> np.ndarray:
-        """The window hash at each start where a window of this width fits in the buffer."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, U64)
-        return mix((self.sums[width:] - self.sums[:n]) * self.inverse[:n])
+def sketch(data: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of the bytes of each window of at least eight, for searches that a chance match does not harm."""
+    n = len(data)
+    out = np.zeros(n, U64)
+    if n < width:
+        return out
+    eight, m = _loaded(data), n - width + 1
+    total = np.zeros(m, U64)
+    for k, at in enumerate([*range(0, width - 8, 8), width - 8]):
+        # Odd factors that differ by place; the product's high bits fold back before the next.
+        total ^= eight[at : at + m] * U64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)
+        total ^= total >> U64(29)
+        total *= U64(0xBF58476D1CE4E5B9)
+    out[:m] = total ^ (total >> U64(32))
+    return out
 
 
 def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,18 +234,21 @@ def slide(x: np.ndarray, width: int, op) -> np.ndarray:
 
 
 class Lookup:
-    """Membership of 64-bit keys in a sorted list: a bit table first, a binary search after it."""
+    """Membership of 64-bit keys in a sorted list: a bit table first, a binary search after it.
+
+    With checks, keys are equal only if these second hashes are; a key then occurs in the list once for each.
+    """
 
-    def __init__(self, keys: np.ndarray, bits: int):
-        self.keys, self.shift = keys, None
+    def __init__(self, keys: np.ndarray, bits: int, checks: np.ndarray | None = None):
+        self.keys, self.shift, self.checks = keys, None, checks
         if len(keys):
             table = min(24, max(12, int(len(keys)).bit_length() + 4), bits)
             self.shift = U64(bits - table)
             self.table = np.zeros(1 << table, bool)
             self.table[keys >> self.shift] = True
 
-    def find(self, keys: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in `keys` that are members, and where in the list each is."""
+    def find(self, keys: np.ndarray, among: np.ndarray | None = None, checks=None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in `keys` that are members, and where in the list each is.  `checks` gives the second hashes of some positions."""
         if self.shift is None or not len(keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hit = self.table[keys >> self.shift]
@@ -164,4 +256,15 @@ class Lookup:
         place = np.searchsorted(self.keys, keys[at])
         place[place == len(self.keys)] = 0
         ok = self.keys[place] == keys[at]
-        return at[ok], place[ok]
+        at, place = at[ok], place[ok]
+        if self.checks is None or not len(at):
+            return at, place
+        second = checks(at)
+        while True:
+            # Keys that occur with several checks stand next to one another.
+            wrong = self.checks[place] != second
+            following = np.minimum(place + 1, len(self.keys) - 1)
+            move = wrong & (following > place) & (self.keys[following] == self.keys[place])
+            if not move.any():
+                return at[~wrong], place[~wrong]
+            place = np.where(move, following, place)

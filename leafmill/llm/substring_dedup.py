@@ -11,6 +11,8 @@ is removed.  Windows are judged on the input.
 3. Extend: around each hit, all windows that hold it are compared as a whole with those elsewhere;
    neighbouring repeats merge to maximal exact repeats.
 
+Windows are compared by hashes of 64 and 32 bits in a prime field, at random bases of the run's own (see
+`rolling`): of n windows some n**2 / 2**90 pairs may be taken for equal by chance, less than one at 10**13.
 Keys travel as lists by range of the key space (see `exchange`): no row per word is shuffled, and no
 key, however common, is sent more than once by a chunk of documents.
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from leafmill.llm import exchange as X
-from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, pieces, rows_of, spread, words_of
+from leafmill.llm.rolling import Bases, Lookup, U64, Windows, buffer_of, draw, fingerprints, fits, pieces, rows_of, spread, words_of
 
 OUT = "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
@@ -36,27 +38,34 @@ OUT = "id long, n_words long, n_removed long, kept_sha256 string, spans array<st
 class _Part:
     """The words of some neighbouring documents of a chunk."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, window: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, window: int, bases: Bases, second: Bases):
         starts, ends, self.offsets = words_of(data, offsets)
         self.n = len(starts)
-        self.rolling = Rolling(Rolling(data).window(starts, ends))
+        self.windows = Windows(fingerprints(data, starts, ends, bases.word), bases.window)
+        self.span = (data, starts, ends, window, second)
         self.row = rows_of(self.offsets)
         self.place = np.arange(self.n) - self.offsets[:-1][self.row]
         self.inside = fits(self.offsets, window) & known[self.row] if self.n else np.zeros(0, bool)
 
     def every(self, width: int) -> np.ndarray:
-        out = np.zeros(self.n, U64)
-        found = self.rolling.every(width)
-        out[: len(found)] = found
-        return out
+        """The hash of the window of so many words at each word."""
+        return self.windows.every(width)
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """32 bits of the second hash of some windows.  They are few, so only the words that they cover are hashed."""
+        data, starts, ends, window, second = self.span
+        covered = np.flatnonzero(spread(self.n, at, np.minimum(at + window, self.n)))
+        values = np.zeros(self.n, U64)
+        values[covered] = fingerprints(data, starts[covered], ends[covered], second.word)
+        return (Windows(values, second.window).every(window)[at] >> U64(32)).astype(np.uint32)
 
-def _parts(docs: pa.Table, window: int):
+
+def _parts(docs: pa.Table, window: int, *bases: Bases):
     data, offsets = buffer_of(docs["text"])
     known = docs["id"].is_valid().to_numpy()
     ids = docs["id"].fill_null(0).to_numpy()
     for a, b in pieces(offsets):
-        yield a, b, ids[a:b], _Part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known[a:b], window)
+        yield a, b, ids[a:b], _Part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known[a:b], window, *bases)
 
 
 def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
@@ -65,45 +74,45 @@ def _joined(parts: list[np.ndarray], dtype) -> np.ndarray:
 
 def find_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_words, n_removed, kept_sha256 (kept words joined by one space), removed spans of words."""
-    chunks = X.chunks_for(docs.sparkSession)
-    bits, block = X.key_bits(chunks), window // 2
+    dealt = X.deal(docs, id_col, text_col)
+    ranges, bits, block, bases = dealt.ranges, dealt.bits, window // 2, (draw(), draw())
     cut = U64(64 - bits)
-    dealt = X.in_chunks(docs, chunks, id_col, text_col)
 
     def probe(chunk: int, docs: pa.Table, _) -> pa.Table:
         keys, marks = [], []
-        for _, _, _, part in _parts(docs, window):
+        for _, _, _, part in _parts(docs, window, *bases):
             own = (part.offsets[1:] - part.offsets[:-1] >= window)[part.row] if part.n else np.zeros(0, bool)
             at = np.flatnonzero(own & fits(part.offsets, block)) if part.n else np.zeros(0, np.int64)
             keys.append(part.every(block)[at] >> cut)
             marks.append(np.where(part.place[at] % block == 0, X.ANCHOR, 0).astype(np.uint8))
         keys, marks = _joined(keys, U64), _joined(marks, np.uint8)
-        keys, count, _, marks = X.distinct(keys, np.zeros(len(keys), np.int64), marks)
-        return X.send(chunk, chunks, bits, keys, marks | np.where(count > 1, X.MANY, 0).astype(np.uint8))
+        own = X.distinct(keys, np.zeros(len(keys), np.int64), marks)
+        return X.send(chunk, ranges, bits, own.keys, own.marks | np.where(own.count > 1, X.MANY, 0).astype(np.uint8))
 
-    hits = X.shared(X.over_chunks(dealt, probe, X.SENT), 1, anchored=True)
+    hits = X.shared(dealt, X.over_chunks(dealt, probe, X.SENT), 1, anchored=True)
 
     def extend(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        index = Lookup(X.received(back, 1)[0], bits)
-        keys, ids = [], []
-        for _, _, some, part in _parts(docs, window):
+        index = Lookup(X.received(back, 1).keys, bits)
+        keys, ids, checks = [], [], []
+        for _, _, some, part in _parts(docs, window, *bases):
             at, _ = index.find(part.every(block) >> cut)
             around = spread(part.n, np.maximum(at - (window - block), 0), at + 1) & part.inside
             at = np.flatnonzero(around)
             keys.append(part.every(window)[at])
             ids.append(some[part.row[at]])
-        keys, count, least, _ = X.distinct(_joined(keys, U64), _joined(ids, np.int64))
-        return X.send(chunk, chunks, 64, keys, np.where(count > 1, X.MANY, 0).astype(np.uint8), least)
+            checks.append(part.checks(at))
+        own = X.distinct(_joined(keys, U64), _joined(ids, np.int64), None, _joined(checks, np.uint32))
+        return X.send(chunk, ranges, 64, own.keys, np.where(own.count > 1, X.MANY, 0).astype(np.uint8), own.least, own.checks)
 
-    first = X.smallest(X.over_chunks(dealt, extend, X.SENT, hits), 2)
+    first = X.smallest(dealt, X.over_chunks(dealt, extend, X.SENT, hits), 2)
 
     def remove(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 2)
-        index = Lookup(found, 64)
+        found, _, least, checks = X.received(back, 2)
+        index = Lookup(found, 64, checks)
         texts = docs["text"]
         total, gone, digest, spans = [], [], [], []
-        for a, b, some, part in _parts(docs, window):
-            at, place = index.find(part.every(window), part.inside)
+        for a, b, some, part in _parts(docs, window, *bases):
+            at, place = index.find(part.every(window), part.inside, part.checks)
             row = part.row[at]
             order = np.lexsort((at, place, row))
             repeat = np.zeros(len(at), bool)
@@ -135,4 +144,4 @@ def find_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"id": docs["id"], "n_words": _joined(total, np.int64).astype(np.int64), "n_removed": _joined(gone, np.int64), "kept_sha256": pa.array(digest, pa.string()), "spans": pa.array(spans, kind)})
 
-    return X.over_chunks(dealt, remove, OUT, first)
+    return X.over_chunks(dealt, remove, OUT, first, alone=True)

@@ -3,21 +3,29 @@
 A window is `width` consecutive bytes of one document; each byte that lies in a window which also
 starts in a document with a smaller id is removed.  Windows are judged on the input.
 
-1. Parse: a rolling hash over `TRIGGER` bytes cuts every document into phrases, where its value is 0
-   modulo `PHRASE`.  The cuts depend on the bytes alone, so equal passages are cut alike.  A phrase
-   with the `width - 1` bytes that follow it in the parse is a dictionary entry; every window that
-   starts in the phrase lies in it.  For each distinct entry the smallest document is found, and an
-   entry that a smaller document has is done with: all its windows repeat.  A passage that thousands
-   of documents share is from here on looked at once.
-2. Seeds: in the entries left, each window's least hash of `SEED` bytes, again a function of the
-   window alone.  A window whose seed no other document has is unique.
-3. Order: within a chunk, the suffixes that start at the windows left are put in suffix-array order,
-   cut at `width` bytes, which is all that the question needs: by prefix doubling over the ranks of
-   8, 16, 32 and 50 bytes.  Neighbours that agree on the whole width form one group.  The groups of all
-   chunks are combined by their fingerprints into corpus order, and each learns its smallest document.
-
-The corpus order is thus kept by ranges of 64-bit fingerprints rather than as one array, since
-only equal prefixes need to meet; no step holds more than a chunk of documents or a range.
+1. Parse: a hash of `TRIGGER` bytes cuts every document into phrases, where its value is 0 modulo
+   `PHRASE`; a phrase runs to the end of the next trigger.  The cuts depend on the bytes alone, so
+   equal passages are cut alike, and no phrase's end of more than `TRIGGER` bytes is the beginning of another such end.
+2. Distinct phrases: a phrase with the `width - 1` bytes that follow it in the parse is an entry; every
+   window that starts in the phrase lies in it.  Each distinct entry is kept at its smallest document
+   alone; where a smaller document has it, all its windows repeat.  A passage that thousands of documents
+   share is from here on looked at once.
+3. Sieve: of the entries left, a window that no other document has needs no place in the order.  Those go
+   whose least hash of `SEED` bytes no other document has, and then those whose quick hash no other has.
+   Neighbouring windows that are left form runs.  Distinct runs are kept once, with their smallest document.
+4. Dictionary: the phrases that the runs go through are sorted; a phrase's rank is its place among the distinct ones.
+5. Parse order: what follows a window's phrase is a suffix of the parse, a sequence of ranks; these are sorted and
+   ranked in turn (each as far as a window can reach).
+6. Corpus order: a window's suffix is the end of its phrase followed by a suffix of the parse.  Sorted by the first and
+   then by the rank of the second, the runs' suffixes stand in lexicographic order.  Windows that repeat are
+   neighbours with a longest common prefix of at least `width`; a group of such neighbours learns its smallest document.
+
+All three orders are sorts over ranges of the keys that Spark samples (`orderBy`, `repartitionByRange`): no order lies in one
+task.  A group of equals that a range's boundary splits is joined by comparing the last window of a range with the
+first of the next.  What is sorted is the ends of repeated text, once for all documents that share it, not the corpus.
+
+The sieve only leaves out what cannot repeat.  Entries are compared by 64 and 32 bits of two hashes in a
+prime field at random bases of the run's own (see `rolling`), windows by their bytes.
 
 Null or empty texts lose nothing.  A row without an id is compared with nothing.  Rows that share
 an id are not smaller than one another.  Other columns of the input are ignored.
@@ -26,6 +34,7 @@ an id are not smaller than one another.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +43,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm import exchange as X
-from leafmill.llm.rolling import Lookup, Rolling, U64, buffer_of, fits, pieces, rows_of, slide, spread
+from leafmill.llm.graph import saved
+from leafmill.llm.memory import lean
+from leafmill.llm.rolling import Bases, Lookup, U64, buffer_of, draw, fingerprints, fits, mix, pieces, rows_of, sketch, slide, spread
 
-TRIGGER, PHRASE, SEED = 12, 32, 25
+TRIGGER, PHRASE, SEED = 12, 32, 32
+#: Windows in one run at most; longer ones are cut.
+LONGEST = 4096
 #: Seeds are least hashes, so most are small numbers: times this they lie evenly over the key space.
 SPREAD = U64(0xD1342543DE82EF95)
 OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+#: A chunk's distinct runs: the bytes, the phrases that begin in them after their first byte and where, the least and the largest id.
+RUNS = "chunk int, run binary, starts array<int>, phrases array<binary>, least long, largest long"
+ORDERED = "place int, n long, window binary, number long, pos int, smallest long, edge int"
 
 
 class _Part:
     """Some neighbouring documents of a chunk as bytes, with their phrases."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, width: int):
-        self.data, self.offsets, self.width, self.n = data, offsets, width, len(data)
-        self.rolling = Rolling(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, width: int, bases: tuple[Bases, Bases]):
+        self.data, self.offsets, self.width, self.n, self.bases = data, offsets, width, len(data), bases
         self.row = rows_of(offsets)
         self.inside = fits(offsets, width) & known[self.row] if self.n else np.zeros(0, bool)
-        trigger = np.zeros(self.n, bool)
-        found = self.rolling.every(TRIGGER)
-        trigger[: len(found)] = (found >> U64(40)) % U64(PHRASE) == 0
         if self.n:
-            trigger &= fits(offsets, TRIGGER)
+            trigger = ((sketch(data, TRIGGER) >> U64(40)) % U64(PHRASE) == 0) & fits(offsets, TRIGGER)
             trigger[offsets[:-1][np.diff(offsets) > 0]] = True
+        else:
+            trigger = np.zeros(0, bool)
         self.start = np.flatnonzero(trigger)
         row = self.row[self.start]
         self.stop = np.append(self.start[1:], self.n)
@@ -63,19 +77,16 @@ class _Part:
         self.phrase_row = row
         self.long = np.flatnonzero((self.end - self.start >= width) & known[row])
 
-    def entries(self) -> np.ndarray:
-        return self.rolling.window(self.start[self.long], self.end[self.long])
+    def entries(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and checks of the entries that hold a window."""
+        start, end = self.start[self.long], self.end[self.long]
+        one, two = (fingerprints(self.data, start, end, b.word) for b in self.bases)
+        return mix(one), (mix(two) >> U64(32)).astype(np.uint32)
 
     def left(self, done: np.ndarray) -> np.ndarray:
         """Windows that start in none of these entries."""
         return self.inside & ~spread(self.n, self.start[done], self.stop[done])
 
-    def every(self, width: int) -> np.ndarray:
-        out = np.zeros(self.n, U64)
-        found = self.rolling.every(width)
-        out[: len(found)] = found
-        return out
-
     def seeds(self, windows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Where the least hash of `SEED` bytes of some of these windows stands."""
         span = self.width - SEED + 1
@@ -85,42 +96,132 @@ class _Part:
         over = slide(least[::-1].copy(), span, np.maximum)[::-1]
         return np.flatnonzero(over == small)
 
-
-def _parts(docs: pa.Table, width: int):
+    def bytes_at(self, at: np.ndarray) -> np.ndarray:
+        """The windows that start at `at`, one a row."""
+        return np.lib.stride_tricks.sliding_window_view(self.data, self.width)[at]
+
+    def runs(self, at: np.ndarray) -> Iterator[tuple[bytes, list[int], list[bytes], int]]:
+        """The runs of windows that start at `at`: the bytes, where phrases begin in them, these phrases, and the document's row."""
+        if not len(at):
+            return
+        new = (np.diff(at) > 1) | (np.diff(self.row[at]) > 0)
+        group = np.concatenate(([0], np.cumsum(new)))
+        place = np.arange(len(at)) - np.flatnonzero(np.concatenate(([True], new)))[group]
+        head = np.flatnonzero(place % LONGEST == 0)
+        tail = np.append(head[1:], len(at)) - 1
+        ends = np.minimum(self.stop + TRIGGER, self.offsets[1:][self.phrase_row])
+        for a, b in zip(at[head].tolist(), at[tail].tolist(), strict=True):
+            stop = b + self.width
+            some = range(int(np.searchsorted(self.start, a, side="right")), int(np.searchsorted(self.start, stop)))
+            starts = [int(self.start[k]) for k in some]
+            phrases = [self.data[x : min(int(ends[k]), x + self.width)].tobytes() for k, x in zip(some, starts, strict=True)]
+            yield self.data[a:stop].tobytes(), [x - a for x in starts], phrases, int(self.row[a])
+
+
+def _parts(docs: pa.Table, width: int, bases: tuple[Bases, Bases]):
     data, offsets = buffer_of(docs["text"])
     known = docs["id"].is_valid().to_numpy()
     ids = docs["id"].fill_null(0).to_numpy()
     for a, b in pieces(offsets):
-        yield a, b, ids[a:b], _Part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known[a:b], width)
+        yield a, b, ids[a:b], _Part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known[a:b], width, bases)
 
 
 def _cat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def suffix_groups(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The starts `at` in the order of their suffixes cut at `width` bytes, and where each group of equals begins."""
-    def word(shift: int) -> np.ndarray:
-        raw = np.zeros((len(at), 8), np.uint8)
-        for k in range(min(8, width - shift)):
-            raw[:, k] = data[at + shift + k]
-        return raw.view(">u8").reshape(-1).astype(U64)
-
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for shift in range(0, width, 8):
-        # Only groups with more than one member still need a look at the next bytes.
-        size = np.bincount(group, minlength=1)
-        open_ = np.flatnonzero(size[group] > 1)
-        if not len(open_):
-            break
-        keys = word(shift)
-        inner = np.lexsort((keys[order[open_]], group[open_]))
-        order[open_] = order[open_][inner]
-        value = keys[order]
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | ((value[1:] != value[:-1]) & (size[group[1:]] > 1))))
-        group = np.cumsum(new) - 1
-    return order, np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(at) else np.zeros(0, np.int64)
+def distinct_runs(runs: DataFrame) -> DataFrame:
+    """(number, run, starts, phrases, least, largest): each run once, for all chunks that have it."""
+    found = runs.groupBy("run").agg(F.min(F.struct("starts", "phrases")).alias("cut"), F.min("least").alias("least"), F.max("largest").alias("largest"))
+    return found.select(F.monotonically_increasing_id().alias("number"), "run", "cut.starts", "cut.phrases", "least", "largest")
+
+
+def corpus_order(strings: DataFrame, width: int) -> DataFrame:
+    """The windows of all distinct runs in the lexicographic order of their suffixes: (place, n) is the position, by ranges and within one.
+
+    (number, pos) tells run and place in it.  `smallest` is the least id of the neighbours with the same `width` bytes in the
+    range; `edge` tells groups at the range's ends (1 at its beginning, 2 at its end, 3 both), which may go on in the next.
+    """
+    spark = strings.sparkSession
+    # The dictionary: distinct phrases in order.  The numbers grow with the range and within it.
+    phrases = strings.select(F.explode("phrases").alias("phrase")).distinct()
+    dictionary = saved(phrases.orderBy("phrase").select("phrase", F.monotonically_increasing_id().alias("rank")), "dictionary")
+    # The parse: from each phrase of a run on, the ranks as far as a window reaches; distinct, in order.
+    far = F.expr(f"slice(phrases, k + 1, size(filter(starts, x -> x < starts[k] + {width})) - k)")
+    suffixes = strings.where("size(starts) > 0").select("number", "starts", "phrases", F.explode(F.sequence(F.lit(0), F.size("starts") - 1)).alias("k")).select("number", "k", far.alias("suffix"))
+    ranks = suffixes.select("number", "k", F.posexplode("suffix").alias("at", "phrase")).join(dictionary, "phrase")
+    ranks = ranks.groupBy("number", "k").agg(F.sort_array(F.collect_list(F.struct("at", "rank"))).alias("r")).select("number", "k", F.col("r.rank").alias("ranks"))
+    ranks = saved(ranks, "parse")
+    order = saved(ranks.select("ranks").distinct().orderBy("ranks").select("ranks", F.monotonically_increasing_id().alias("rank")), "parse-order")
+    parse = ranks.join(order, "ranks").select("number", "k", "rank")
+    # The corpus: the end of a window's phrase, up to the next trigger's, then the parse from that trigger on.
+    rows = strings.select("number", "least", "starts", "run", F.explode(F.expr(f"sequence(0, length(run) - {width})")).alias("pos"))
+    rows = rows.withColumn("k", F.expr("size(filter(starts, x -> x <= pos))"))
+    rows = rows.withColumn("own", F.expr(f"coalesce(least({width}, get(starts, k) + {TRIGGER} - pos), {width})"))
+    rows = rows.select("number", "least", "pos", "own", F.expr(f"if(own < {width}, k, -1)").alias("k"), F.expr(f"substring(run, pos + 1, {width})").alias("window"))
+    rows = rows.join(parse, ["number", "k"], "left").select("number", "pos", "least", "window", "own", F.coalesce("rank", F.lit(-1)).alias("rank"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = _sorted(rows, parts).select(F.spark_partition_id().alias("place"), "window", "number", "pos", "least")
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = None, 0  # the group that the last rows belong to may go on in the next batch
+
+        def told(table: pa.Table, edge: int) -> pa.RecordBatch:
+            nonlocal done
+            n = table.num_rows
+            window = np.frombuffer(b"".join(table["window"].to_pylist()), np.uint8).reshape(n, -1)
+            # The longest common prefix with the row before is at least `width` where all bytes agree.
+            first = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]).any(1))))
+            least = np.minimum.reduceat(table["least"].to_numpy(), first)
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+            edges = np.zeros(n, np.int32)
+            edges[group == 0] |= 1 if done == 0 else 0
+            edges[group == len(first) - 1] |= edge
+            out = [table["place"], pa.array(np.arange(done, done + n)), table["window"], table["number"], table["pos"], pa.array(least[group]), pa.array(edges)]
+            done += n
+            return pa.Table.from_arrays(out, names=[f.split()[0] for f in ORDERED.split(", ")]).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            if not table.num_rows:
+                continue
+            last, k = table["window"][-1].as_py(), table.num_rows
+            while k and table["window"][k - 1].as_py() == last:
+                k -= 1
+            if k:
+                yield told(table.slice(0, k), 0)
+            held = table.slice(k)
+        if held is not None:
+            yield told(held, 2)
+
+    found = saved(rows.mapInArrow(lean(neighbours), ORDERED), "corpus-order")
+    edges = found.where("edge > 0").groupBy("place", "edge").agg(F.first("window").alias("window"), F.min("smallest").alias("smallest")).collect()
+    fixed = _across([(r.place, r.edge, bytes(r.window), r.smallest) for r in edges])
+    if not fixed:
+        return found
+    fix = F.broadcast(spark.createDataFrame(fixed, "_window binary, _smallest long"))
+    found = found.join(fix, (F.col("edge") > 0) & (F.col("window") == F.col("_window")), "left")
+    return found.withColumn("smallest", F.coalesce("_smallest", "smallest")).drop("_window", "_smallest")
+
+
+def _sorted(rows: DataFrame, parts: int) -> DataFrame:
+    """Suffixes, as the end of a phrase and the rank of what follows, in their order, over ranges that Spark samples."""
+    key = F.expr("substring(window, 1, own)"), F.col("rank")
+    return rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
+
+
+def _across(edges: list[tuple[int, int, bytes, int]]) -> list[tuple[bytes, int]]:
+    """Windows whose groups go on from range to range, with their smallest id.  At most two rows a range."""
+    out: dict[bytes, int] = {}
+    last: tuple[bytes, int] | None = None
+    for _, edge, window, smallest in sorted(edges):
+        if edge & 1 and last is not None and last[0] == window:
+            smallest = min(smallest, last[1])
+            out[window] = smallest
+        if edge & 2:
+            last = (window, smallest)
+    return list(out.items())
 
 
 def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -128,68 +229,98 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     With `carry`, also the text that is left, less parts of characters, and the row's other columns as the struct `rest`.
     """
-    chunks = X.chunks_for(docs.sparkSession)
-    bits = X.key_bits(chunks)
+    if width < max(SEED, TRIGGER + 1):
+        raise ValueError(f"windows have {max(SEED, TRIGGER + 1)} bytes at least")
+    dealt = X.deal(docs, id_col, text_col, carry)
+    ranges, bits, bases = dealt.ranges, dealt.bits, (draw(), draw())
     cut = U64(64 - bits)
-    dealt = X.in_chunks(docs, chunks, id_col, text_col, carry)
 
     def parse(chunk: int, docs: pa.Table, _) -> pa.Table:
-        keys, ids = [], []
-        for _, _, some, part in _parts(docs, width):
-            keys.append(part.entries())
+        keys, checks, ids = [], [], []
+        for _, _, some, part in _parts(docs, width, bases):
+            key, check = part.entries()
+            keys.append(key)
+            checks.append(check)
             ids.append(some[part.phrase_row[part.long]])
-        return _told(chunk, chunks, _cat(keys, U64), _cat(ids, np.int64))
+        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64), None, _cat(checks, np.uint32))
+        return X.send(chunk, ranges, 64, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8), own.least, own.checks)
 
-    entries = X.smallest(X.over_chunks(dealt, parse, X.SENT), 1)
+    entries = X.smallest(dealt, X.over_chunks(dealt, parse, X.SENT), 1)
 
     def undone(part: _Part, some: np.ndarray, index: Lookup, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries that a smaller document has, and the windows of the others."""
-        at, place = index.find(part.entries())
+        key, check = part.entries()
+        at, place = index.find(key, None, lambda at: check[at])
         done = part.long[at[least[place] < some[part.phrase_row[part.long[at]]]]]
         return done, part.left(done)
 
     def seed(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 1)
-        index = Lookup(found, 64)
+        found, _, least, checks = X.received(back, 1)
+        index = Lookup(found, 64, checks)
         keys, ids = [], []
-        for _, _, some, part in _parts(docs, width):
+        for _, _, some, part in _parts(docs, width, bases):
             _, windows = undone(part, some, index, least)
-            hashes = part.every(SEED)
+            hashes = sketch(part.data, SEED)
             at = part.seeds(windows, hashes)
             keys.append(hashes[at] * SPREAD >> cut)
             ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
-        return X.send(chunk, chunks, bits, *_several(_cat(keys, U64), _cat(ids, np.int64)))
+        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
+        return X.send(chunk, ranges, bits, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8))
 
-    seeds = X.shared(X.over_chunks(dealt, seed, X.SENT, entries), 2)
+    seeds = X.shared(dealt, X.over_chunks(dealt, seed, X.SENT, entries), 2)
 
-    def order(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 1)
-        index, alike = Lookup(found, 64), Lookup(X.received(back, 2)[0], bits)
+    def sieve(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
+        found, _, least, checks = X.received(back, 1)
+        index, alike = Lookup(found, 64, checks), Lookup(X.received(back, 2).keys, bits)
         keys, ids = [], []
-        for _, _, some, part in _parts(docs, width):
+        for _, _, some, part in _parts(docs, width, bases):
             _, windows = undone(part, some, index, least)
-            at, _ = alike.find(part.every(SEED) * SPREAD >> cut)
+            at, _ = alike.find(sketch(part.data, SEED) * SPREAD >> cut)
             at = np.flatnonzero(spread(part.n, np.maximum(at - (width - SEED), 0), at + 1) & windows)
-            ranked, first = suffix_groups(part.data, at, width)
-            at = at[ranked]
-            if len(at):
-                leader = at[first]
-                keys.append(part.rolling.window(leader, leader + width))
-                ids.append(_bounds(some[part.row[at]], first))
-        pairs = _cat(ids, np.int64) if not ids else np.concatenate(ids)
-        return _told(chunk, chunks, _cat(keys, U64), pairs)
+            keys.append(sketch(part.data, width)[at] >> cut)
+            ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
+        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
+        return X.send(chunk, ranges, bits, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8))
 
-    groups = X.smallest(X.over_chunks(dealt, order, X.SENT, entries, seeds), 3)
+    sieved = X.shared(dealt, X.over_chunks(dealt, sieve, X.SENT, entries, seeds), 4)
+
+    def candidates(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
+        found, _, least, checks = X.received(back, 1)
+        index, alike = Lookup(found, 64, checks), Lookup(X.received(back, 4).keys, bits)
+        own: dict[bytes, list] = {}
+        for _, _, some, part in _parts(docs, width, bases):
+            _, windows = undone(part, some, index, least)
+            at, _ = alike.find(sketch(part.data, width) >> cut, windows)
+            for run, starts, phrases, row in part.runs(at):
+                doc = int(some[row])
+                seen = own.get(run)
+                if seen is None:
+                    own[run] = [starts, phrases, doc, doc]
+                else:
+                    seen[2], seen[3] = min(seen[2], doc), max(seen[3], doc)
+        rows = list(own.values())
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int64(), pa.int64()))]
+        return pa.Table.from_arrays([pa.array(np.full(len(rows), chunk, np.int32)), pa.array(list(own), pa.binary()), *columns], names=[f.split()[0] for f in RUNS.split(", ")])
+
+    runs = saved(X.over_chunks(dealt, candidates, RUNS, entries, sieved), "runs")
+    strings = saved(distinct_runs(runs), "distinct-runs")
+    ordered = corpus_order(strings, width).groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "smallest"))).alias("found"), F.min("smallest").alias("low"))
+    told = runs.select("chunk", "run", "largest").join(strings.select("number", "run"), "run").join(ordered, "number").where("low < largest")
+    nothing = F.lit(b"")
+    repeats = told.select(
+        F.lit(0).alias("range"), "chunk", F.lit(3).alias("tag"), F.lit(1).alias("n"), F.col("run").alias("keys"), nothing.alias("marks"),
+        F.encode(F.expr("array_join(transform(found, x -> string(x.smallest)), ',')"), "UTF-8").alias("ids"), nothing.alias("checks"),
+    )
 
     def remove(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least = X.received(back, 1)
-        index = Lookup(found, 64)
-        found, _, smallest = X.received(back, 3)
-        known = Lookup(found, 64)
+        found, _, least, checks = X.received(back, 1)
+        index = Lookup(found, 64, checks)
+        mine = back.filter(pa.compute.equal(back["tag"], 3)) if back.num_rows else back
+        known, smallest = _strings_of(mine["keys"].to_pylist(), mine["ids"].to_pylist(), width)
         n_bytes, n_gone, n_spans, digest, kept_text = [], [], [], [], []
-        for _, _, some, part in _parts(docs, width):
+        for _, _, some, part in _parts(docs, width, bases):
             done, windows = undone(part, some, index, least)
-            at, place = known.find(part.every(width), windows)
+            at, place = known.find(part, windows)
             at = at[smallest[place] < some[part.row[at]]]
             gone = spread(part.n, np.concatenate((part.start[done], at)), np.concatenate((part.end[done], at + width)))
             o = part.offsets
@@ -215,8 +346,50 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         out = {"id": docs["id"], "n_bytes": _cat(n_bytes, np.int64).astype(np.int64), "n_removed": _cat(n_gone, np.int64).astype(np.int64), "n_spans": _cat(n_spans, np.int64).astype(np.int64), "kept_sha256": pa.array(digest, pa.string())}
         return pa.table(out | ({"kept": pa.array(kept_text, pa.string()), "rest": docs["rest"]} if carry else {}))
 
-    shape = T.StructType.fromDDL(f"{OUT}, kept string").add("rest", dealt.schema["rest"].dataType) if carry else OUT
-    return X.over_chunks(dealt, remove, shape, entries, groups)
+    shape = T.StructType.fromDDL(f"{OUT}, kept string").add("rest", dealt.rows.schema["rest"].dataType) if carry else OUT
+    return X.over_chunks(dealt, remove, shape, entries, repeats, alone=True)
+
+
+def _strings_of(runs: list[bytes], smallest: list[bytes], width: int) -> tuple[_Strings, np.ndarray]:
+    """The windows of some runs, and the smallest document of each."""
+    text = np.frombuffer(b"".join(runs), np.uint8)
+    length = np.array([len(r) for r in runs], np.int64)
+    begin = np.cumsum(length) - length
+    windows = length - width + 1
+    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begin, windows)
+    ids = np.array(b",".join(smallest).split(b","), "S20").astype(np.int64) if runs else np.zeros(0, np.int64)
+    # Where a window stands is found by a sketch of it and checked on its bytes.
+    hashes = sketch(text, width)[at]
+    order = np.argsort(hashes, kind="stable")
+    return _Strings(hashes[order], np.lib.stride_tricks.sliding_window_view(text, width)[at[order]] if len(at) else np.zeros((0, width), np.uint8)), ids[order]
+
+
+class _Strings:
+    """Byte strings of one length, sorted by their sketches, to be found in a part."""
+
+    def __init__(self, hashes: np.ndarray, strings: np.ndarray):
+        self.strings = strings
+        self.index = Lookup(hashes, 64)
+        self.hashes = hashes
+
+    def find(self, part: _Part, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these windows are among the strings, and which string each is."""
+        if not len(self.strings) or part.n < part.width:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, place = self.index.find(sketch(part.data, part.width), windows)
+        out_at, out_place = [], []
+        while len(at):
+            same = (part.bytes_at(at) == self.strings[place]).all(1)
+            out_at.append(at[same])
+            out_place.append(place[same])
+            # Other strings with the same sketch stand next to one another.
+            at, place = at[~same], place[~same] + 1
+            more = place < len(self.strings)
+            at, place = at[more], place[more]
+            if len(at):
+                more = self.hashes[place] == self.hashes[place - 1]
+                at, place = at[more], place[more]
+        return _cat(out_at, np.int64), _cat(out_place, np.int64)
 
 
 def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -236,30 +409,3 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
         else:
             columns.append(F.col(f"rest.`{c}`").alias(c))
     return found.select(*columns)
-
-
-def _bounds(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return np.stack([np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)], 1)
-
-
-def _several(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, MANY where several rows have one."""
-    if not len(keys):
-        return keys, np.zeros(0, np.uint8)
-    order = np.argsort(keys)
-    keys, rows = keys[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    many = np.minimum.reduceat(rows, first) < np.maximum.reduceat(rows, first)
-    return keys[first], np.where(many, X.MANY, 0).astype(np.uint8)
-
-
-def _told(chunk: int, chunks: int, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """Distinct keys with their least id; MANY where ids differ.  ids may hold (least, largest) pairs."""
-    low, high = (ids, ids) if ids.ndim == 1 else (ids[:, 0], ids[:, 1])
-    if not len(keys):
-        return X.send(chunk, chunks, 64, keys, np.zeros(0, np.uint8), low)
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    low, high = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first)
-    return X.send(chunk, chunks, 64, keys[first], np.where(low < high, X.MANY, 0).astype(np.uint8), low)

@@ -70,6 +70,54 @@ def test_empty_table_and_null_ids(spark, operator):
     assert all(r["n_removed"] == 0 if "n_removed" in r.asDict() else r["component_id"] == r["id"] for r in got)
 
 
+def thue_morse(letters: str, n: int = 4096) -> str:
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+def test_texts_made_to_collide(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64 at any base."""
+    one, two = thue_morse("ab"), thue_morse("ba")
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{head} {one}", "en"), (2, f"{head} {two}", "en"), (3, one, "en"), (4, two, "en"), (5, thue_morse("ab", 1024), "en"), (6, thue_morse("ba", 1024), "en"), (7, f"{head} {one}", "en")]
+    df = frame(spark, rows)
+    assert sorted(tuple(r) for r in jaccard_join.jaccard_components(df).collect()) == H.jaccard(rows)
+    assert sorted(tuple(r) for r in substring_dedup.find_repeats(df).drop("spans").collect()) == H.word_repeats(rows)
+    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(df).collect()) == H.byte_repeats(rows)
+
+
+def test_results_do_not_hang_on_chance_matches(spark, rows, monkeypatch):
+    """With keys of hardly any bits the checks still tell windows and entries apart."""
+    short = rolling.mix
+    for module in (suffix_dedup, jaccard_join):
+        monkeypatch.setattr(module, "mix", lambda x: short(x) & np.uint64(0xFFF0000000000000))
+    some = rows[:80]
+    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, some)).collect()) == H.byte_repeats(some)
+
+
+def test_small_chunks_and_rows_without_id(spark, rows, monkeypatch):
+    """Many chunks and ranges; rows without an id are spread as they are read, whatever their text."""
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 4_000)
+    monkeypatch.setattr(exchange, "RANGE_BYTES", 3_000)
+    known = [*H.awkward(), *rows[:60]]
+    known = list({r[0]: r for r in known}.values())
+    lone = [(None, known[0][1], "en")] * 40 + [(None, None, "en")] * 40 + [(None, f"text {k}", "en") for k in range(40)]
+    df = frame(spark, known + lone).repartition(6)
+    dealt = exchange.deal(df, "doc_id", "text")
+    assert dealt.chunks > 20 and dealt.ranges > dealt.chunks
+    assert dealt.rows.count() == len(known) and dealt.alone.count() == len(lone)
+    assert dealt.rows.select(F.spark_partition_id().alias("p"), "chunk").distinct().groupBy("p").count().agg(F.max("count")).first()[0] == 1
+    assert dealt.alone.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    for got, want in (
+        (suffix_dedup.find_repeats(df), H.byte_repeats(known)),
+        (substring_dedup.find_repeats(df).drop("spans"), H.word_repeats(known)),
+        (jaccard_join.jaccard_components(df), H.jaccard(known)),
+    ):
+        found = [tuple(r) for r in got.collect()]
+        assert sorted(r for r in found if r[0] is not None) == want
+        assert len(found) == len(known) + len(lone)
+        assert all(r[2] in (0, None) for r in found if r[0] is None)
+
+
 def test_star_rounds_agree_with_one_task(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 2000 + k) for k in range(50)]
@@ -92,7 +140,7 @@ def test_windows_are_told_apart(texts):
     ok = rolling.fits(offsets, 5)
     assert [int(k) for k in np.flatnonzero(ok)] == [int(o) + k for o, t in zip(offsets, texts) for k in range(len(t) - 4)]
     if len(data) >= 5:
-        hashes = rolling.Rolling(data).every(5)
+        hashes = rolling.Windows(data.astype(np.uint64), rolling.draw().window).every(5)[: len(data) - 4]
         strings = [data[k : k + 5].tobytes() for k in range(len(data) - 4)]
         assert len(set(hashes.tolist())) == len(set(strings))
 
@@ -112,15 +160,66 @@ def test_key_lists_round_trip(keys, ids):
     assert (exchange.unpack_ids(exchange.pack_ids(ids), len(ids)) == ids).all()
 
 
+def runs_of(texts: list[str], width: int = 50) -> list[tuple]:
+    """All windows of some documents as runs, as the operator's chunks send them."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))).astype(np.int64)
+    part = suffix_dedup._Part(data, offsets, np.ones(len(texts), bool), width, (rolling.draw(), rolling.draw()))
+    return [(k % 3, run, starts, phrases, row, row) for k, (run, starts, phrases, row) in enumerate(part.runs(np.flatnonzero(part.inside)))]
+
+
+def ordered_texts() -> list[str]:
+    passage = " ".join(H.prose(31, 60))
+    return [passage, "x" + passage[:300], "ab" * 60, "ab" * 40 + "c", " ".join(H.prose(32, 80)) + passage[100:], passage[50:] + "y" * 70, "y" * 55]
+
+
+def test_corpus_order_is_the_suffix_array(spark):
+    """The order that dictionary and parse give, over several ranges, against sorting the suffixes themselves."""
+    strings = graph.saved(suffix_dedup.distinct_runs(spark.createDataFrame(runs_of(ordered_texts()), suffix_dedup.RUNS)), "test-runs")
+    found = suffix_dedup.corpus_order(strings, 50).orderBy("place", "n").collect()
+    assert len({r.place for r in found}) > 1
+    windows = [bytes(r.window) for r in found]
+    assert windows == sorted(windows)
+    whole = {r.number: bytes(r.run) for r in strings.collect()}
+    assert sorted((r.number, r.pos) for r in found) == sorted((n, k) for n, run in whole.items() for k in range(len(run) - 49))
+    assert all(whole[r.number][r.pos : r.pos + 50] == bytes(r.window) for r in found)
+    least: dict = {}
+    for k, t in enumerate(ordered_texts()):
+        for j in range(len(t.encode()) - 49):
+            w = t.encode()[j : j + 50]
+            least[w] = min(least.get(w, k), k)
+    assert all(r.smallest == least[bytes(r.window)] for r in found)
+
+
+def test_the_order_decides(spark, monkeypatch):
+    """Without the order of the dictionary and the parse equal windows are no neighbours and are not found."""
+    rows = [(k, t, "en") for k, t in enumerate(ordered_texts())]
+    want = H.byte_repeats(rows)
+    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) == want
+    monkeypatch.setattr(suffix_dedup, "_sorted", lambda rows, parts: rows.repartition(1).sortWithinPartitions(F.xxhash64("number", "pos")))
+    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) != want
+
+
 @settings(max_examples=40, deadline=None)
-@given(st.text("ab", min_size=60, max_size=200))
-def test_suffix_order(text):
-    data = np.frombuffer(text.encode(), np.uint8)
-    at = np.arange(len(data) - 49)
-    order, first = suffix_dedup.suffix_groups(data, at, 50)
-    strings = [text[k : k + 50] for k in at[order]]
-    assert strings == sorted(strings)
-    assert [strings[k] for k in first] == sorted(set(strings))
+@given(st.lists(st.integers(0, 3), max_size=30), st.integers(1, 4))
+def test_groups_go_on_across_ranges(values, parts):
+    """Sorted windows cut into ranges anywhere: the edges' groups together have the smallest id of all."""
+    rows = sorted((v, k) for k, v in enumerate(values))
+    cut = [rows[len(rows) * k // parts : len(rows) * (k + 1) // parts] for k in range(parts)]
+    edges, local = [], {}
+    for place, some in enumerate(cut):
+        for v in {v for v, _ in some}:
+            local[place, v] = min(k for w, k in some if w == v)
+            edge = (v == some[0][0]) + 2 * (v == some[-1][0])
+            if edge:
+                edges.append((place, edge, bytes([v]), local[place, v]))
+    fixed = {}
+    for window, smallest in suffix_dedup._across(edges):
+        fixed[window] = smallest
+    for v in set(values):
+        ranges = [p for p, w in local if w == v]
+        got = {fixed.get(bytes([v]), local[p, v]) for p in ranges}
+        assert got == {values.index(v)}
 
 
 @settings(max_examples=60, deadline=None)
