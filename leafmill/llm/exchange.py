@@ -135,10 +135,11 @@ def send(chunk: int, ranges: int, bits: int, keys: np.ndarray, marks: np.ndarray
     for k, a, b in zip(filled.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         some = marks[a:b]
         out.append((k, chunk, tag, b - a, pack_keys(keys[a:b]), some.tobytes() if some.any() else b"", pack_ids(ids[a:b]) if ids is not None else b"", checks[a:b].astype("<u4").tobytes() if checks is not None else b""))
-    return _table(out)
+    return table_of(out)
 
 
-def _table(rows: list[tuple]) -> pa.Table:
+def table_of(rows: list[tuple]) -> pa.Table:
+    """Rows to be sent."""
     return pa.Table.from_arrays([pa.array([x[k] for x in rows], f.type) for k, f in enumerate(_FIELDS)], schema=_FIELDS)
 
 
@@ -205,7 +206,7 @@ def _returned(rows: list[dict], source: np.ndarray, take: np.ndarray, every: Rec
         mine = at[cut[k] : cut[k + 1]]
         if len(mine):
             out.append((r["range"], r["chunk"], tag, len(mine), pack_keys(every.keys[mine]), b"", pack_ids(ids[mine]), every.checks[mine].astype("<u4").tobytes() if r["checks"] else b""))
-    return _table(out)
+    return table_of(out)
 
 
 def shared(deal: Deal, sent: DataFrame, tag: int, anchored: bool = False) -> DataFrame:
@@ -253,7 +254,7 @@ def over_chunks(deal: Deal, function: Callable[[int, pa.Table, pa.Table], pa.Tab
 
     With `alone`, rows without an id follow, given to the function as they are read, with nothing received.
     """
-    nothing = _table([])
+    nothing = table_of([])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         begin()

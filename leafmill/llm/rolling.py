@@ -135,20 +135,25 @@ class Windows:
         return mix(self._at(width))
 
 
-def sketch(data: np.ndarray, width: int) -> np.ndarray:
-    """A quick hash of the bytes of each window of at least eight, for searches that a chance match does not harm."""
-    n = len(data)
+def eights(data: np.ndarray) -> np.ndarray:
+    """`_loaded`, copied so that reading it is quick."""
+    return np.ascontiguousarray(_loaded(data))
+
+
+def sketch(eight: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of the bytes of each window of at least eight, for searches that a chance match does not harm.  `eight` is from `eights`."""
+    n = len(eight)
     out = np.zeros(n, U64)
     if n < width:
         return out
-    eight, m = _loaded(data), n - width + 1
-    total = np.zeros(m, U64)
-    for k, at in enumerate([*range(0, width - 8, 8), width - 8]):
-        # Odd factors that differ by place; the product's high bits fold back before the next.
-        total ^= eight[at : at + m] * U64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)
-        total ^= total >> U64(29)
-        total *= U64(0xBF58476D1CE4E5B9)
-    out[:m] = total ^ (total >> U64(32))
+    m = n - width + 1
+    total = out[:m]
+    for at in [*range(0, width - 8, 8), width - 8]:
+        total *= U64(0x9E3779B97F4A7C15)
+        total += eight[at : at + m]
+    total ^= total >> U64(32)
+    total *= U64(0xD6E8FEB86659FD93)
+    total ^= total >> U64(29)
     return out
 
 
@@ -203,24 +208,26 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """For each element, the row that it belongs to."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
 def fits(offsets: np.ndarray, width: int) -> np.ndarray:
     """Whether a window of this width that starts at an element ends within its row."""
     n = int(offsets[-1])
-    ok = np.zeros(n + 1, np.int32)
     last = np.maximum(offsets[1:] - width + 1, offsets[:-1])
-    np.add.at(ok, offsets[:-1], 1)
-    np.add.at(ok, last, -1)
-    return np.cumsum(ok[:n]) > 0
+    return spread(n, offsets[:-1], last)
 
 
 def spread(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A mask of n elements: covered by any of the ranges [start, end)."""
-    ok = np.bincount(starts, minlength=n + 1).astype(np.int32)
-    ok -= np.bincount(ends, minlength=n + 1).astype(np.int32)
-    return np.cumsum(ok[:n]) > 0
+    if len(starts) * 8 < n:
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, ends, -1)
+    else:
+        edge = np.bincount(starts, minlength=n + 1).astype(np.int32)
+        edge -= np.bincount(ends, minlength=n + 1).astype(np.int32)
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def slide(x: np.ndarray, width: int, op) -> np.ndarray:

@@ -11,21 +11,19 @@ starts in a document with a smaller id is removed.  Windows are judged on the in
    alone; where a smaller document has it, all its windows repeat.  A passage that thousands of documents
    share is from here on looked at once.
 3. Sieve: of the entries left, a window that no other document has needs no place in the order.  Those go
-   whose least hash of `SEED` bytes no other document has, and then those whose quick hash no other has.
-   Neighbouring windows that are left form runs.  Distinct runs are kept once, with their smallest document.
-4. Dictionary: the phrases that the runs go through are sorted; a phrase's rank is its place among the distinct ones.
-5. Parse order: what follows a window's phrase is a suffix of the parse, a sequence of ranks; these are sorted and
-   ranked in turn (each as far as a window can reach).
-6. Corpus order: a window's suffix is the end of its phrase followed by a suffix of the parse.  Sorted by the first and
-   then by the rank of the second, the runs' suffixes stand in lexicographic order.  Windows that repeat are
-   neighbours with a longest common prefix of at least `width`; a group of such neighbours learns its smallest document.
-
-All three orders are sorts over ranges of the keys that Spark samples (`orderBy`, `repartitionByRange`): no order lies in one
-task.  A group of equals that a range's boundary splits is joined by comparing the last window of a range with the
-first of the next.  What is sorted is the ends of repeated text, once for all documents that share it, not the corpus.
+   whose least hash of `SEED` bytes no other document has, and then those whose quick hash no other has.  A chunk
+   of documents sends each of its distinct windows once.
+4. Splitters, sampled from all documents, cut the lexicographic order of suffixes into ranges; each window goes to its range.
+5. Dictionary: the phrases that a range's windows run through are sorted; a phrase's rank is its place among the distinct ones.
+6. Parse: what follows a window's own phrase is a suffix of the parse, a sequence of ranks; these are put in suffix-array order
+   by prefix doubling and ranked in turn (as far as the windows reach).
+7. Corpus order: a window's suffix is the end of its phrase followed by a suffix of the parse.  Sorted by the first, in the
+   order of the dictionary's suffixes, and then by the rank of the second, the suffixes stand in lexicographic order; the
+   ranges one after another are the corpus order.  Windows that repeat are neighbours with a longest common
+   prefix of at least `width`; each group of such neighbours learns its smallest document.
 
 The sieve only leaves out what cannot repeat.  Entries are compared by 64 and 32 bits of two hashes in a
-prime field at random bases of the run's own (see `rolling`), windows by their bytes.
+prime field at random bases of the run's own (see `rolling`), windows by their bytes.  Splitters only balance the ranges.
 
 Null or empty texts lose nothing.  A row without an id is compared with nothing.  Rows that share
 an id are not smaller than one another.  Other columns of the input are ignored.
@@ -34,28 +32,26 @@ an id are not smaller than one another.  Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm import exchange as X
-from leafmill.llm.graph import saved
-from leafmill.llm.memory import lean
-from leafmill.llm.rolling import Bases, Lookup, U64, buffer_of, draw, fingerprints, fits, mix, pieces, rows_of, sketch, slide, spread
+from leafmill.llm.rolling import Bases, Lookup, U64, buffer_of, draw, eights, fingerprints, fits, mix, pieces, rows_of, sketch, slide, spread
 
 TRIGGER, PHRASE, SEED = 12, 32, 32
-#: Windows in one run at most; longer ones are cut.
-LONGEST = 4096
+#: Ranges of the corpus order at most, and sampled windows for each.
+MOST_RANGES, SAMPLES = 8192, 24
 #: Seeds are least hashes, so most are small numbers: times this they lie evenly over the key space.
 SPREAD = U64(0xD1342543DE82EF95)
 OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: A chunk's distinct runs: the bytes, the phrases that begin in them after their first byte and where, the least and the largest id.
-RUNS = "chunk int, run binary, starts array<int>, phrases array<binary>, least long, largest long"
-ORDERED = "place int, n long, window binary, number long, pos int, smallest long, edge int"
+
+
+def triggers(eight: np.ndarray) -> np.ndarray:
+    """Whether a trigger stands at each byte; meaningless where none fits."""
+    return (sketch(eight, TRIGGER) >> U64(40)).astype(np.uint32) % np.uint32(PHRASE) == 0
 
 
 class _Part:
@@ -63,10 +59,13 @@ class _Part:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, width: int, bases: tuple[Bases, Bases]):
         self.data, self.offsets, self.width, self.n, self.bases = data, offsets, width, len(data), bases
+        self.eight = eights(data)
         self.row = rows_of(offsets)
-        self.inside = fits(offsets, width) & known[self.row] if self.n else np.zeros(0, bool)
+        self.inside = fits(offsets, width) if self.n else np.zeros(0, bool)
+        if not known.all():
+            self.inside &= known[self.row]
         if self.n:
-            trigger = ((sketch(data, TRIGGER) >> U64(40)) % U64(PHRASE) == 0) & fits(offsets, TRIGGER)
+            trigger = triggers(self.eight) & fits(offsets, TRIGGER)
             trigger[offsets[:-1][np.diff(offsets) > 0]] = True
         else:
             trigger = np.zeros(0, bool)
@@ -77,11 +76,14 @@ class _Part:
         self.phrase_row = row
         self.long = np.flatnonzero((self.end - self.start >= width) & known[row])
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and checks of the entries that hold a window."""
-        start, end = self.start[self.long], self.end[self.long]
-        one, two = (fingerprints(self.data, start, end, b.word) for b in self.bases)
-        return mix(one), (mix(two) >> U64(32)).astype(np.uint32)
+    def keys(self) -> np.ndarray:
+        """Keys of the entries that hold a window."""
+        return mix(fingerprints(self.data, self.start[self.long], self.end[self.long], self.bases[0].word))
+
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        """Checks of some of these."""
+        some = self.long[at]
+        return (mix(fingerprints(self.data, self.start[some], self.end[some], self.bases[1].word)) >> U64(32)).astype(np.uint32)
 
     def left(self, done: np.ndarray) -> np.ndarray:
         """Windows that start in none of these entries."""
@@ -100,23 +102,6 @@ class _Part:
         """The windows that start at `at`, one a row."""
         return np.lib.stride_tricks.sliding_window_view(self.data, self.width)[at]
 
-    def runs(self, at: np.ndarray) -> Iterator[tuple[bytes, list[int], list[bytes], int]]:
-        """The runs of windows that start at `at`: the bytes, where phrases begin in them, these phrases, and the document's row."""
-        if not len(at):
-            return
-        new = (np.diff(at) > 1) | (np.diff(self.row[at]) > 0)
-        group = np.concatenate(([0], np.cumsum(new)))
-        place = np.arange(len(at)) - np.flatnonzero(np.concatenate(([True], new)))[group]
-        head = np.flatnonzero(place % LONGEST == 0)
-        tail = np.append(head[1:], len(at)) - 1
-        ends = np.minimum(self.stop + TRIGGER, self.offsets[1:][self.phrase_row])
-        for a, b in zip(at[head].tolist(), at[tail].tolist(), strict=True):
-            stop = b + self.width
-            some = range(int(np.searchsorted(self.start, a, side="right")), int(np.searchsorted(self.start, stop)))
-            starts = [int(self.start[k]) for k in some]
-            phrases = [self.data[x : min(int(ends[k]), x + self.width)].tobytes() for k, x in zip(some, starts, strict=True)]
-            yield self.data[a:stop].tobytes(), [x - a for x in starts], phrases, int(self.row[a])
-
 
 def _parts(docs: pa.Table, width: int, bases: tuple[Bases, Bases]):
     data, offsets = buffer_of(docs["text"])
@@ -130,98 +115,100 @@ def _cat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def distinct_runs(runs: DataFrame) -> DataFrame:
-    """(number, run, starts, phrases, least, largest): each run once, for all chunks that have it."""
-    found = runs.groupBy("run").agg(F.min(F.struct("starts", "phrases")).alias("cut"), F.min("least").alias("least"), F.max("largest").alias("largest"))
-    return found.select(F.monotonically_increasing_id().alias("number"), "run", "cut.starts", "cut.phrases", "least", "largest")
-
-
-def corpus_order(strings: DataFrame, width: int) -> DataFrame:
-    """The windows of all distinct runs in the lexicographic order of their suffixes: (place, n) is the position, by ranges and within one.
-
-    (number, pos) tells run and place in it.  `smallest` is the least id of the neighbours with the same `width` bytes in the
-    range; `edge` tells groups at the range's ends (1 at its beginning, 2 at its end, 3 both), which may go on in the next.
+def splitters(docs: DataFrame, text: Column, ranges: int, width: int) -> np.ndarray:
+    """Windows that cut the lexicographic order into about so many ranges of equal size, from a sample of bounded size."""
+    ranges = min(ranges, MOST_RANGES)
+    rows = docs.where(F.octet_length(text) >= width)
+    n = rows.count()
+    share = int(min(1.0, SAMPLES * ranges / max(n, 1)) * (1 << 30))
+    at = F.pmod(F.xxhash64(text, F.lit("at")), F.octet_length(text) - width + 1).cast("int") + 1
+    found = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < share).select(F.substring(text.cast("binary"), at, width).alias("w")).collect()
+    some = np.sort(np.array([bytes(r.w) for r in found], f"S{width}"))
+    return np.unique(some[[len(some) * k // ranges for k in range(1, ranges)]]) if len(some) else some
+
+
+def _dense(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Ranks of rows whose order is given: equal rows, by all columns, have equal ranks."""
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    rank = np.zeros(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def string_ranks(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranks of byte strings in lexicographic order, a string before those that it begins."""
+    columns = []  # from the last bytes to the first
+    for shift in range(0, int(size.max(initial=0)), 8):
+        raw = np.zeros((len(start), 8), np.uint8)
+        for k in range(8):
+            has = size > shift + k
+            raw[has, k] = text[start[has] + shift + k]
+        columns.insert(0, raw.view(">u8").reshape(-1).astype(U64))
+    columns.insert(0, size)
+    return _dense(np.lexsort(columns), *columns)
+
+
+def parse_ranks(phrase: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of sequences of phrase ranks, by prefix doubling.
+
+    following[i] is the place of the next phrase of the same sequence, or -1 at its end.
     """
-    spark = strings.sparkSession
-    # The dictionary: distinct phrases in order.  The numbers grow with the range and within it.
-    phrases = strings.select(F.explode("phrases").alias("phrase")).distinct()
-    dictionary = saved(phrases.orderBy("phrase").select("phrase", F.monotonically_increasing_id().alias("rank")), "dictionary")
-    # The parse: from each phrase of a run on, the ranks as far as a window reaches; distinct, in order.
-    far = F.expr(f"slice(phrases, k + 1, size(filter(starts, x -> x < starts[k] + {width})) - k)")
-    suffixes = strings.where("size(starts) > 0").select("number", "starts", "phrases", F.explode(F.sequence(F.lit(0), F.size("starts") - 1)).alias("k")).select("number", "k", far.alias("suffix"))
-    ranks = suffixes.select("number", "k", F.posexplode("suffix").alias("at", "phrase")).join(dictionary, "phrase")
-    ranks = ranks.groupBy("number", "k").agg(F.sort_array(F.collect_list(F.struct("at", "rank"))).alias("r")).select("number", "k", F.col("r.rank").alias("ranks"))
-    ranks = saved(ranks, "parse")
-    order = saved(ranks.select("ranks").distinct().orderBy("ranks").select("ranks", F.monotonically_increasing_id().alias("rank")), "parse-order")
-    parse = ranks.join(order, "ranks").select("number", "k", "rank")
-    # The corpus: the end of a window's phrase, up to the next trigger's, then the parse from that trigger on.
-    rows = strings.select("number", "least", "starts", "run", F.explode(F.expr(f"sequence(0, length(run) - {width})")).alias("pos"))
-    rows = rows.withColumn("k", F.expr("size(filter(starts, x -> x <= pos))"))
-    rows = rows.withColumn("own", F.expr(f"coalesce(least({width}, get(starts, k) + {TRIGGER} - pos), {width})"))
-    rows = rows.select("number", "least", "pos", "own", F.expr(f"if(own < {width}, k, -1)").alias("k"), F.expr(f"substring(run, pos + 1, {width})").alias("window"))
-    rows = rows.join(parse, ["number", "k"], "left").select("number", "pos", "least", "window", "own", F.coalesce("rank", F.lit(-1)).alias("rank"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = _sorted(rows, parts).select(F.spark_partition_id().alias("place"), "window", "number", "pos", "least")
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done = None, 0  # the group that the last rows belong to may go on in the next batch
-
-        def told(table: pa.Table, edge: int) -> pa.RecordBatch:
-            nonlocal done
-            n = table.num_rows
-            window = np.frombuffer(b"".join(table["window"].to_pylist()), np.uint8).reshape(n, -1)
-            # The longest common prefix with the row before is at least `width` where all bytes agree.
-            first = np.flatnonzero(np.concatenate(([True], (window[1:] != window[:-1]).any(1))))
-            least = np.minimum.reduceat(table["least"].to_numpy(), first)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
-            edges = np.zeros(n, np.int32)
-            edges[group == 0] |= 1 if done == 0 else 0
-            edges[group == len(first) - 1] |= edge
-            out = [table["place"], pa.array(np.arange(done, done + n)), table["window"], table["number"], table["pos"], pa.array(least[group]), pa.array(edges)]
-            done += n
-            return pa.Table.from_arrays(out, names=[f.split()[0] for f in ORDERED.split(", ")]).combine_chunks().to_batches()[0]
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            if not table.num_rows:
-                continue
-            last, k = table["window"][-1].as_py(), table.num_rows
-            while k and table["window"][k - 1].as_py() == last:
-                k -= 1
-            if k:
-                yield told(table.slice(0, k), 0)
-            held = table.slice(k)
-        if held is not None:
-            yield told(held, 2)
-
-    found = saved(rows.mapInArrow(lean(neighbours), ORDERED), "corpus-order")
-    edges = found.where("edge > 0").groupBy("place", "edge").agg(F.first("window").alias("window"), F.min("smallest").alias("smallest")).collect()
-    fixed = _across([(r.place, r.edge, bytes(r.window), r.smallest) for r in edges])
-    if not fixed:
-        return found
-    fix = F.broadcast(spark.createDataFrame(fixed, "_window binary, _smallest long"))
-    found = found.join(fix, (F.col("edge") > 0) & (F.col("window") == F.col("_window")), "left")
-    return found.withColumn("smallest", F.coalesce("_smallest", "smallest")).drop("_window", "_smallest")
-
-
-def _sorted(rows: DataFrame, parts: int) -> DataFrame:
-    """Suffixes, as the end of a phrase and the rank of what follows, in their order, over ranges that Spark samples."""
-    key = F.expr("substring(window, 1, own)"), F.col("rank")
-    return rows.repartitionByRange(parts, *key).sortWithinPartitions(*key)
-
-
-def _across(edges: list[tuple[int, int, bytes, int]]) -> list[tuple[bytes, int]]:
-    """Windows whose groups go on from range to range, with their smallest id.  At most two rows a range."""
-    out: dict[bytes, int] = {}
-    last: tuple[bytes, int] | None = None
-    for _, edge, window, smallest in sorted(edges):
-        if edge & 1 and last is not None and last[0] == window:
-            smallest = min(smallest, last[1])
-            out[window] = smallest
-        if edge & 2:
-            last = (window, smallest)
-    return list(out.items())
+    rank, jump = _dense(np.argsort(phrase, kind="stable"), phrase), following
+    while (jump >= 0).any():
+        second = np.where(jump >= 0, rank[jump], -1)
+        rank, jump = _dense(np.lexsort((second, rank)), rank, second), np.where(jump >= 0, jump[jump], -1)
+    return rank
+
+
+def corpus_order(windows: np.ndarray) -> np.ndarray:
+    """The order of windows (one a row) by the end of their phrase and by the parse that follows: their suffixes' order."""
+    m, width = windows.shape
+    if not m:
+        return np.zeros(0, np.int64)
+    text = np.ascontiguousarray(windows).reshape(-1)
+    column = np.arange(m * width) % width
+    # A window's own phrase ends with the first trigger after its first byte; another phrase begins there.
+    start = np.flatnonzero(triggers(eights(text)) & (column > 0) & (column + TRIGGER < width))
+    row = start // width
+    count = np.bincount(row, minlength=m)
+    first = np.cumsum(count) - count
+    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+    stop = np.where(last, (row + 1) * width, np.minimum(np.append(start[1:], 0) + TRIGGER, (row + 1) * width))
+    phrase = string_ranks(text, start, stop - start)
+    parse = parse_ranks(phrase, np.where(last, -1, np.arange(1, len(start) + 1)))
+    has = count > 0
+    rest = np.full(m, -1, np.int64)
+    rest[has] = parse[first[has]]
+    own = np.full(m, width, np.int64)
+    own[has] = start[first[has]] % width + TRIGGER
+    end = string_ranks(text, np.arange(m) * width, own)
+    return np.lexsort((rest, end))
+
+
+def neighbours(table: pa.Table, width: int, tag: int) -> pa.Table:
+    """A range of the corpus order: to each chunk, its windows that another document has too, with the smallest that does."""
+    rows = table.to_pylist()
+    windows = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, width)
+    ids = np.concatenate([X.unpack_ids(r["ids"], r["n"]) for r in rows])
+    marks = np.concatenate([np.frombuffer(r["marks"], np.uint8) if r["marks"] else np.zeros(r["n"], np.uint8) for r in rows])
+    source = np.repeat(np.arange(len(rows)), [r["n"] for r in rows])
+    order = corpus_order(windows)
+    windows, ids, marks, source = windows[order], ids[order], marks[order], source[order]
+    # The longest common prefix with the suffix before is at least `width` where all bytes agree.
+    first = np.flatnonzero(np.concatenate(([True], (windows[1:] != windows[:-1]).any(1))))
+    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
+    take = np.flatnonzero((least < ids) | (marks & X.MANY > 0))
+    take = take[np.argsort(source[take], kind="stable")]
+    cut = np.searchsorted(source[take], np.arange(len(rows) + 1))
+    out = []
+    for k, r in enumerate(rows):
+        mine = take[cut[k] : cut[k + 1]]
+        if len(mine):
+            out.append((r["range"], r["chunk"], tag, len(mine), windows[mine].tobytes(), b"", X.pack_ids(least[mine]), b""))
+    return X.table_of(out)
 
 
 def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -233,14 +220,13 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         raise ValueError(f"windows have {max(SEED, TRIGGER + 1)} bytes at least")
     dealt = X.deal(docs, id_col, text_col, carry)
     ranges, bits, bases = dealt.ranges, dealt.bits, (draw(), draw())
-    cut = U64(64 - bits)
+    cut, cuts = U64(64 - bits), splitters(docs, F.col(text_col).cast("string"), dealt.ranges, width)
 
     def parse(chunk: int, docs: pa.Table, _) -> pa.Table:
         keys, checks, ids = [], [], []
         for _, _, some, part in _parts(docs, width, bases):
-            key, check = part.entries()
-            keys.append(key)
-            checks.append(check)
+            keys.append(part.keys())
+            checks.append(part.checks(np.arange(len(part.long))))
             ids.append(some[part.phrase_row[part.long]])
         own = X.distinct(_cat(keys, U64), _cat(ids, np.int64), None, _cat(checks, np.uint32))
         return X.send(chunk, ranges, 64, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8), own.least, own.checks)
@@ -249,8 +235,7 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     def undone(part: _Part, some: np.ndarray, index: Lookup, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries that a smaller document has, and the windows of the others."""
-        key, check = part.entries()
-        at, place = index.find(key, None, lambda at: check[at])
+        at, place = index.find(part.keys(), None, part.checks)
         done = part.long[at[least[place] < some[part.phrase_row[part.long[at]]]]]
         return done, part.left(done)
 
@@ -260,7 +245,7 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         keys, ids = [], []
         for _, _, some, part in _parts(docs, width, bases):
             _, windows = undone(part, some, index, least)
-            hashes = sketch(part.data, SEED)
+            hashes = sketch(part.eight, SEED)
             at = part.seeds(windows, hashes)
             keys.append(hashes[at] * SPREAD >> cut)
             ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
@@ -275,48 +260,48 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         keys, ids = [], []
         for _, _, some, part in _parts(docs, width, bases):
             _, windows = undone(part, some, index, least)
-            at, _ = alike.find(sketch(part.data, SEED) * SPREAD >> cut)
+            at, _ = alike.find(sketch(part.eight, SEED) * SPREAD >> cut)
             at = np.flatnonzero(spread(part.n, np.maximum(at - (width - SEED), 0), at + 1) & windows)
-            keys.append(sketch(part.data, width)[at] >> cut)
+            keys.append(sketch(part.eight, width)[at] >> cut)
             ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
         own = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
         return X.send(chunk, ranges, bits, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8))
 
     sieved = X.shared(dealt, X.over_chunks(dealt, sieve, X.SENT, entries, seeds), 4)
 
-    def candidates(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
+    def suffixes(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
         found, _, least, checks = X.received(back, 1)
         index, alike = Lookup(found, 64, checks), Lookup(X.received(back, 4).keys, bits)
-        own: dict[bytes, list] = {}
+        windows, ids = [], []
         for _, _, some, part in _parts(docs, width, bases):
-            _, windows = undone(part, some, index, least)
-            at, _ = alike.find(sketch(part.data, width) >> cut, windows)
-            for run, starts, phrases, row in part.runs(at):
-                doc = int(some[row])
-                seen = own.get(run)
-                if seen is None:
-                    own[run] = [starts, phrases, doc, doc]
-                else:
-                    seen[2], seen[3] = min(seen[2], doc), max(seen[3], doc)
-        rows = list(own.values())
-        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int64(), pa.int64()))]
-        return pa.Table.from_arrays([pa.array(np.full(len(rows), chunk, np.int32)), pa.array(list(own), pa.binary()), *columns], names=[f.split()[0] for f in RUNS.split(", ")])
-
-    runs = saved(X.over_chunks(dealt, candidates, RUNS, entries, sieved), "runs")
-    strings = saved(distinct_runs(runs), "distinct-runs")
-    ordered = corpus_order(strings, width).groupBy("number").agg(F.sort_array(F.collect_list(F.struct("pos", "smallest"))).alias("found"), F.min("smallest").alias("low"))
-    told = runs.select("chunk", "run", "largest").join(strings.select("number", "run"), "run").join(ordered, "number").where("low < largest")
-    nothing = F.lit(b"")
-    repeats = told.select(
-        F.lit(0).alias("range"), "chunk", F.lit(3).alias("tag"), F.lit(1).alias("n"), F.col("run").alias("keys"), nothing.alias("marks"),
-        F.encode(F.expr("array_join(transform(found, x -> string(x.smallest)), ',')"), "UTF-8").alias("ids"), nothing.alias("checks"),
-    )
+            _, left = undone(part, some, index, least)
+            at, _ = alike.find(sketch(part.eight, width) >> cut, left)
+            if len(at):
+                windows.append(part.bytes_at(at))
+                ids.append(some[part.row[at]])
+        if not windows:
+            return X.table_of([])
+        windows, ids = np.concatenate(windows).view(f"V{width}").reshape(-1), np.concatenate(ids)
+        own, place = np.unique(windows, return_inverse=True)
+        low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        np.minimum.at(low, place, ids)
+        np.maximum.at(high, place, ids)
+        target = np.searchsorted(cuts, own.view(f"S{width}"), side="right")
+        order = np.argsort(target, kind="stable")
+        filled, begin = np.unique(target[order], return_index=True)
+        out = []
+        for k, mine in zip(filled.tolist(), np.split(order, begin[1:]), strict=True):
+            many = (low[mine] < high[mine]).astype(np.uint8) * np.uint8(X.MANY)
+            out.append((k, chunk, 0, len(mine), own[mine].tobytes(), many.tobytes() if many.any() else b"", X.pack_ids(low[mine]), b""))
+        return X.table_of(out)
+
+    sent = X.over_chunks(dealt, suffixes, X.SENT, entries, sieved)
+    repeats = sent.repartitionById(len(cuts) + 1, F.col("range")).groupBy("range").applyInArrow(lambda table: neighbours(table, width, 3), X.SENT)
 
     def remove(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
         found, _, least, checks = X.received(back, 1)
         index = Lookup(found, 64, checks)
-        mine = back.filter(pa.compute.equal(back["tag"], 3)) if back.num_rows else back
-        known, smallest = _strings_of(mine["keys"].to_pylist(), mine["ids"].to_pylist(), width)
+        known, smallest = _strings_of(back, 3, width)
         n_bytes, n_gone, n_spans, digest, kept_text = [], [], [], [], []
         for _, _, some, part in _parts(docs, width, bases):
             done, windows = undone(part, some, index, least)
@@ -350,18 +335,15 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     return X.over_chunks(dealt, remove, shape, entries, repeats, alone=True)
 
 
-def _strings_of(runs: list[bytes], smallest: list[bytes], width: int) -> tuple[_Strings, np.ndarray]:
-    """The windows of some runs, and the smallest document of each."""
-    text = np.frombuffer(b"".join(runs), np.uint8)
-    length = np.array([len(r) for r in runs], np.int64)
-    begin = np.cumsum(length) - length
-    windows = length - width + 1
-    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(begin, windows)
-    ids = np.array(b",".join(smallest).split(b","), "S20").astype(np.int64) if runs else np.zeros(0, np.int64)
+def _strings_of(back: pa.Table, tag: int, width: int) -> tuple[_Strings, np.ndarray]:
+    """The windows that came back to a chunk, and the smallest document of each."""
+    rows = [r for r in back.to_pylist() if r["tag"] == tag]
+    windows = np.frombuffer(b"".join(r["keys"] for r in rows), np.uint8).reshape(-1, width)
+    ids = np.concatenate([np.zeros(0, np.int64), *(X.unpack_ids(r["ids"], r["n"]) for r in rows)])
     # Where a window stands is found by a sketch of it and checked on its bytes.
-    hashes = sketch(text, width)[at]
+    hashes = sketch(eights(windows.reshape(-1)), width)[::width]
     order = np.argsort(hashes, kind="stable")
-    return _Strings(hashes[order], np.lib.stride_tricks.sliding_window_view(text, width)[at[order]] if len(at) else np.zeros((0, width), np.uint8)), ids[order]
+    return _Strings(hashes[order], windows[order]), ids[order]
 
 
 class _Strings:
@@ -376,7 +358,7 @@ class _Strings:
         """Which of these windows are among the strings, and which string each is."""
         if not len(self.strings) or part.n < part.width:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, place = self.index.find(sketch(part.data, part.width), windows)
+        at, place = self.index.find(sketch(part.eight, part.width), windows)
         out_at, out_place = [], []
         while len(at):
             same = (part.bytes_at(at) == self.strings[place]).all(1)

@@ -160,68 +160,71 @@ def test_key_lists_round_trip(keys, ids):
     assert (exchange.unpack_ids(exchange.pack_ids(ids), len(ids)) == ids).all()
 
 
-def runs_of(texts: list[str], width: int = 50) -> list[tuple]:
-    """All windows of some documents as runs, as the operator's chunks send them."""
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts]))).astype(np.int64)
-    part = suffix_dedup._Part(data, offsets, np.ones(len(texts), bool), width, (rolling.draw(), rolling.draw()))
-    return [(k % 3, run, starts, phrases, row, row) for k, (run, starts, phrases, row) in enumerate(part.runs(np.flatnonzero(part.inside)))]
+def windows_of(texts: list[str], width: int = 50) -> np.ndarray:
+    every = [t.encode()[k : k + width] for t in texts for k in range(len(t.encode()) - width + 1)]
+    return np.frombuffer(b"".join(every), np.uint8).reshape(-1, width)
 
 
-def ordered_texts() -> list[str]:
+def repetitive() -> list[str]:
     passage = " ".join(H.prose(31, 60))
     return [passage, "x" + passage[:300], "ab" * 60, "ab" * 40 + "c", " ".join(H.prose(32, 80)) + passage[100:], passage[50:] + "y" * 70, "y" * 55]
 
 
-def test_corpus_order_is_the_suffix_array(spark):
-    """The order that dictionary and parse give, over several ranges, against sorting the suffixes themselves."""
-    strings = graph.saved(suffix_dedup.distinct_runs(spark.createDataFrame(runs_of(ordered_texts()), suffix_dedup.RUNS)), "test-runs")
-    found = suffix_dedup.corpus_order(strings, 50).orderBy("place", "n").collect()
-    assert len({r.place for r in found}) > 1
-    windows = [bytes(r.window) for r in found]
-    assert windows == sorted(windows)
-    whole = {r.number: bytes(r.run) for r in strings.collect()}
-    assert sorted((r.number, r.pos) for r in found) == sorted((n, k) for n, run in whole.items() for k in range(len(run) - 49))
-    assert all(whole[r.number][r.pos : r.pos + 50] == bytes(r.window) for r in found)
-    least: dict = {}
-    for k, t in enumerate(ordered_texts()):
-        for j in range(len(t.encode()) - 49):
-            w = t.encode()[j : j + 50]
-            least[w] = min(least.get(w, k), k)
-    assert all(r.smallest == least[bytes(r.window)] for r in found)
-
-
-def test_the_order_decides(spark, monkeypatch):
-    """Without the order of the dictionary and the parse equal windows are no neighbours and are not found."""
-    rows = [(k, t, "en") for k, t in enumerate(ordered_texts())]
+def test_corpus_order_is_the_suffix_array():
+    """The order that dictionary and parse give, over chunks and ranges, against sorting the suffixes themselves."""
+    windows = windows_of(repetitive())
+    rng = np.random.default_rng(5)
+    windows = windows[rng.permutation(len(windows))]
+    strings = [w.tobytes() for w in windows]
+    cuts = sorted(strings[:7])
+    got = []
+    for k in range(len(cuts) + 1):
+        mine = [w for w in strings if sum(c <= w for c in cuts) == k]
+        block = np.frombuffer(b"".join(mine), np.uint8).reshape(-1, 50)
+        got += [mine[x] for x in suffix_dedup.corpus_order(block)]
+    assert got == sorted(strings)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab", min_size=60, max_size=250), st.integers(1, 8))
+def test_order_with_many_phrases(text, modulus):
+    """Texts of two letters; with a small modulus nearly every byte begins a phrase."""
+    before = suffix_dedup.PHRASE
+    try:
+        suffix_dedup.PHRASE = modulus
+        windows = windows_of([text])
+        strings = [w.tobytes() for w in windows]
+        assert [strings[k] for k in suffix_dedup.corpus_order(windows)] == sorted(strings)
+    finally:
+        suffix_dedup.PHRASE = before
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=6), min_size=1, max_size=8))
+def test_parse_ranks(sequences):
+    phrase = np.array([x for s in sequences for x in s])
+    following = np.array([at + 1 if k < len(s) - 1 else -1 for at, (s, k) in enumerate((s, k) for s in sequences for k in range(len(s)))])
+    suffixes = [s[k:] for s in sequences for k in range(len(s))]
+    ranks = suffix_dedup.parse_ranks(phrase, following).tolist()
+    assert ranks == [sorted({tuple(x) for x in suffixes}).index(tuple(x)) for x in suffixes]
+
+
+@pytest.mark.parametrize("broken", ["corpus_order", "parse_ranks", "string_ranks"])
+def test_the_order_decides(spark, monkeypatch, broken):
+    """Without the corpus order, or the order of the parse or of the dictionary, equal windows are no neighbours and are not found."""
+    passage = " ".join(H.prose(33, 400))
+    rows = [(k, f"{' '.join(H.prose(400 + k, 5))} {passage[7 * k : 1500 + 13 * k]} {' '.join(H.prose(500 + k, 5))}", "en") for k in range(12)]
     want = H.byte_repeats(rows)
     assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) == want
-    monkeypatch.setattr(suffix_dedup, "_sorted", lambda rows, parts: rows.repartition(1).sortWithinPartitions(F.xxhash64("number", "pos")))
+    wrong = {
+        "corpus_order": lambda windows: np.argsort(rolling.mix(np.arange(len(windows), dtype=np.uint64))),
+        "parse_ranks": lambda phrase, following: rolling.mix(np.arange(len(phrase), dtype=np.uint64)).astype(np.int64),
+        "string_ranks": lambda text, start, size: rolling.mix(np.arange(len(start), dtype=np.uint64)).astype(np.int64),
+    }
+    monkeypatch.setattr(suffix_dedup, broken, wrong[broken])
     assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) != want
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=30), st.integers(1, 4))
-def test_groups_go_on_across_ranges(values, parts):
-    """Sorted windows cut into ranges anywhere: the edges' groups together have the smallest id of all."""
-    rows = sorted((v, k) for k, v in enumerate(values))
-    cut = [rows[len(rows) * k // parts : len(rows) * (k + 1) // parts] for k in range(parts)]
-    edges, local = [], {}
-    for place, some in enumerate(cut):
-        for v in {v for v, _ in some}:
-            local[place, v] = min(k for w, k in some if w == v)
-            edge = (v == some[0][0]) + 2 * (v == some[-1][0])
-            if edge:
-                edges.append((place, edge, bytes([v]), local[place, v]))
-    fixed = {}
-    for window, smallest in suffix_dedup._across(edges):
-        fixed[window] = smallest
-    for v in set(values):
-        ranges = [p for p, w in local if w == v]
-        got = {fixed.get(bytes([v]), local[p, v]) for p in ranges}
-        assert got == {values.index(v)}
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_signature(n, more, less, seed):
