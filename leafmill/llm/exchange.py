@@ -223,9 +223,9 @@ def shared(deal: Deal, sent: DataFrame, tag: int, anchored: bool = False) -> Dat
         good = (count > 1) | (bits & MANY > 0)
         if anchored:
             good &= bits & ANCHOR > 0
-        return _tidy(_returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag))
+        return _returned(rows, source, np.repeat(good, count), every, np.repeat(often, count), tag)
 
-    return _over_ranges(deal, sent, merge)
+    return over_ranges(deal.ranges, sent, merge)
 
 
 def smallest(deal: Deal, sent: DataFrame, tag: int) -> DataFrame:
@@ -235,13 +235,41 @@ def smallest(deal: Deal, sent: DataFrame, tag: int) -> DataFrame:
         rows, source, first, every = _merged(table)
         count = np.diff(np.concatenate((first, [len(every.keys)])))
         least = np.repeat(np.minimum.reduceat(every.ids, first), count)
-        return _tidy(_returned(rows, source, (least < every.ids) | (every.marks & MANY > 0), every, least, tag))
+        return _returned(rows, source, (least < every.ids) | (every.marks & MANY > 0), every, least, tag)
 
-    return _over_ranges(deal, sent, merge)
+    return over_ranges(deal.ranges, sent, merge)
 
 
-def _over_ranges(deal: Deal, sent: DataFrame, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    return sent.repartitionById(deal.ranges, F.col("range")).groupBy("range").applyInArrow(merge, SENT)
+#: Rows with this tag go back to their chunk as they are: what one pass over it tells the next.
+NOTE = 100
+
+
+def note(chunk: int, ranges: int, *arrays: np.ndarray) -> list[tuple]:
+    """A row that returns to its chunk with some increasing lists of numbers."""
+    body = b"".join(len(p).to_bytes(8, "little") + len(x).to_bytes(8, "little") + p for x in arrays for p in [pack_keys(x.astype(U64))])
+    return [(chunk % ranges, chunk, NOTE, 1, body, b"", b"", b"")]
+
+
+def noted(table: pa.Table) -> list[np.ndarray]:
+    """The lists of the note that came back."""
+    rows = table.filter(pa.compute.equal(table["tag"], NOTE))["keys"].to_pylist() if table.num_rows else []
+    out, at = [], 0
+    while rows and at < len(rows[0]):
+        size, n = (int.from_bytes(rows[0][at + k : at + k + 8], "little") for k in (0, 8))
+        out.append(unpack_keys(rows[0][at + 16 : at + 16 + size], n).astype(np.int64))
+        at += 16 + size
+    return out
+
+
+def over_ranges(ranges: int, sent: DataFrame, merge: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """merge(rows of a range) for each range, and the notes as they are."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = pa.compute.equal(table["tag"], NOTE)
+        notes, rest = table.filter(own), table.filter(pa.compute.invert(own))
+        return _tidy(pa.concat_tables([merge(rest), notes]) if rest.num_rows else notes)
+
+    return sent.repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(run, SENT)
 
 
 def _tidy(table: pa.Table) -> pa.Table:
@@ -249,16 +277,19 @@ def _tidy(table: pa.Table) -> pa.Table:
     return table
 
 
-def over_chunks(deal: Deal, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame, alone: bool = False) -> DataFrame:
+def over_chunks(deal: Deal, function: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str | T.StructType, *back: DataFrame, alone: bool = False, notes: bool = False) -> DataFrame:
     """function(chunk, documents, rows received) for each chunk of documents; the documents are shuffled once for all calls on them.
 
     With `alone`, rows without an id follow, given to the function as they are read, with nothing received.
+    With `notes`, documents come in the order of id and text in all calls.
     """
     nothing = table_of([])
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         begin()
-        return _tidy(function(key[0].as_py(), left, right))
+        # Rows arrive in any order; notes name places in this one.  Rows that tie are equal.
+        order = pa.compute.sort_indices(left, sort_keys=[("id", "ascending"), ("text", "ascending")]) if notes else None
+        return _tidy(function(key[0].as_py(), left.take(order) if notes else left, right))
 
     if back:
         right = back[0]

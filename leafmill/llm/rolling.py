@@ -157,6 +157,19 @@ def sketch(eight: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def sketch_at(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """`sketch` of the windows at some places only."""
+    eight = _loaded(data)
+    total = np.zeros(len(at), U64)
+    for k in [*range(0, width - 8, 8), width - 8]:
+        total *= U64(0x9E3779B97F4A7C15)
+        total += eight[at + k]
+    total ^= total >> U64(32)
+    total *= U64(0xD6E8FEB86659FD93)
+    total ^= total >> U64(29)
+    return total
+
+
 def buffer_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -11,8 +11,10 @@ starts in a document with a smaller id is removed.  Windows are judged on the in
    alone; where a smaller document has it, all its windows repeat.  A passage that thousands of documents
    share is from here on looked at once.
 3. Sieve: of the entries left, a window that no other document has needs no place in the order.  Those go
-   whose least hash of `SEED` bytes no other document has, and then those whose quick hash no other has.  A chunk
-   of documents sends each of its distinct windows once.
+   whose least hash of `SEED` bytes no other document has, and then those whose quick hash no other has.
+   What is left are runs of windows at the ends of repeated passages and around edits.  These are parsed
+   again, into phrases of about `FINE` bytes, and their entries treated as in step 2: a dictionary's own repeats.
+   A chunk of documents sends each of its distinct windows that remain once.
 4. Splitters, sampled from all documents, cut the lexicographic order of suffixes into ranges; each window goes to its range.
 5. Dictionary: the phrases that a range's windows run through are sorted; a phrase's rank is its place among the distinct ones.
 6. Parse: what follows a window's own phrase is a suffix of the parse, a sequence of ranks; these are put in suffix-array order
@@ -39,9 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm import exchange as X
-from leafmill.llm.rolling import Bases, Lookup, U64, buffer_of, draw, eights, fingerprints, fits, mix, pieces, rows_of, sketch, slide, spread
+from leafmill.llm.rolling import Bases, Lookup, U64, buffer_of, draw, eights, fingerprints, fits, mix, pieces, rows_of, sketch, sketch_at, slide, spread
 
-TRIGGER, PHRASE, SEED = 12, 32, 32
+TRIGGER, PHRASE, FINE, SEED = 12, 32, 4, 32
 #: Ranges of the corpus order at most, and sampled windows for each.
 MOST_RANGES, SAMPLES = 8192, 24
 #: Seeds are least hashes, so most are small numbers: times this they lie evenly over the key space.
@@ -55,39 +57,19 @@ def triggers(eight: np.ndarray) -> np.ndarray:
 
 
 class _Part:
-    """Some neighbouring documents of a chunk as bytes, with their phrases."""
+    """Some neighbouring documents of a chunk as bytes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, width: int, bases: tuple[Bases, Bases]):
-        self.data, self.offsets, self.width, self.n, self.bases = data, offsets, width, len(data), bases
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray, width: int):
+        self.data, self.offsets, self.width, self.n = data, offsets, width, len(data)
         self.eight = eights(data)
         self.row = rows_of(offsets)
         self.inside = fits(offsets, width) if self.n else np.zeros(0, bool)
         if not known.all():
             self.inside &= known[self.row]
-        if self.n:
-            trigger = triggers(self.eight) & fits(offsets, TRIGGER)
-            trigger[offsets[:-1][np.diff(offsets) > 0]] = True
-        else:
-            trigger = np.zeros(0, bool)
-        self.start = np.flatnonzero(trigger)
-        row = self.row[self.start]
-        self.stop = np.append(self.start[1:], self.n)
-        self.end = np.minimum(self.stop + width - 1, offsets[1:][row])
-        self.phrase_row = row
-        self.long = np.flatnonzero((self.end - self.start >= width) & known[row])
-
-    def keys(self) -> np.ndarray:
-        """Keys of the entries that hold a window."""
-        return mix(fingerprints(self.data, self.start[self.long], self.end[self.long], self.bases[0].word))
-
-    def checks(self, at: np.ndarray) -> np.ndarray:
-        """Checks of some of these."""
-        some = self.long[at]
-        return (mix(fingerprints(self.data, self.start[some], self.end[some], self.bases[1].word)) >> U64(32)).astype(np.uint32)
-
-    def left(self, done: np.ndarray) -> np.ndarray:
-        """Windows that start in none of these entries."""
-        return self.inside & ~spread(self.n, self.start[done], self.stop[done])
+
+    def without(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Windows that start outside these ranges."""
+        return self.inside & ~spread(self.n, begin, end)
 
     def seeds(self, windows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Where the least hash of `SEED` bytes of some of these windows stands."""
@@ -98,23 +80,89 @@ class _Part:
         over = slide(least[::-1].copy(), span, np.maximum)[::-1]
         return np.flatnonzero(over == small)
 
+
+class _Phrases:
+    """The phrases of a part whose entries hold a window."""
+
+    def __init__(self, part: _Part, known: np.ndarray, bases: tuple[Bases, Bases]):
+        self.data, self.bases = part.data, bases
+        trigger = np.zeros(0, bool)
+        if part.n:
+            trigger = triggers(part.eight) & fits(part.offsets, TRIGGER)
+            trigger[part.offsets[:-1][np.diff(part.offsets) > 0]] = True
+        start = np.flatnonzero(trigger)
+        self.row = part.row[start]
+        self.start, self.stop = start, np.append(start[1:], part.n)
+        self.end = np.minimum(self.stop + part.width - 1, part.offsets[1:][self.row])
+        some = np.flatnonzero((self.end - self.start >= part.width) & known[self.row])
+        self.row, self.start, self.stop, self.end = self.row[some], self.start[some], self.stop[some], self.end[some]
+
+
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, bases: tuple[Bases, Bases]) -> np.ndarray:
+    """Keys of byte strings."""
+    return mix(fingerprints(data, start, end, bases[0].word))
+
+
+def _checks(data: np.ndarray, start: np.ndarray, end: np.ndarray, bases: tuple[Bases, Bases]):
+    """Checks of some of these."""
+    return lambda at: (mix(fingerprints(data, start[at], end[at], bases[1].word)) >> U64(32)).astype(np.uint32)
+
+
+class _Chunk:
+    """A chunk's documents in one buffer, and some of its places."""
+
+    def __init__(self, docs: pa.Table, width: int):
+        self.data, self.offsets = buffer_of(docs["text"])
+        self.known = docs["id"].is_valid().to_numpy()
+        self.ids = docs["id"].fill_null(0).to_numpy()
+        self.width = width
+
+    def parts(self):
+        """(first row, last row, ids, where it begins, part) of neighbouring documents."""
+        o = self.offsets
+        for a, b in pieces(o):
+            yield a, b, self.ids[a:b], int(o[a]), _Part(self.data[o[a] : o[b]], o[a : b + 1] - o[a], self.known[a:b], self.width)
+
+    def row(self, at: np.ndarray) -> np.ndarray:
+        """The rows that these places are in."""
+        return np.searchsorted(self.offsets, at, side="right") - 1
+
+    def united(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges within documents in the order of their beginnings, those of a document that touch or overlap as one."""
+        if not len(begin):
+            return begin, end
+        order = np.argsort(begin, kind="stable")
+        begin, reach = begin[order], np.maximum.accumulate(end[order])
+        new = np.concatenate(([True], (begin[1:] > reach[:-1]) | (np.diff(self.row(begin)) > 0)))
+        return begin[new], reach[np.append(np.flatnonzero(new)[1:], len(begin)) - 1]
+
     def bytes_at(self, at: np.ndarray) -> np.ndarray:
         """The windows that start at `at`, one a row."""
+        if not len(at):
+            return np.zeros((0, self.width), np.uint8)
         return np.lib.stride_tricks.sliding_window_view(self.data, self.width)[at]
 
-
-def _parts(docs: pa.Table, width: int, bases: tuple[Bases, Bases]):
-    data, offsets = buffer_of(docs["text"])
-    known = docs["id"].is_valid().to_numpy()
-    ids = docs["id"].fill_null(0).to_numpy()
-    for a, b in pieces(offsets):
-        yield a, b, ids[a:b], _Part(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], known[a:b], width, bases)
+    def fine(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows at `at` in entries of finer phrases: for each entry its first place among these, and where its bytes begin and end."""
+        if not len(at):
+            return (np.zeros(0, np.int64),) * 3
+        cut = (sketch_at(self.data, at, TRIGGER) >> U64(40)) % U64(FINE) == 0
+        cut[0] = True
+        cut[1:] |= (np.diff(at) > 1) | (np.diff(self.row(at)) > 0)
+        first = np.flatnonzero(cut)
+        return first, at[first], at[np.append(first[1:], len(at)) - 1] + self.width
 
 
 def _cat(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def _sent(chunk: int, ranges: int, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """Distinct keys with their smallest id; MANY where ids differ."""
+    own = X.distinct(keys, ids, None, checks)
+    return X.send(chunk, ranges, 64, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8), own.least, own.checks)
+
+
 def splitters(docs: DataFrame, text: Column, ranges: int, width: int) -> np.ndarray:
     """Windows that cut the lexicographic order into about so many ranges of equal size, from a sample of bounded size."""
     ranges = min(ranges, MOST_RANGES)
@@ -224,90 +272,109 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
 
     def parse(chunk: int, docs: pa.Table, _) -> pa.Table:
         keys, checks, ids = [], [], []
-        for _, _, some, part in _parts(docs, width, bases):
-            keys.append(part.keys())
-            checks.append(part.checks(np.arange(len(part.long))))
-            ids.append(some[part.phrase_row[part.long]])
-        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64), None, _cat(checks, np.uint32))
-        return X.send(chunk, ranges, 64, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8), own.least, own.checks)
+        own = _Chunk(docs, width)
+        for a, b, some, _, part in own.parts():
+            p = _Phrases(part, own.known[a:b], bases)
+            keys.append(_keys(part.data, p.start, p.end, bases))
+            checks.append(_checks(part.data, p.start, p.end, bases)(slice(None)))
+            ids.append(some[p.row])
+        return _sent(chunk, ranges, _cat(keys, U64), _cat(checks, np.uint32), _cat(ids, np.int64))
 
     entries = X.smallest(dealt, X.over_chunks(dealt, parse, X.SENT), 1)
 
-    def undone(part: _Part, some: np.ndarray, index: Lookup, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries that a smaller document has, and the windows of the others."""
-        at, place = index.find(part.keys(), None, part.checks)
-        done = part.long[at[least[place] < some[part.phrase_row[part.long[at]]]]]
-        return done, part.left(done)
-
     def seed(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
         found, _, least, checks = X.received(back, 1)
         index = Lookup(found, 64, checks)
-        keys, ids = [], []
-        for _, _, some, part in _parts(docs, width, bases):
-            _, windows = undone(part, some, index, least)
+        keys, ids, begin, end = [], [], [], []
+        own = _Chunk(docs, width)
+        for a, b, some, base, part in own.parts():
+            p = _Phrases(part, own.known[a:b], bases)
+            at, place = index.find(_keys(part.data, p.start, p.end, bases), None, _checks(part.data, p.start, p.end, bases))
+            done = at[least[place] < some[p.row[at]]]
+            begin.append(base + p.start[done])
+            end.append(base + p.stop[done])
             hashes = sketch(part.eight, SEED)
-            at = part.seeds(windows, hashes)
+            at = part.seeds(part.without(p.start[done], p.stop[done]), hashes)
             keys.append(hashes[at] * SPREAD >> cut)
-            ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
-        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
-        return X.send(chunk, ranges, bits, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8))
+            ids.append(a + part.row[at].astype(np.int64))
+        rows = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
+        sent = X.send(chunk, ranges, bits, rows.keys, np.where(rows.least < rows.largest, X.MANY, 0).astype(np.uint8))
+        return pa.concat_tables([sent, X.table_of(X.note(chunk, ranges, *own.united(_cat(begin, np.int64), _cat(end, np.int64))))])
 
-    seeds = X.shared(dealt, X.over_chunks(dealt, seed, X.SENT, entries), 2)
+    seeds = X.shared(dealt, X.over_chunks(dealt, seed, X.SENT, entries, notes=True), 2)
 
     def sieve(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least, checks = X.received(back, 1)
-        index, alike = Lookup(found, 64, checks), Lookup(X.received(back, 2).keys, bits)
-        keys, ids = [], []
-        for _, _, some, part in _parts(docs, width, bases):
-            _, windows = undone(part, some, index, least)
+        alike, (begin, end) = Lookup(X.received(back, 2).keys, bits), X.noted(back)
+        keys, places = [], []
+        own = _Chunk(docs, width)
+        for _, _, _, base, part in own.parts():
             at, _ = alike.find(sketch(part.eight, SEED) * SPREAD >> cut)
-            at = np.flatnonzero(spread(part.n, np.maximum(at - (width - SEED), 0), at + 1) & windows)
-            keys.append(sketch(part.eight, width)[at] >> cut)
-            ids.append(part.row[at].astype(np.int64) + (len(ids) << 32))
-        own = X.distinct(_cat(keys, U64), _cat(ids, np.int64))
-        return X.send(chunk, ranges, bits, own.keys, np.where(own.least < own.largest, X.MANY, 0).astype(np.uint8))
-
-    sieved = X.shared(dealt, X.over_chunks(dealt, sieve, X.SENT, entries, seeds), 4)
+            if len(at):
+                low, high = np.searchsorted(end, base, side="right"), np.searchsorted(begin, base + part.n)
+                left = part.without(np.maximum(begin[low:high] - base, 0), np.minimum(end[low:high] - base, part.n))
+                at = np.flatnonzero(spread(part.n, np.maximum(at - (width - SEED), 0), at + 1) & left)
+                keys.append(sketch_at(part.data, at, width) >> cut)
+                places.append(base + at)
+        places = _cat(places, np.int64)
+        rows = X.distinct(_cat(keys, U64), own.row(places))
+        sent = X.send(chunk, ranges, bits, rows.keys, np.where(rows.least < rows.largest, X.MANY, 0).astype(np.uint8))
+        return pa.concat_tables([sent, X.table_of(X.note(chunk, ranges, begin, end, places))])
+
+    sieved = X.shared(dealt, X.over_chunks(dealt, sieve, X.SENT, seeds, notes=True), 4)
+
+    def again(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
+        alike, (begin, end, places), own = Lookup(X.received(back, 4).keys, bits), X.noted(back), _Chunk(docs, width)
+        at, _ = alike.find(sketch_at(own.data, places, width) >> cut)
+        places = places[at]
+        first, start, stop = own.fine(places)
+        sent = _sent(chunk, ranges, _keys(own.data, start, stop, bases), _checks(own.data, start, stop, bases)(slice(None)), own.ids[own.row(start)])
+        return pa.concat_tables([sent, X.table_of(X.note(chunk, ranges, begin, end, places))])
+
+    fine = X.smallest(dealt, X.over_chunks(dealt, again, X.SENT, sieved, notes=True), 5)
 
     def suffixes(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least, checks = X.received(back, 1)
-        index, alike = Lookup(found, 64, checks), Lookup(X.received(back, 4).keys, bits)
-        windows, ids = [], []
-        for _, _, some, part in _parts(docs, width, bases):
-            _, left = undone(part, some, index, least)
-            at, _ = alike.find(sketch(part.eight, width) >> cut, left)
-            if len(at):
-                windows.append(part.bytes_at(at))
-                ids.append(some[part.row[at]])
-        if not windows:
-            return X.table_of([])
-        windows, ids = np.concatenate(windows).view(f"V{width}").reshape(-1), np.concatenate(ids)
-        own, place = np.unique(windows, return_inverse=True)
-        low, high = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min)
+        found, _, least, checks = X.received(back, 5)
+        (begin, end, places), own = X.noted(back), _Chunk(docs, width)
+        first, start, stop = own.fine(places)
+        at, place = Lookup(found, 64, checks).find(_keys(own.data, start, stop, bases), None, _checks(own.data, start, stop, bases))
+        at = at[least[place] < own.ids[own.row(start[at])]]
+        done = np.zeros(len(first), bool)
+        done[at] = True
+        left = places[~np.repeat(done, np.diff(np.append(first, len(places))))]
+        # A range is wholly of windows that start in it: the bytes that these cover reach width - 1 further.
+        begin, end = np.concatenate((begin, start[at])), np.concatenate((end, stop[at] - width + 1))
+        notes = X.note(chunk, ranges, *own.united(begin, end), left)
+        windows, ids = own.bytes_at(left).view(f"V{width}").reshape(-1), own.ids[own.row(left)]
+        windows, place = np.unique(windows, return_inverse=True)
+        low, high = np.full(len(windows), np.iinfo(np.int64).max), np.full(len(windows), np.iinfo(np.int64).min)
         np.minimum.at(low, place, ids)
         np.maximum.at(high, place, ids)
-        target = np.searchsorted(cuts, own.view(f"S{width}"), side="right")
+        target = np.searchsorted(cuts, windows.view(f"S{width}"), side="right")
         order = np.argsort(target, kind="stable")
-        filled, begin = np.unique(target[order], return_index=True)
+        filled, at = np.unique(target[order], return_index=True)
         out = []
-        for k, mine in zip(filled.tolist(), np.split(order, begin[1:]), strict=True):
+        for k, mine in zip(filled.tolist(), np.split(order, at[1:]), strict=True) if len(filled) else ():
             many = (low[mine] < high[mine]).astype(np.uint8) * np.uint8(X.MANY)
-            out.append((k, chunk, 0, len(mine), own[mine].tobytes(), many.tobytes() if many.any() else b"", X.pack_ids(low[mine]), b""))
-        return X.table_of(out)
+            out.append((k, chunk, 0, len(mine), windows[mine].tobytes(), many.tobytes() if many.any() else b"", X.pack_ids(low[mine]), b""))
+        return X.table_of(out + [(chunk % (len(cuts) + 1), *notes[0][1:])])
 
-    sent = X.over_chunks(dealt, suffixes, X.SENT, entries, sieved)
-    repeats = sent.repartitionById(len(cuts) + 1, F.col("range")).groupBy("range").applyInArrow(lambda table: neighbours(table, width, 3), X.SENT)
+    sent = X.over_chunks(dealt, suffixes, X.SENT, fine, notes=True)
+    repeats = X.over_ranges(len(cuts) + 1, sent, lambda table: neighbours(table, width, 3))
 
     def remove(chunk: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-        found, _, least, checks = X.received(back, 1)
-        index = Lookup(found, 64, checks)
+        own, empty = _Chunk(docs, width), np.zeros(0, np.int64)
+        begin, end, places = X.noted(back) or (empty,) * 3
         known, smallest = _strings_of(back, 3, width)
+        at, place = known.find(own, places)
+        places = places[at[smallest[place] < own.ids[own.row(places[at])]]]
+        begin, end = np.concatenate((begin, places)), np.concatenate((end, places + 1))
+        # Each byte that a window covers which starts in these ranges, within the document.
+        end = np.minimum(end + width - 1, own.offsets[own.row(begin) + 1])
+        begin, end = own.united(begin, end)
         n_bytes, n_gone, n_spans, digest, kept_text = [], [], [], [], []
-        for _, _, some, part in _parts(docs, width, bases):
-            done, windows = undone(part, some, index, least)
-            at, place = known.find(part, windows)
-            at = at[smallest[place] < some[part.row[at]]]
-            gone = spread(part.n, np.concatenate((part.start[done], at)), np.concatenate((part.end[done], at + width)))
+        for _, _, _, base, part in own.parts():
+            low, high = np.searchsorted(end, base, side="right"), np.searchsorted(begin, base + part.n)
+            gone = spread(part.n, np.maximum(begin[low:high] - base, 0), np.minimum(end[low:high] - base, part.n))
             o = part.offsets
             length = np.diff(o)
             total = np.concatenate(([0], np.cumsum(gone)))
@@ -332,7 +399,7 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         return pa.table(out | ({"kept": pa.array(kept_text, pa.string()), "rest": docs["rest"]} if carry else {}))
 
     shape = T.StructType.fromDDL(f"{OUT}, kept string").add("rest", dealt.rows.schema["rest"].dataType) if carry else OUT
-    return X.over_chunks(dealt, remove, shape, entries, repeats, alone=True)
+    return X.over_chunks(dealt, remove, shape, repeats, alone=True, notes=True)
 
 
 def _strings_of(back: pa.Table, tag: int, width: int) -> tuple[_Strings, np.ndarray]:
@@ -354,14 +421,12 @@ class _Strings:
         self.index = Lookup(hashes, 64)
         self.hashes = hashes
 
-    def find(self, part: _Part, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of these windows are among the strings, and which string each is."""
-        if not len(self.strings) or part.n < part.width:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, place = self.index.find(sketch(part.eight, part.width), windows)
+    def find(self, chunk: _Chunk, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows at these places are among the strings, and which string each is."""
         out_at, out_place = [], []
+        at, place = self.index.find(sketch_at(chunk.data, places, chunk.width)) if len(places) else (places, places)
         while len(at):
-            same = (part.bytes_at(at) == self.strings[place]).all(1)
+            same = (chunk.bytes_at(places[at]) == self.strings[place]).all(1)
             out_at.append(at[same])
             out_place.append(place[same])
             # Other strings with the same sketch stand next to one another.

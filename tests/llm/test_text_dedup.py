@@ -85,13 +85,19 @@ def test_texts_made_to_collide(spark):
     assert sorted(tuple(r) for r in suffix_dedup.find_repeats(df).collect()) == H.byte_repeats(rows)
 
 
-def test_results_do_not_hang_on_chance_matches(spark, rows, monkeypatch):
-    """With keys of hardly any bits the checks still tell windows and entries apart."""
-    short = rolling.mix
-    for module in (suffix_dedup, jaccard_join):
-        monkeypatch.setattr(module, "mix", lambda x: short(x) & np.uint64(0xFFF0000000000000))
-    some = rows[:80]
-    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, some)).collect()) == H.byte_repeats(some)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 2), st.integers(0, 9)), max_size=40), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3)), max_size=20))
+def test_checks_tell_equal_keys_apart(rows, asked):
+    top = lambda x: np.array(x, np.uint64) << np.uint64(60)
+    own = exchange.distinct(top([r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), None, np.array([r[1] for r in rows], np.uint32))
+    want: dict = {}
+    for key, check, i in rows:
+        want.setdefault((key, check), []).append(i)
+    assert list(zip((own.keys >> np.uint64(60)).tolist(), own.checks.tolist())) == sorted(want)
+    assert [(a, b, n) for a, b, n in zip(own.least.tolist(), own.largest.tolist(), own.count.tolist())] == [(min(v), max(v), len(v)) for _, v in sorted(want.items())]
+    checks = np.array([a[1] for a in asked], np.uint32)
+    at, place = rolling.Lookup(own.keys, 64, own.checks).find(top([a[0] for a in asked]), None, lambda at: checks[at])
+    assert {k: sorted(want)[p] for k, p in zip(at.tolist(), place.tolist())} == {k: a for k, a in enumerate(asked) if a in want}
 
 
 def test_small_chunks_and_rows_without_id(spark, rows, monkeypatch):
@@ -209,20 +215,48 @@ def test_parse_ranks(sequences):
     assert ranks == [sorted({tuple(x) for x in suffixes}).index(tuple(x)) for x in suffixes]
 
 
-@pytest.mark.parametrize("broken", ["corpus_order", "parse_ranks", "string_ranks"])
-def test_the_order_decides(spark, monkeypatch, broken):
+def sent_windows(texts: list[str]) -> list[tuple]:
+    """What three chunks send to one range: (chunk, windows, ids), each window once a chunk."""
+    out = []
+    for chunk in range(3):
+        own: dict = {}
+        for k, t in enumerate(texts):
+            if k % 3 == chunk:
+                for w in (t.encode()[j : j + 50] for j in range(len(t.encode()) - 49)):
+                    low, high = own.get(w, (k, k))
+                    own[w] = (min(low, k), max(high, k))
+        out.append((chunk, own))
+    return out
+
+
+def neighbours_of(sent: list[tuple]) -> dict:
+    rows = [(0, c, 0, len(own), b"".join(own), bytes(exchange.MANY * (a < b) for a, b in own.values()), exchange.pack_ids(np.array([a for a, _ in own.values()])), b"") for c, own in sent]
+    found = {}
+    for r in suffix_dedup.neighbours(exchange.table_of(rows), 50, 3).to_pylist():
+        for k, i in enumerate(exchange.unpack_ids(r["ids"], r["n"]).tolist()):
+            found[r["chunk"], r["keys"][50 * k : 50 * k + 50]] = i
+    return found
+
+
+@pytest.mark.parametrize("broken", [None, "corpus_order", "parse_ranks", "string_ranks"])
+def test_the_order_decides(monkeypatch, broken):
     """Without the corpus order, or the order of the parse or of the dictionary, equal windows are no neighbours and are not found."""
-    passage = " ".join(H.prose(33, 400))
-    rows = [(k, f"{' '.join(H.prose(400 + k, 5))} {passage[7 * k : 1500 + 13 * k]} {' '.join(H.prose(500 + k, 5))}", "en") for k in range(12)]
-    want = H.byte_repeats(rows)
-    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) == want
+    sent = sent_windows(repetitive() * 2)
+    least: dict = {}
+    for _, own in sent:
+        for w, (low, _) in own.items():
+            least[w] = min(least.get(w, low), low)
+    want = {(c, w): least[w] for c, own in sent for w, (low, high) in own.items() if least[w] < high}
+    if broken is None:
+        assert neighbours_of(sent) == want and len(want) > 500
+        return
     wrong = {
         "corpus_order": lambda windows: np.argsort(rolling.mix(np.arange(len(windows), dtype=np.uint64))),
         "parse_ranks": lambda phrase, following: rolling.mix(np.arange(len(phrase), dtype=np.uint64)).astype(np.int64),
         "string_ranks": lambda text, start, size: rolling.mix(np.arange(len(start), dtype=np.uint64)).astype(np.int64),
     }
     monkeypatch.setattr(suffix_dedup, broken, wrong[broken])
-    assert sorted(tuple(r) for r in suffix_dedup.find_repeats(frame(spark, rows)).collect()) != want
+    assert neighbours_of(sent) != want
 
 
 @settings(max_examples=60, deadline=None)
