@@ -17,7 +17,8 @@ with nothing.  Two documents link when 100 * |intersection| >= percent * |union|
    link is lost, and the pairs inside a large group of near copies are never written out.  Of those
    pairs only the ones leave the join that may link by their parity sketches: each feature that
    just one set has turns one of `SKETCH` bits, so the sketches differ in no more bits than the sets
-   in features, and a pair whose sketches differ too much cannot link.
+   in features, and a pair whose sketches differ too much cannot link.  A signature of many sets is cut into
+   blocks, a centre's partners into buckets: see `close_pairs` and `verified`.
 
 Hashes are taken in a prime field at random bases of the run's own (see `rolling`).  Those of shingles have
 52 bits: two sets of a and b shingles seem to share one more than they do with a chance of ab / 2**52.  Those
@@ -44,6 +45,8 @@ _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[65:91] += 32
 #: Bits of the parity sketch of a set.
 SKETCH = 1024
+#: Bytes of the sets in a bucket of a centre's partners; sets of a signature that are joined directly, and in a block of a larger one.
+BUCKET, SMALL = 8 << 20, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int, bases: Bases) -> tuple[np.ndarray, np.ndarray]:
@@ -239,22 +242,69 @@ def candidates(docs: DataFrame, shingle: int, percent: int, id_col: str, text_co
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough.  The side with many pairs, b, is joined while rows are small."""
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a").select("a", "b", "left", "right")
-
-    def compare(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["left"], batch["right"], strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int(np.count_nonzero(y[at] == x))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(good)), batch["b"].filter(pa.array(good))], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
+    """Those pairs (a, b) whose sets are similar enough.
+
+    The partners of one b are dealt to buckets by the size of their sets; a bucket gets its partners' sets and that of b
+    once, so that a centre with a third of all sets is many buckets, and its own set travels once for each.
+    """
+    sizes = sets.select(F.col("id").alias("a"), F.expr("length(elements)").alias("bytes"))
+    buckets = saved(pairs.join(sizes, "a").groupBy("b").agg(F.ceil(F.sum("bytes") / BUCKET).cast("int").alias("buckets")), "buckets")
+    dealt = pairs.join(buckets, "b").select("a", "b", F.pmod(F.xxhash64("a"), "buckets").cast("int").alias("bucket"))
+    members = dealt.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("left")), "a").select("a", "b", "bucket", "left")
+    centres = buckets.select("b", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket")).join(sets.select(F.col("id").alias("b"), F.col("elements").alias("right")), "b").select(F.col("b").alias("hub"), F.col("bucket").alias("part"), "right")
+
+    def compare(key: tuple, members: pa.Table, centres: pa.Table) -> pa.Table:
+        y, good = np.frombuffer(centres["right"][0].as_buffer(), "<u8"), []
+        for x in members["left"]:
+            x = np.frombuffer(x.as_buffer(), "<u8")
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            both = int(np.count_nonzero(y[at] == x))
+            good.append(100 * both >= percent * (len(x) + len(y) - both))
+        return members.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return members.groupBy("b", "bucket").cogroup(centres.groupBy("hub", "part")).applyInArrow(compare, "a long, b long")
+
+
+def _may_link(percent: int) -> str:
+    """What sizes, components and parity sketches of two sets x and y of one signature must fulfil to link."""
+    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
+    return f"x.component < y.component and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n) and ({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
+
+
+def close_pairs(own: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of one signature but different components that may link.
+
+    `own` has signature, id, component, n and sketch.  The sets of a small signature are joined with one another.  Those of
+    a large one are dealt to blocks, and each pair of blocks is a task's unit of work, from which only the pairs come
+    out that may link: no task has more than two blocks, whatever a signature holds.
+    """
+    counts = saved(own.groupBy("signature").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks")).where("blocks > 1"), "large-signatures")
+    found = own.join(counts, "signature", "left")
+    small, large = found.where("blocks is null").drop("blocks"), found.where("blocks is not null")
+    x, y = small.alias("x"), small.alias("y")
+    pairs = x.join(y, F.expr(f"x.signature = y.signature and {_may_link(percent)}")).select(F.expr("greatest(x.id, y.id) a"), F.expr("least(x.id, y.id) b"))
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("signature", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component", "n", "sketch")
+
+    def tile(key: tuple, table: pa.Table) -> pa.Table:
+        ids, part, n, block = (table[c].to_numpy() for c in ("id", "component", "n", "block"))
+        sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        a, b = [], []
+        low, high = key[1].as_py(), key[2].as_py()
+        right = np.flatnonzero(block == high)
+        for i in np.flatnonzero(block == low).tolist():
+            differ = np.bitwise_count(sketch[i] ^ sketch[right]).sum(1, dtype=np.int64)
+            good = (part[right] != part[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i])) & (differ * (100 + percent) <= (n[right] + n[i]) * (100 - percent))
+            if low == high:
+                good &= ids[right] > ids[i]
+            at = right[good]
+            a.append(np.maximum(ids[at], ids[i]))
+            b.append(np.minimum(ids[at], ids[i]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return pairs.unionByName(dealt.groupBy("signature", "low", "high").applyInArrow(tile, "a long, b long")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,10 +323,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, id_
     mixed = own.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
     own = own.join(mixed, "signature", "left_semi").join(sets.select("id", "sketch"), "id")
     own = saved(own, "open-signatures")
-    x, y = own.alias("x"), own.alias("y")
-    differ = " + ".join(f"bit_count(x.sketch[{k}] ^ y.sketch[{k}])" for k in range(SKETCH // 64))
-    close = f"x.signature = y.signature and x.component < y.component and least(x.n, y.n) * 100 >= {percent} * greatest(x.n, y.n) and ({differ}) * {100 + percent} <= (x.n + y.n) * {100 - percent}"
-    pairs = x.join(y, F.expr(close)).select(F.expr("greatest(x.id, y.id) a"), F.expr("least(x.id, y.id) b")).distinct()
+    pairs = close_pairs(own, percent)
     found = saved(verified(saved(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), sets, percent), "found")
     if not found.isEmpty():
         labels = saved(components(links.unionByName(found)), "components")

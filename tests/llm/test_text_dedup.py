@@ -70,6 +70,31 @@ def test_empty_table_and_null_ids(spark, operator):
     assert all(r["n_removed"] == 0 if "n_removed" in r.asDict() else r["component_id"] == r["id"] for r in got)
 
 
+def test_a_hot_signature(spark, monkeypatch):
+    """A family of pages that share three quarters of their words but hardly link, and a large group of copies."""
+    base = H.prose(70, 120)
+    family = [(k, " ".join([*base, *H.prose(1000 + k, 18 + k % 25)]), "en") for k in range(150)]
+    copies = [(1000 + k, " ".join([*H.prose(71, 90), f"x{k}"]), "en") for k in range(150)]
+    rows = [*family, *copies, *((2000 + k, t, "en") for k, (_, t, _) in enumerate(family[:20]))]
+    want = H.jaccard(rows)
+    assert 10 < len({c for *_, c in want}) < len(rows) - 150
+    for small, bucket in ((512, 8 << 20), (10, 4000)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+        assert sorted(tuple(r) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()) == want
+
+
+def test_blocks_of_a_signature_give_the_same_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(2**63), 2**63, 16)
+    rows = [(1, k, int(k % 37), int(90 + k % 20), [int(b) ^ (1 << int(x)) for b, x in zip(base, rng.integers(0, 60, 16))]) for k in range(120)]
+    rows += [(2, k, k, 50, [int(b) for b in base]) for k in range(30)]
+    own = spark.createDataFrame(rows, "signature long, id long, component long, n long, sketch array<long>")
+    want = sorted(tuple(r) for r in jaccard_join.close_pairs(own, 80).collect())
+    monkeypatch.setattr(jaccard_join, "SMALL", 7)
+    assert sorted(tuple(r) for r in jaccard_join.close_pairs(own, 80).collect()) == want and len(want) > 400
+
+
 def thue_morse(letters: str, n: int = 4096) -> str:
     return "".join(letters[k.bit_count() & 1] for k in range(n))
 
@@ -173,7 +198,7 @@ def windows_of(texts: list[str], width: int = 50) -> np.ndarray:
 
 def repetitive() -> list[str]:
     passage = " ".join(H.prose(31, 60))
-    return [passage, "x" + passage[:300], "ab" * 60, "ab" * 40 + "c", " ".join(H.prose(32, 80)) + passage[100:], passage[50:] + "y" * 70, "y" * 55]
+    return [passage, "x" + passage[:300], "ab" * 60, "ab" * 40 + "c", " ".join(H.prose(32, 80)) + passage[100:], passage[50:] + "y" * 70, "y" * 55, *(passage[:150] + " ".join(H.prose(60 + k, 12)) for k in range(9))]
 
 
 def test_corpus_order_is_the_suffix_array():
@@ -241,6 +266,7 @@ def neighbours_of(sent: list[tuple]) -> dict:
 @pytest.mark.parametrize("broken", [None, "corpus_order", "parse_ranks", "string_ranks"])
 def test_the_order_decides(monkeypatch, broken):
     """Without the corpus order, or the order of the parse or of the dictionary, equal windows are no neighbours and are not found."""
+    monkeypatch.setattr(suffix_dedup, "PHRASE", 4)  # phrases short enough for texts this small
     sent = sent_windows(repetitive() * 2)
     least: dict = {}
     for _, own in sent:
