@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.memory import in_small_batches, lean
+from leafmill.llm.memory import lean
 
 #: Characters of test items that are broadcast at once.
 BLOCK_CHARACTERS = 4_000_000
@@ -154,7 +154,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "distance", "start", "length"])
 
-        found = in_small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(lean(run), OUT)
+        found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), OUT)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -170,5 +170,5 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             for batch in batches:
                 yield batch.filter(pa.array([not searcher.find(normal(text.as_py() or "")) for text in batch.column(place)], pa.bool_()))
 
-        docs = in_small_batches(docs).mapInArrow(lean(run), docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -14,22 +15,42 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode, a folder of our own where that is unset."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if named:
         path = context._jvm.org.apache.hadoop.fs.Path(named)
         whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
         return re.sub("^file:/(?!/)", "file:///", whole)
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(context, "_leafmill_folder", None):
         context._leafmill_folder = tempfile.mkdtemp(prefix="leafmill-shared-")
     return f"file://{context._leafmill_folder}"
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables; they are removed when it ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/leafmill/{context.applicationId}"
+    if getattr(context, "_leafmill_tables", None) != folder:
+        context._leafmill_tables = folder
+        atexit.register(_remove, context, folder)
+    return folder
+
+
+def _remove(context, folder: str) -> None:
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the application is ending, its JVM may be gone
+        pass
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: what follows neither computes them again nor depends on an executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import saved
-from leafmill.llm.memory import in_small_batches, lean
+from leafmill.llm.memory import lean
 
 #: Share of a part's pages on which a template token occurs; share of links in a slot's text beyond which it is boilerplate.
 SUPPORT, LINKS = 0.6, 0.6
@@ -613,7 +613,7 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 pa.schema([("host", pa.string()), ("part", pa.int32()), ("slot", pa.string()), ("pages", pa.int64()), ("classes", pa.int64()), ("tokens", pa.int64())]),
             )
 
-    return in_small_batches(dealt(pages, id_col, url_col, html_col)).mapInArrow(lean(run), "host string, part int, slot string, pages long, classes long, tokens long")
+    return dealt(pages, id_col, url_col, html_col).mapInArrow(lean(run), "host string, part int, slot string, pages long, classes long, tokens long")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -628,4 +628,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    return in_small_batches(dealt(pages, id_col, url_col, html_col)).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
+    return dealt(pages, id_col, url_col, html_col).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -6,20 +6,6 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-#: Rows that go to a Python worker at once: whole texts may be long, and Spark's default is 10,000.
-BATCH = 1_000
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; lowers the session's rows per Arrow batch where nobody has chosen a number."""
-    conf = df.sparkSession.conf
-    if int(conf.get(_SETTING)) == 10_000:
-        conf.set(_SETTING, BATCH)
-    return df
-
 
 #: What operators remember in a worker from task to task, by owner: how to forget it.
 _remembered: dict[str, Callable[[], None]] = {}

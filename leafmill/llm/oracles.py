@@ -24,6 +24,12 @@ n AS (SELECT vec_id AS id FROM embeddings), k AS (SELECT a AS id, count(*) AS n_
 SELECT c.id AS vec_id, coalesce(k.n_links, 0) AS n_links, c.component_id, c.component_id = c.id AS kept FROM c LEFT JOIN k USING (id)
 """
 
+OP6_SQL = """
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
+
 OP7_SQL = """
 WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages),
 names AS (

@@ -4,15 +4,19 @@ A document's tokens are its tokenizer ids followed by an end id.  Only documents
 sequence are cut, into full pieces and a last one that may be shorter.  Each task packs the pieces
 that it meets: a piece goes to the open sequence with the least free space that still holds it,
 found as the lowest set bit of a bitset keyed by free space.  At most `open_bins` sequences are
-open in a task; beyond that the fullest closes first.  There is no shuffle and a task's memory does
+open in a task; beyond that the fullest closes first.  Texts are not shuffled and a task's memory does
 not depend on the rows it reads.
 
+What a task leaves open would stay part-filled.  The pieces of those sequences, `open_bins` sequences a task at most, go
+to a second pass of the same kind, longest first, `TOGETHER` pieces a task; only rows of figures move.
+
 Null or empty texts are the end id alone.  Null ids and repeated rows are kept, one document a row.
 Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -26,16 +30,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.memory import in_small_batches, lean, remember
+from leafmill.llm.graph import saved
+from leafmill.llm.memory import lean, remember
 
 OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Chunks of text whose ids a worker remembers in a generation, and the longest that it does.
 REMEMBERED, LONGEST = 700_000, 40
+#: Pieces that a task of the second pass places; open sequences whose numbers are broadcast (more are joined by shuffle).
+TOGETHER, FEW_TAILS = 200_000, 2_000_000
 #: Texts of these characters alone are cut at white space and tokenised chunk by chunk.
 _PLAIN = re.compile("[\t-\r -~\u00a0-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u02af\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*\\Z")
 #: Fixed values of the tokenizer: how it splits text, and the characters that stand for bytes.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SHOWN = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
@@ -46,6 +61,9 @@ class Words(dict):
     of its chunks, and theirs those of their pieces.  Texts with characters for which Python's
     lower-casing or white space might differ from the tokenizer's, or with special tokens, go to the
     tokenizer whole.  Two generations of chunks are kept: memory has a bound, frequent ones stay.
+
+    All this holds for a tokenizer that normalises, splits and models text as `_NORMAL` and `_SPLIT` say; any other gets
+    every text whole.
     """
 
     def __init__(self, path: str):
@@ -54,6 +72,9 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.by_chunk = made["normalizer"] == _NORMAL and made["pre_tokenizer"] == _SPLIT and made["model"]["type"] == "BPE" and all(a["content"].startswith("<|") for a in made["added_tokens"])
+        self.by_chunk &= not made["model"].get("dropout") and not made["truncation"]
         self.old: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
@@ -72,7 +93,7 @@ class Words(dict):
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not _PLAIN.match(text):
+        if not self.by_chunk or "<|" in text or not _PLAIN.match(text):
             return np.frombuffer(self._encode(text), "<u4")
         if len(self) > REMEMBERED:
             self.old = dict(self)
@@ -124,6 +145,15 @@ class BestFit:
         return number
 
 
+_NAMES = [f.split()[0] for f in OUT.split(", ")]
+_KINDS = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
 def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, open_bins: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it comes from, its ids' CRC-32, and its place in a sequence."""
 
@@ -138,9 +168,28 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, ope
                 for piece, start in enumerate(range(0, len(ids), size)):
                     part = ids[start : start + size]
                     number, offset = fit.place(len(part))
-                    out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes()), base + number, offset))
-            columns = list(zip(*out, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+                    out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes()), base + number, offset, False))
+                if len(out) > 20_000:
+                    yield _batch(out, [*_NAMES, "open"], [*_KINDS, pa.bool_()])
+                    out = []
+            yield _batch(out, [*_NAMES, "open"], [*_KINDS, pa.bool_()])
+        # Sequences left open, one row each: only their number and that they are open.
+        yield _batch([(None, 0, 0, 0, 0, base + number, 0, True) for bins in fit.bins for number in bins], [*_NAMES, "open"], [*_KINDS, pa.bool_()])
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run, "packing"), f"{OUT}, open boolean")
+    rows = saved(rows, "pieces")
+    tails = rows.where("open").select("sequence_id")
+    pieces = rows.where("not open").drop("open")
+    n = tails.count()
+    tails = F.broadcast(tails) if n <= FEW_TAILS else tails
+    loose = pieces.join(tails, "sequence_id", "left_semi").select("doc_id", "piece", "start", "length", "ids_crc32")
+    parts = -(-loose.count() // TOGETHER) if n else 1
+    loose = loose.withColumn("spot", F.xxhash64("doc_id", "piece", "ids_crc32")).repartition(max(1, parts), "spot").sortWithinPartitions(F.desc("length"), "spot")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, base = BestFit(size, open_bins), (1 << 62) + (TaskContext.get().partitionId() << 40)
+        for batch in batches:
+            places = [fit.place(x) for x in batch["length"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in _NAMES[:5]), pa.array([base + k for k, _ in places], pa.int64()), pa.array([at for _, at in places], pa.int64())], names=_NAMES)
 
-    return in_small_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))).mapInArrow(lean(run, "packing"), OUT)
+    return pieces.join(tails, "sequence_id", "left_anti").select(*_NAMES).unionByName(loose.mapInArrow(lean(again), OUT))

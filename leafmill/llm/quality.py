@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.graph import saved
-from leafmill.llm.memory import in_small_batches, lean
+from leafmill.llm.memory import lean
 from leafmill.llm.rolling import U64, buffer_of, fingerprints, mix, pieces, words_of
 
 FEATURES, WIDTH, RIDGE, BINS, BLOCKS, SEED = 320, 0.35, 1e-3, 400, 8, 7
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
             x = _statistics_of(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    train = saved(in_small_batches(rows.select("id", "y", "text")).mapInArrow(lean(measure), "id long, y int, x array<double>"), "statistics")
+    train = saved(rows.select("id", "y", "text").mapInArrow(lean(measure), "id long, y int, x array<double>"), "statistics")
     sums = train.agg(F.count("*"), *[f(F.col("x")[k]) for k in range(N_STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
     if not sums[0]:
         return Model(np.zeros(N_STATISTICS), np.ones(N_STATISTICS))
@@ -212,7 +212,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return in_small_batches(rows).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -223,4 +223,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(model.score(_statistics_of(batch.column(place).cast(pa.string()))) >= 0.5))
 
-    return in_small_batches(docs).mapInArrow(lean(run), docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

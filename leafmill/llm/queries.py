@@ -90,4 +90,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op1_jaccard_join": oracles.OP1_SQL, "op5_embedding_dedup": oracles.OP5_SQL, "op7_url_filter": oracles.OP7_SQL, "op8_suffix_dedup": oracles.OP8_SQL, "op9_substring_dedup": oracles.OP9_SQL}
+ORACLES = {"op1_jaccard_join": oracles.OP1_SQL, "op5_embedding_dedup": oracles.OP5_SQL, "op6_warc": oracles.OP6_SQL, "op7_url_filter": oracles.OP7_SQL, "op8_suffix_dedup": oracles.OP8_SQL, "op9_substring_dedup": oracles.OP9_SQL}

@@ -37,6 +37,8 @@ MAGIC = 0x184D2A5D
 #: Bytes of the dictionary, of the sample that it is built from, and of records in one archive.
 DICTIONARY, SAMPLE, ARCHIVE = 64 << 10, 6 << 20, 256 << 20
 LEVEL = 6
+#: Bytes of a record that the sample takes; repeated payloads that are broadcast (more are joined by shuffle, salted `SALT` ways).
+HEAD, FEW_PAYLOADS, SALT = 64 << 10, 1_000_000, 64
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 MANIFEST = "path string, records long, bytes long"
 
@@ -145,9 +147,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     again = saved(again.select("digest", "first"), "payloads")
     total = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     share = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
-    sample = rows.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30)) < share).select("page_id", "url", "payload", "digest").collect()
+    head = rows.withColumn("payload", F.expr(f"substring(payload, 1, {HEAD})")).withColumn("url", F.expr(f"substring(url, 1, {HEAD})"))
+    sample = head.where(F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 30)) < share).select("page_id", "url", "payload", "digest").collect()
     dictionary = train([encode_record(r.page_id, r.url, bytes(r.payload), r.digest, None, date) for r in sample])
-    joined = rows.join(again, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
+    if again.count() <= FEW_PAYLOADS:
+        joined = rows.join(F.broadcast(again), "digest", "left")
+    else:
+        # The commonest page may be a third of all: its rows are spread by a salt.
+        salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["digest", "salt"], "left")
+    joined = joined.select("page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, archive, done = TaskContext.get(), None, []
@@ -190,5 +199,11 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = manifest.sparkSession.sparkContext.defaultParallelism * 2
-    return manifest.select("path").repartition(spread).mapInArrow(run, RECORD)
+    # One archive, of a bounded size, a task.
+    return manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(run, RECORD)
+
+
+def unresolved(records: DataFrame) -> DataFrame:
+    """Revisits whose response, with the same payload digest, is not among the records."""
+    there = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest").distinct()
+    return records.where("record_type = 'revisit'").join(there, ["refers_to", "payload_digest"], "left_anti")
