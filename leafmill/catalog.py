@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from leafmill.plans import artifacts, formats, functions, geometry, pages, records, text
+from leafmill.plans import artifacts, exchange, formats, functions, geometry, pages, records, text
 
 QUERIES = {}
 ORACLES = {}
-for _module in (text, pages, geometry, functions, records, formats, artifacts):
+for _module in (text, pages, geometry, functions, records, formats, artifacts, exchange):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

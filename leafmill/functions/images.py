@@ -127,6 +127,22 @@ def similarities(df: DataFrame, key: str, a: str, b: str, width: int, edge: str
     return found.withColumnRenamed("key", key)
 
 
+def cmyk_to_rgb(c: Column, m: Column, y: Column, k: Column) -> Column:
+    """struct<r, g, b> of four inks of 0 to 255: each colour is what its ink and black leave of 255."""
+    return F.struct(*[(255 - F.least(F.lit(255), ink + k)).cast("int").alias(n) for n, ink in (("r", c), ("g", m), ("b", y))])
+
+
+def icc_object(space: Column) -> Column:
+    """The number of the object that an ICC based colour space refers to, null for another space."""
+    return F.nullif(F.regexp_extract(space, r"ICCBased\s+(\d+)\s+0\s+R", 1), F.lit("")).cast("bigint")
+
+
+def icc_components(spaces: DataFrame, objects: DataFrame, space: str, number: str, components: str) -> DataFrame:
+    """The rows of `spaces` with `n`, the components of the profile that each refers to; null where there is none."""
+    listed = objects.select(F.col(number).cast("bigint").alias("_object"), F.col(components).alias("n"))
+    return spaces.withColumn("_object", icc_object(F.col(space))).join(listed, "_object", "left").drop("_object")
+
+
 def expand_bits(data: bytes, bits: int, width: int, height: int) -> np.ndarray:
     """Samples of 1, 2 or 4 bits, most significant first, rows on byte borders, as numbers."""
     rows = np.frombuffer(data, np.uint8).reshape(height, -1)

@@ -112,9 +112,11 @@ def similarity_summary(samples: DataFrame, group: str, value: str) -> DataFrame:
     return samples.groupBy(group).agg(F.round(F.avg(value), 4).alias("similarity"), F.round(F.min(value), 4).alias("similarity_min"))
 
 
-def log_text(lines: DataFrame, group: str, order: str, line: str) -> DataFrame:
-    """(group, text): a log's lines in order."""
+def log_text(lines: DataFrame, group: str, order: str, line: str, most: int | None = 500) -> DataFrame:
+    """(group, text): the newest lines of a log in order, no more than a log holds, so that a text is bounded.  Without `most`, all lines."""
+    newest = Window.partitionBy(group).orderBy(F.desc(order))
     entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("l"))))
+    lines = lines if most is None else lines.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= most)
     return lines.groupBy(group).agg(F.array_join(F.transform(entries, lambda e: e["l"]), "\n").alias("text"))
 
 

@@ -48,11 +48,13 @@ def overlay_repeat_first(base: DataFrame, over: DataFrame, doc: str, page: str)
     return base.join(first, doc).select(doc, page, "over_page")
 
 
-def overlay_custom(base: DataFrame, over: DataFrame, pairs: DataFrame, doc: str, page: str) -> DataFrame:
-    """Pairs (pos, base_page, over_page) that both documents have; repeats stay, others go."""
+def overlay_custom(base: DataFrame, over: DataFrame, pairs: list[tuple[int, int, int]], doc: str, page: str) -> DataFrame:
+    """Pairs (pos, base_page, over_page), one list for all documents, that both documents have; repeats stay, others go."""
     n = page_counts(base, doc, page).withColumnRenamed("n", "n_base").join(page_counts(over, doc, page).withColumnRenamed("n", "n_over"), doc)
     inside = "base_page >= 0 and over_page >= 0 and base_page < n_base and over_page < n_over"
-    return n.join(F.broadcast(pairs)).where(inside).select(doc, "pos", "base_page", "over_page")
+    fields = ("pos", "base_page", "over_page")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, pair, strict=True)]) for pair in pairs]) if pairs else F.array().cast("array<struct<pos:int,base_page:int,over_page:int>>")
+    return n.select("*", F.inline(listed)).where(inside).select(doc, *fields)
 
 
 def normal_lines(text: str | None, ignore_white_space: bool = True) -> list[str]:
@@ -104,6 +106,113 @@ def line_diffs(pairs: DataFrame, keys: list[str], ignore_white_space: bool = Tru
     return rest.mapInArrow(run, f"{schema}, added bigint, removed bigint, same boolean").unionByName(equal)
 
 
+def line_hunks(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
+    """("same", "del" or "add", lines) in order: a shortest edit of the lines of a into those of b.
+
+    Equal ends are cut off first.  Between them the greedy algorithm of Myers (1986) walks the furthest reaching
+    paths by number of edits; neighbours of one kind are one hunk, and removals come before additions.
+    """
+    low, n = 0, min(len(a), len(b))
+    while low < n and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < n - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    head, tail = a[:low], a[len(a) - high :]
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    out: list[tuple[str, list[str]]] = []
+
+    def add(kind: str, lines: list[str]) -> None:
+        if lines:
+            if out and out[-1][0] == kind:
+                out[-1][1].extend(lines)
+            else:
+                out.append((kind, list(lines)))
+
+    add("same", head)
+    gone: list[str] = []
+    new: list[str] = []
+    for kind, line in _edits(a, b):
+        if kind == "same":
+            add("del", gone)
+            add("add", new)
+            add("same", [line])
+            gone, new = [], []
+        else:
+            (gone if kind == "del" else new).append(line)
+    add("del", gone)
+    add("add", new)
+    add("same", tail)
+    return out
+
+
+def _edits(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """A shortest edit script, line by line."""
+    reach, trail = {1: 0}, []
+    for d in range(len(a) + len(b) + 1):
+        trail.append(dict(reach))
+        for k in range(-d, d + 1, 2):
+            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
+                x += 1
+            reach[k] = x
+            if x >= len(a) and x - k >= len(b):
+                break
+        else:
+            continue
+        break
+    out, x, y = [], len(a), len(b)
+    for d in range(len(trail) - 1, -1, -1):
+        before, k = trail[d], x - y
+        down = k == -d or (k != d and before[k - 1] < before[k + 1])
+        px = before[k + 1] if down else before[k - 1]
+        py = px - (k + 1 if down else k - 1)
+        while x > px and y > py and x > 0 and y > 0 and a[x - 1] == b[y - 1] and (x, y) != ((px, py + 1) if down else (px + 1, py)):
+            x, y = x - 1, y - 1
+            out.append(("same", a[x]))
+        if d:
+            out.append(("add", b[py]) if down else ("del", a[px]))
+        x, y = px, py
+    return out[::-1]
+
+
+_HUNK = "type string, count bigint, lines array<string>"
+
+
+def line_diff(pairs: DataFrame, keys: list[str], ignore_white_space: bool = True) -> DataFrame:
+    """(keys, hunk_no, type, count, lines) for pairs with text_a and text_b: what stays, goes and comes, in order.
+
+    An empty side has no lines.  Pairs of equal texts are one hunk, made without Python.
+    """
+    same = pairs.where("text_a = text_b").select(*keys, "text_a")
+    if ignore_white_space:
+        tidy = F.transform(F.split(F.regexp_replace("text_a", "\r\n?", "\n"), "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
+    else:
+        tidy = F.split("text_a", "\n", -1)
+    # One line end at the end of a text ends its last line.
+    kept = F.when(F.element_at(tidy, -1) == "", F.slice(tidy, 1, F.size(tidy) - 1)).otherwise(tidy)
+    whole = same.withColumn("lines", kept).where(F.size("lines") > 0).select(*keys, F.lit(0).cast("bigint").alias("hunk_no"), F.lit("same").alias("type"), F.size("lines").cast("bigint").alias("count"), "lines")
+    rest = pairs.where("text_a <> text_b").select(*keys, "text_a", "text_b")
+    schema = rest.select(*keys).schema.simpleString()[7:-1].replace(":", " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lines(text: str | None) -> list[str]:
+            found = normal_lines(text, ignore_white_space)
+            return found[:-1] if found[-1] == "" else found
+
+        for batch in batches:
+            at, out = [], []
+            for k, (x, y) in enumerate(zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist(), strict=True)):
+                for n, (kind, held) in enumerate(line_hunks(lines(x), lines(y))):
+                    at.append(k)
+                    out.append((n, kind, len(held), held))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch[c].take(pa.array(at, pa.int64())) for c in keys] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[*keys, "hunk_no", "type", "count", "lines"])
+
+    return rest.mapInArrow(run, f"{schema}, hunk_no bigint, {_HUNK}").unionByName(whole)
+
+
 def diff_summary(diffs: DataFrame) -> DataFrame:
     """One row: pages, pages without differences, lines added and removed."""
     return diffs.agg(F.count("*").alias("pages"), F.count_if("same").alias("same_pages"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("removed"), F.lit(0)).alias("removed"))

@@ -133,12 +133,13 @@ def target_bytes(amount: float, unit: str = "MB") -> int:
     return int(amount * (1_048_576 if unit == "MiB" else 1_000_000))
 
 
-def search(evaluate, steps: DataFrame, group: str, target: int | None, least: float = 0.0) -> DataFrame:
+def search(evaluate, steps: DataFrame, group: str, target: int | None, least: float = 0.0, keep=lambda df: df.checkpoint()) -> DataFrame:
     """The candidate search of one source group by group of steps, stopping early where nothing is left to gain.
 
     `evaluate(DataFrame of candidates)` returns them with ok, size and similarity.  Steps run in
     order until each group's smallest result is within the target and similar enough; groups that
-    are done take no part in later steps.  What has been evaluated is returned.
+    are done take no part in later steps.  What has been evaluated is returned.  `keep` cuts the lineage of a step's
+    results (a checkpoint in the cluster's shared folder), so that no step computes those before it again.
     """
     done = None
     last = steps.agg(F.max("step")).first()[0]
@@ -148,7 +149,7 @@ def search(evaluate, steps: DataFrame, group: str, target: int | None, least: fl
             smallest = done.where("ok").groupBy(group).agg(F.min_by(F.struct("size", "similarity"), "size").alias("s"))
             reached = (F.lit(target is None) | (F.col("s.size") <= F.lit(target))) & (F.col("s.similarity").isNull() | (F.col("s.similarity") >= least))
             now = now.join(smallest.where(reached).select(group), group, "left_anti")
-        found = evaluate(now).cache()
+        found = keep(evaluate(now))
         if found.isEmpty():
             break
         done = found if done is None else done.unionByName(found)

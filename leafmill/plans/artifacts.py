@@ -56,7 +56,7 @@ def _similarity(s, d):
 
 def _logs(s, d):
     lines = table(s, d, "events").select("event_type", "event_id", F.concat_ws(" ", F.col("event_id").cast("string"), "props").alias("line"))
-    return A.log_text(lines, "event_type", "event_id", "line").select("event_type", F.md5("text").alias("md5"))
+    return A.log_text(lines, "event_type", "event_id", "line", None).select("event_type", F.md5("text").alias("md5"))
 
 
 def _pairs(s, d):

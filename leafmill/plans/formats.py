@@ -85,7 +85,7 @@ def _office(kind: str, parser):
 
 
 def _outline(s, d):
-    items = table(s, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(40)).alias("title"), (F.col("turn") * 3).alias("page"), F.when(F.col("turn") % 3 == 2, 0).otherwise(2).alias("level"))
+    items = table(s, d, "conversations").select("conv_id", "turn", F.left("text", F.lit(500)).alias("title"), (F.col("turn") * 3).alias("page"), F.when(F.col("turn") % 3 == 2, 0).otherwise(2).alias("level"))
     return L.outline(items, "conv_id", "turn", "title", "page", "level", F.lit(10)).na.fill(-1, ["parent", "prev", "next"])
 
 
@@ -178,7 +178,7 @@ ORACLES = {
     "reading_text": _I + "SELECT item_id, string_agg(word, '' ORDER BY y DESC, x) AS text FROM i GROUP BY 1",
     "upper_median_size": _I + "SELECT item_id, median FROM m",
     "heading_levels": _I + "SELECT item_id, line_no, CASE WHEN size / median >= 1.85 THEN 1 WHEN size / median >= 1.45 THEN 2 WHEN size / median >= 1.2 AND length(text) < 60 THEN 3 ELSE 0 END::BIGINT AS heading FROM n JOIN m USING (item_id)",
-    "outline_tree": """WITH r AS (SELECT conv_id, turn, left(text, 40) AS title, least(9, turn * 3) AS page, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS lv FROM conversations),
+    "outline_tree": """WITH r AS (SELECT conv_id, turn, left(text, 500) AS title, least(9, turn * 3) AS page, CASE WHEN turn % 3 = 2 THEN 0 ELSE 1 END AS lv FROM conversations),
       t AS (SELECT *, coalesce(max(CASE WHEN lv = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS head FROM r),
       u AS (SELECT *, CASE WHEN turn = head THEN 0 ELSE 1 END AS level FROM t), p AS (SELECT *, CASE WHEN level = 1 THEN head ELSE -1 END AS parent FROM u)
       SELECT conv_id, turn, title, page, level::BIGINT AS level, parent, coalesce(lag(turn) OVER w, -1) AS prev, coalesce(lead(turn) OVER w, -1) AS next,

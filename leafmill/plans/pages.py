@@ -55,8 +55,7 @@ def _organize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlay_custom(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame(OVERLAY, "pos int, base_page int, over_page int")
-    return _long(C.overlay_custom(_half(spark, d, True), _half(spark, d, False), pairs, DOC, PAGE))
+    return _long(C.overlay_custom(_half(spark, d, True), _half(spark, d, False), OVERLAY, DOC, PAGE))
 
 
 def _text_pairs(spark: SparkSession, d: str) -> DataFrame:

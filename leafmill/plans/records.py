@@ -121,12 +121,8 @@ def _permissions(s, d):
 
 
 def _known(s, d):
-    return _known_of(s, d, _events(s, d).where("user_id < 20"))
-
-
-def _known_of(s, d, steps):
     tools = table(s, d, "events").where("value > 90").select("event_type").distinct()
-    return S.known_steps(steps, tools, "event_type").select("event_id", "event_type")
+    return S.known_steps(_events(s, d), tools, "event_type").select("event_id", "event_type")
 
 
 def _archive(s, d):
@@ -163,7 +159,7 @@ QUERIES = {
     "merge_settings": _settings,
     "permission_mask": _permissions,
     "known_steps": _known,
-    "known_steps_all": lambda s, d: _known_of(s, d, _events(s, d)),
+    "known_steps_all": _known,
     "tool_catalog": lambda s, d: S.catalog(_events(s, d), "event_type", "event_id").select("event_type", "event_id"),
     "invoice_totals": lambda s, d: V.totals(V.lines(s, d), "l_orderkey", F.lit(8.5)),
     "invoice_report_rows": lambda s, d: V.report(V.lines(s, d), "l_orderkey", F.lit(8.5)),
@@ -235,7 +231,7 @@ ORACLES = {
     "redact_options": "SELECT event_id, 'mode=' || event_type || ',pages=all' AS options FROM events",
     "merge_settings": "SELECT event_id, event_type AS theme, '100' AS \"limit\", 2::BIGINT AS n FROM events",
     "permission_mask": "SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 20 WHEN 'N' THEN 40 ELSE 0 END::BIGINT AS mask FROM lineitem",
-    "known_steps": "SELECT event_id, event_type FROM events WHERE user_id < 20 AND event_type IN (SELECT event_type FROM events WHERE value > 90)",
+    "known_steps": "SELECT event_id, event_type FROM events WHERE event_type IN (SELECT event_type FROM events WHERE value > 90)",
     "known_steps_all": "SELECT event_id, event_type FROM events WHERE event_type IN (SELECT event_type FROM events WHERE value > 90)",
     "tool_catalog": "SELECT event_type, max(event_id) AS event_id FROM events GROUP BY 1",
     "invoice_totals": _INV + "SELECT l_orderkey, subtotal, floor(subtotal * 8.5::DOUBLE + 0.5) / 100 AS tax, round(subtotal + floor(subtotal * 8.5::DOUBLE + 0.5) / 100, 2) AS total FROM t",

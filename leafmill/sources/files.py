@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -64,6 +66,48 @@ def bundle(artifacts: list[tuple[str, bytes]]) -> bytes:
     return out.getvalue()
 
 
+def bundles(artifacts: DataFrame, key: str, order: str, name: str, content: str) -> DataFrame:
+    """(key, bytes): a ZIP of each key's artifacts in order."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))))
+    grouped = artifacts.groupBy(key).agg(entries.alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [bundle([(x["name"], x["content"] or b"") for x in held]) for held in batch["held"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(made, pa.binary())], names=[key, "bytes"])
+
+    return grouped.mapInArrow(run, f"{key} {dict(artifacts.dtypes)[key]}, bytes binary")
+
+
+def unbundled(archives: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, n, name, content) of each member of ZIP archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, raw in enumerate(batch["raw"].to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    for n, member in enumerate(z.namelist()):
+                        at.append(k)
+                        rows.append((n, member, z.read(member)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            kinds = (pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "n", "name", "content"])
+
+    rows = archives.select(F.col(key).alias("key"), F.col(content).alias("raw"))
+    return rows.mapInArrow(run, f"key {dict(archives.dtypes)[key]}, n bigint, name string, content binary").withColumnRenamed("key", key)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or, in local mode, a temporary one where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="leafmill-")
+    return f"{named.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+
+
 MANIFEST = "manifest"
 VERSION = 1
 

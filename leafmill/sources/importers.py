@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ def decode(raw: bytes) -> str:
     return raw.decode("cp1252", "replace")
 
 
+def decoded(df: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, text): contents as text."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array([decode(raw or b"") for raw in batch["content"].to_pylist()], pa.string())], names=["key", "text"])
+
+    return df.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content")).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
+
+
 def _one_line_end(text: str) -> str:
     return text.replace("\r\n", "\n").replace("\r", "\n")
 
@@ -51,16 +63,27 @@ def text_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.col("block_no").cast("bigint").alias("block_no"), F.lit("p").alias("type"), F.replace("text", F.lit("\t"), F.lit("    ")).alias("text"))
 
 
+#: What begins a line of Markdown outside code, by the format's rules: one pattern for each kind of line, in regular
+#: expressions that Python and the JVM read alike.
+LINE = {
+    "heading": r"^(#{1,6})\s+",
+    "rule": r"^\s*(?:-{3,}|\*{3,}|_{3,})\s*$",
+    "quote": r"^>\s?",
+    "bullet": r"^\s*[-*+]\s+",
+    "number": r"^\s*\d+[.)]\s+",
+    "row": r"^\s*\|.+\|\s*$",
+}
+
+
 def list_markers(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """(key, order, marker) of the list items among Markdown lines: numbers restart after a heading, rule, quote, table or bullet.
 
     Gaps and islands: each line that restarts opens an island, and a number counts the numbered items in its own.
     """
     t = F.replace(F.col(text), F.lit("\t"), F.lit("    "))
-    rule = t.rlike(r"^\s*(---+|\*\*\*+|___+)\s*$")
-    numbered = t.rlike(r"^\s*\d+[.)]\s+") & ~rule
-    bullet = t.rlike(r"^\s*[-*+]\s+") & ~rule
-    restart = t.rlike(r"^#{1,6}\s+") | rule | t.startswith(">") | bullet | t.rlike(r"^\s*\|.+\|\s*$")
+    known = {kind: t.rlike(pattern) for kind, pattern in LINE.items()}
+    numbered, bullet = (known[kind] & ~known["rule"] for kind in ("number", "bullet"))
+    restart = known["heading"] | known["rule"] | known["quote"] | bullet | known["row"]
     by = Window.partitionBy(key).orderBy(order)
     rows = lines.select(key, order, numbered.alias("_n"), bullet.alias("_b"), restart.alias("_r"))
     rows = rows.withColumn("_island", F.sum(F.col("_r").cast("int")).over(by))
@@ -84,10 +107,8 @@ def parse_csv(raw: bytes) -> Parsed:
 # Markdown
 
 _INLINE = ((re.compile(r"!?\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"(\*\*|__)(.*?)\1"), r"\2"), (re.compile(r"(\*|_)(.*?)\1"), r"\2"), (re.compile(r"`([^`]*)`"), r"\1"))
-_RULE = re.compile(r"\s*(?:-{3,}|\*{3,}|_{3,})\s*$")
-_HEADING = re.compile(r"(#{1,6})\s+(.*)$")
-_BULLET, _NUMBER = re.compile(r"\s*[-*+]\s+(.*)$"), re.compile(r"\s*\d+[.)]\s+(.*)$")
-_TABLE, _DASHES = re.compile(r"\s*\|.+\|\s*$"), re.compile(r":?-{2,}:?$")
+_LINE = {kind: re.compile(pattern) for kind, pattern in LINE.items()}
+_DASHES = re.compile(r":?-{2,}:?$")
 
 
 def plain_inline(text: str) -> str:
@@ -98,20 +119,16 @@ def plain_inline(text: str) -> str:
 
 
 def _markdown_line(line: str) -> tuple[str, object]:
-    """What a line outside code is: (kind, its content)."""
-    if m := _HEADING.match(line):
-        return f"h{min(3, len(m[1]))}", plain_inline(m[2])
-    if _RULE.match(line):
+    """What a line outside code is: (kind, its content).  The first kind that fits, in the order of `LINE`."""
+    kind, found = next(((k, m) for k, p in _LINE.items() if (m := p.match(line))), ("p", None))
+    if kind == "p":
+        return ("p", line.strip()) if line.strip() else ("blank", None)
+    if kind == "rule":
         return "hr", None
-    if line.startswith(">"):
-        return "quote", plain_inline(re.sub(r"^>\s?", "", line))
-    if m := _BULLET.match(line):
-        return "bullet", plain_inline(m[1])
-    if m := _NUMBER.match(line):
-        return "number", plain_inline(m[1])
-    if _TABLE.match(line):
-        return "row", [plain_inline(c.strip()) for c in re.sub(r"^\||\|$", "", line.strip()).split("|")]
-    return ("p", line.strip()) if line.strip() else ("blank", None)
+    if kind == "row":
+        return "row", [plain_inline(c.strip()) for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
+    rest = plain_inline(line[found.end() :])
+    return (f"h{min(3, len(found[1]))}", rest) if kind == "heading" else (kind, rest)
 
 
 def parse_markdown(raw: bytes) -> Parsed:
@@ -524,6 +541,21 @@ def parse_xlsx(raw: bytes) -> Parsed:
     return [block("table", rows=rows)], None
 
 
+def parse_office_text(raw: bytes) -> Parsed:
+    """The paragraphs of a word-processing document or of slides in order: a heading by its outline level, else a p."""
+    archive = _zip(raw, "Office Open XML")
+    slides = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/[^/]+\.xml", n)), key=lambda n: (len(n), n))
+    out: list[dict] = []
+    for k, name in enumerate(slides or ["word/document.xml"]):
+        out += [block("pagebreak")] if k else []
+        for p in _named(_xml(archive.read(name)), "p"):
+            level = next((int(_attribute(e, "val", "0")) for e in _named(p, "outlineLvl")), -1)
+            text = "".join(e.text or "" for e in _named(p, "t"))
+            if text.strip():
+                out.append(block(f"h{min(level, 2) + 1}" if level >= 0 else "p", text))
+    return out, None
+
+
 def parse_text(raw: bytes) -> Parsed:
     return [block("p", line.replace("\t", "    ")) for line in _one_line_end(decode(raw)).split("\n")], None
 
@@ -656,7 +688,7 @@ def parse_markdown_rich(text: str) -> dict:
             fence, code, lang = m[1], [], m[2].lower()
         elif not body:
             flush()
-        elif item and not _RULE.match(line):
+        elif item and not _LINE["rule"].match(line):
             flush()
             while lists and indent < lists[-1][0]:
                 lists.pop()
@@ -673,8 +705,8 @@ def parse_markdown_rich(text: str) -> dict:
             kind, content = _markdown_line(line)
             if kind.startswith("h") and kind != "hr":
                 flush()
-                raw = _HEADING.match(line)
-                add(kind, raw[2])
+                raw = _LINE["heading"].match(line)
+                add(kind, line[raw.end() :])
                 if title is None and len(raw[1]) == 1 and blocks:
                     title = blocks[-1].get("text") or flat(blocks[-1].get("segs", [])) or None
             elif kind == "hr":
@@ -700,3 +732,25 @@ def parse_markdown_rich(text: str) -> dict:
                 paragraph.append(body)
     flush()
     return {"title": title, "blocks": blocks, "warnings": warnings}
+
+
+_RICH = "title string, warnings array<string>, blocks array<struct<type:string,text:string,level:int,marker:string,kind:string,source:string,lang:string,rows:array<array<string>>,segs:array<struct<t:string,v:string>>>>"
+
+
+def rich_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, title, warnings, blocks) of Markdown texts; what a formula, diagram or image holds is its `source`."""
+    kind = dict(df.dtypes)[key]
+
+    def flat(b: dict) -> dict:
+        segs = [{"t": x["t"], "v": x.get("v", x.get("tex"))} for x in b["segs"]] if "segs" in b else None
+        return {c: b.get(c) for c in ("type", "text", "level", "marker", "kind", "lang", "rows")} | {"source": b.get("tex") or b.get("code") or b.get("src"), "segs": segs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse_markdown_rich(t or "") for t in batch["content"].to_pylist()]
+            segs = pa.list_(pa.struct([("t", pa.string()), ("v", pa.string())]))
+            fields = [(c, pa.string()) for c in ("type", "text")] + [("level", pa.int32())] + [(c, pa.string()) for c in ("marker", "kind", "source", "lang")] + [("rows", pa.list_(pa.list_(pa.string()))), ("segs", segs)]
+            columns = [pa.array([f["title"] for f in found], pa.string()), pa.array([f["warnings"] for f in found], pa.list_(pa.string())), pa.array([[flat(b) for b in f["blocks"]] for f in found], pa.list_(pa.struct(fields)))]
+            yield pa.RecordBatch.from_arrays([batch["key"], *columns], names=["key", "title", "warnings", "blocks"])
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("content")).mapInArrow(run, f"key {kind}, {_RICH}").withColumnRenamed("key", key)
