@@ -379,12 +379,13 @@ def find_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
             length = np.diff(o)
             total = np.concatenate(([0], np.cumsum(gone)))
             removed = total[o[1:]] - total[o[:-1]]
-            begin = gone.copy()
-            begin[1:] &= ~gone[:-1]
+            # A run begins where a byte goes and the one before it in the document does not.
+            edge = gone.copy()
+            edge[1:] &= ~gone[:-1]
             if part.n:
                 heads = o[:-1][length > 0]
-                begin[heads] = gone[heads]
-            runs = np.concatenate(([0], np.cumsum(begin)))
+                edge[heads] = gone[heads]
+            runs = np.concatenate(([0], np.cumsum(edge)))
             n_bytes.append(length)
             n_gone.append(removed)
             n_spans.append(runs[o[1:]] - runs[o[:-1]])
