@@ -169,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, ope
                     part = ids[start : start + size]
                     number, offset = fit.place(len(part))
                     out.append((doc, piece, start, len(part), zlib.crc32(part.tobytes()), base + number, offset, False))
-                if len(out) > 20_000:
+                if len(out) > 2_000:
                     yield _batch(out, [*_NAMES, "open"], [*_KINDS, pa.bool_()])
                     out = []
             yield _batch(out, [*_NAMES, "open"], [*_KINDS, pa.bool_()])
