@@ -22,7 +22,7 @@ def block(type_: str, text: str | None = None, rows: list[list[str]] | None = No
 
 
 def parsed(df: DataFrame, key: str, content: str, parser: Callable[[bytes], tuple[list[dict], str | None]]) -> DataFrame:
-    """(key, title, blocks, error) for each document; one that the parser refuses has an error and no blocks."""
+    """(key, title, blocks, error) for each document; one that the parser refuses has an error and no blocks, a null one no title."""
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,7 @@ def parsed(df: DataFrame, key: str, content: str, parser: Callable[[bytes], tupl
                     error = None
                 except (ValueError, KeyError, IndexError, OSError, SyntaxError) as why:
                     blocks, title, error = [], None, str(why) or type(why).__name__
-                titles.append(title)
+                titles.append(None if raw is None else title)
                 found.append(blocks)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(titles, pa.string()), pa.array(found, _KIND), pa.array(errors, pa.string())], names=["key", "title", "blocks", "error"])

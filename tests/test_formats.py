@@ -4,6 +4,7 @@ import io
 import zipfile
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -83,6 +84,20 @@ def test_html():
     assert kinds(blocks) == [("h3", "H"), ("p", "x y"), ("p", "z"), ("li", "1"), ("li", "2"), ("quote", "q"), ("code", " k\n "), ("hr", None), ("table", [["h", "d"]]), ("p", "[图片: pic]"), ("p", "in & out")]
 
 
+def test_html_titles_match_sql(spark, tmp_path):
+    """Titles cut within a reference, references of other sets, odd white space, no title and no page."""
+    cut = [f"R&D {whole[:k]}" for whole in ("&amp;", "&quot;", "&lt;", "&gt;", "&#39;") for k in range(1, len(whole) + 1)]
+    odd = ["", " a \n\t b\r\nc ", "&amplt; &amp;lt; &amp;amp;", "&nbsp;&eacute;&copy 2", "&#60;&#x27;&apos;&AMP;", "x&amp=1&ampx;", "\u00a0A\u00a0: B\u3000", "a\u000bb"]
+    pages = [f"<html><head><title>{t}</title></head><body><p>b &amp</p></body></html>" for t in cut + odd] + ["", "<p>none</p>", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = dict(duck.execute(catalog.ORACLES["html_title"]).fetchall())
+    assert want[4] == "R&D &" and want[3] == "R&D &amp" and want[len(pages) - 1] is None
+    assert {r.page_id: r.title for r in catalog.QUERIES["html_title"](spark, str(tmp_path)).collect()} == want
+    assert I.parse_html(pages[3]) == ([I.block("p", "b &")], "R&D &")  # as a browser reads it
+
+
 def test_office_round_trips():
     text = ["标题 & <x>", "a  b\tc", "第二页 😀 \\{}"]
     assert [b["text"] for b in I.parse_epub(E.epub(PAGES))[0] if b["text"]] == [" ".join(t.split()) for t in text]
